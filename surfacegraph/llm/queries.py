@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, simhash, token_files, url_filter, workspace
+from . import exact_dedup, language_id, mixing, packing, simhash, token_files, topk, url_filter, warc, workspace
 
 #: Rules of the URL query: (verdict, host/path).
 URL_RULES = (
@@ -30,6 +30,20 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace.new_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -59,6 +73,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": op1_top_k,
+        "op2_mixing": op2_mixing,
+        "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
@@ -100,5 +117,30 @@ WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b"""
 
 
+_TOP_K_ORACLE = """
+WITH e AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+
+def _warc_oracle() -> str:
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    # five hex digits are twenty bits, four digits of base32
+    letters = " || ".join(
+        f"substr('{digits}', CAST((CAST('0x' || substr(sha, {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * k}) & 31 AS INT) + 1, 1)"
+        for g in range(8)
+        for k in range(4)
+    )
+    return f"""
+WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     b AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha, min(page_id) OVER (PARTITION BY payload) AS first FROM a)
+SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, TRUE AS verified FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _EXACT_ORACLE, "op10_url_filter": _url_oracle()}
+    return {"op1_top_k": _TOP_K_ORACLE, "op3_warc": _warc_oracle(), "op5_exact_dedup": _EXACT_ORACLE, "op10_url_filter": _url_oracle()}
