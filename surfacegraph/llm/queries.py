@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, simhash, token_files, topk, url_filter, warc, workspace
+from . import exact_dedup, language_id, mixing, packing, simhash, suffix_dedup, token_files, topk, url_filter, warc, workspace
 
 #: Rules of the URL query: (verdict, host/path).
 URL_RULES = (
@@ -56,6 +56,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=1)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace.new_path(spark, "token-files")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=2)
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_token_files": op8_token_files,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
