@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), strict=True):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]

@@ -13,25 +13,32 @@ import json
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ASCII marks that form a token group of their own after a letter or digit.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+#: Characters of text that are cut into chunks at a time.
+GROUP = 4_000_000
 
 
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``limit`` bounds the table of known chunks; a full table is emptied.
+    ``limit`` bounds the table of known chunks; a full table becomes the older
+    one, from which chunks that occur again move back, and the one before goes.
     Vocabularies whose splitting may cross white space, or that normalise in
     another way than NFC and lower case, are encoded text by text.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, norm = spec["model"], spec.get("normalizer") or {}
@@ -46,50 +53,70 @@ class ChunkEncoder:
         self.ends = np.zeros(self.vocab_size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text, packed; a null text has none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         if not self.by_chunk:
-            return self._direct([t or "" for t in texts])
+            return self._direct([t or "" for t in texts.to_pylist()])
         out: list[bytes] = [b""] * len(texts)
-        chunks: list[tuple[int, list[bytes]]] = []
-        wanted: set[bytes] = set()
-        odd = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(s in text for s in self.special):
-                odd.append(i)
-                continue
-            raw = text.encode()
-            if text.isascii():
-                raw = raw.lower()
-            elif is_normalized("NFC", text) and is_normalized("NFC", (low := raw.lower()).decode()):
-                raw = low
-            parts = raw.split()
-            chunks.append((i, parts))
-            wanted.update(parts)
-        if len(self.known) > self.limit:
-            self.known.clear()
-        extra = self._learn(wanted.difference(self.known))
-        for i, parts in chunks:
-            if extra:
-                get = self.known.get
-                out[i] = b"".join(get(p) or extra.get(p, b"") for p in parts)
-            else:
-                out[i] = b"".join(map(self.known.__getitem__, parts))
-        for i, ids in zip(odd, self._direct([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._direct([texts[i].as_py()])[0]
+        # lower-casing A-Z first is safe where it leaves no composition to make
+        plain = pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~plain & ~odd).tolist():
+            text = texts[i].as_py()
+            plain[i] = is_normalized("NFC", text) and is_normalized("NFC", text.encode().lower().decode())
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for lower in (True, False):
+            which = np.flatnonzero((plain == lower) & ~odd)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[which]) // GROUP)) + 1
+            for group in np.split(which, cuts):
+                if len(group):
+                    part = texts.take(pa.array(group))
+                    self._encode_group(pc.ascii_lower(part) if lower else part, group.tolist(), out)
         return out
 
+    def _encode_group(self, texts: pa.Array, rows: list[int], out: list[bytes]) -> None:
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        new = [c for c in chunks if c not in self.known]
+        if self.older and new:
+            older = self.older
+            self.known.update((c, older[c]) for c in new if c in older)
+            new = [c for c in new if c not in older]
+        extra = self._learn(new)
+        known = self.known
+        packed = [known[c] if c in known else extra[c] for c in chunks] if extra else [known[c] for c in chunks]
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        many = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first = np.cumsum(many) - many
+        index = coded.indices.to_numpy()
+        per_chunk = many[index]
+        ends = np.cumsum(per_chunk)
+        where = np.repeat(first[index] - (ends - per_chunk), per_chunk) + np.arange(ends[-1] if len(ends) else 0)
+        stream = ids[where].tobytes()
+        marks = 4 * np.r_[0, ends][bounds]
+        for i, a, z in zip(rows, marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+            out[i] = stream[a:z]
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
-    def _learn(self, chunks) -> dict[bytes, bytes]:
-        """Adds chunks to the table; returns the ids of those too long to keep."""
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Adds words to the table; returns the ids of chunks that are not kept: long ones, and words with marks behind."""
         known, heads, joined, extra = self.known, set(), [], {}
         for c in chunks:
             head = c.rstrip(MARKS)
-            if head and head is not c and len(head) < len(c) and head[-1:].isalnum():
+            if head and len(head) < len(c) and head[-1].isascii() and head[-1].isalnum():
                 tail = c[len(head) :]
                 joined.append((c, head, tail))
                 heads.add(head)
@@ -97,11 +124,11 @@ class ChunkEncoder:
             else:
                 heads.add(c)
         todo = heads.difference(known)
-        words = [w for w in todo if w.isalpha() and len(w) <= 64]
-        rest = [w for w in todo if not (w.isalpha() and len(w) <= 64)]
+        words = [w for w in todo if w.isascii() and w.isalpha() and len(w) <= 64]
+        rest = list(todo.difference(words))
         for at in range(0, len(words), 4000):
             some = words[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(some):
                 rest += some
@@ -112,18 +139,11 @@ class ChunkEncoder:
                 start = end
         for at in range(0, len(rest), 4000):
             some = rest[at : at + 4000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                if len(w) <= 64 and ids:
-                    known[w] = ids
-                else:
-                    extra[w] = ids
+            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                (known if len(w) <= 64 else extra)[w] = np.array(e.ids, "<u4").tobytes()
         for c, head, tail in joined:
-            ids = (known.get(head) or extra.get(head, b"")) + (known.get(tail) or extra.get(tail, b""))
-            if len(c) <= 80 and ids:
-                known[c] = ids
-            else:
-                extra[c] = ids
+            ids = (known[head] if head in known else extra[head]) + (known[tail] if tail in known else extra[tail])
+            extra[c] = ids
         return extra
 
 

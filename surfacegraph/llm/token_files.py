@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         offsets, ids, nulls = [0], [], 0
         with workspace.open_out(path + ".tokens") as out:
             for b in batches:
-                for doc, packed in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t").to_pylist()), strict=True):
+                for doc, packed in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), strict=True):
                     out.write(np.frombuffer(packed, "<u4").astype(kind).tobytes() + tail)
                     offsets.append(offsets[-1] + len(packed) // 4 + 1)
                     nulls += doc is None
