@@ -7,7 +7,7 @@ Equal windows have equal anchors at equal places, so only occurrences of a
 repeated gram are candidates. An occurrence's segment is what the windows
 assigned to it can cover; an equal segment elsewhere proves all of it repeated
 by counting. Segments that are alone but share their gram with others are
-joined into texts of about a megabyte, and there the method proper decides:
+joined into texts of bounded size, and there the method proper decides:
 from the suffix order a Burrows-Wheeler transform is made, and backward
 extension, breadth first, derives the common prefixes of neighbouring suffixes
 by increasing value, stopping at ``length``; neighbours that have got no value
@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ from . import bloom
 from .workspace import written
 
 #: Bytes of documents that are hashed together.
-GROUP = 4_000_000
+GROUP = 400_000
 #: Bytes of segments that one Burrows-Wheeler transform takes, about.
-TEXT = 1_000_000
+TEXT = 500_000
 #: Different segments of one gram, beyond which its windows are halved instead.
 HOT = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -84,13 +85,14 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, gram hash) of every window's anchor, each once."""
+def anchors(raw: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, position, gram hash) of every window's anchor, each once.
+
+    ``raw`` holds the texts one after another; ``sizes`` has their lengths.
+    """
     k = gram_size(length)
     span = length - k + 1
-    sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
     n_windows = len(raw) - length + 1
     if n_windows <= 0:
         none = np.zeros(0, np.int64)
@@ -125,21 +127,26 @@ def segment(n: int, at: int, length: int) -> tuple[int, int]:
 
 
 def _groups(batches, column: int):
-    """Batches' rows in groups of about GROUP bytes of text: (batch, rows, texts)."""
+    """Batches' rows in groups of about GROUP bytes of text: (batch, bytes, sizes). Copies no text."""
     for b in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(column).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= GROUP or i == len(texts) - 1:
-                yield b.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        if not b.num_rows:
+            continue
+        sizes = pc.binary_length(b.column(column)).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            part = b.slice(start, end - start)
+            texts = part.column(column)
+            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + end - start + 1]
+            data = texts.buffers()[2]
+            raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+            yield part, raw, sizes[start:end]
 
 
 def _gram_counts(length: int):
     def run(batches):
-        for _, texts in _groups(batches, 0):
-            g, n = np.unique(anchors(texts, length)[2], return_counts=True)
+        for _, raw, sizes in _groups(batches, 0):
+            g, n = np.unique(anchors(raw, sizes, length)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
 
     return run
@@ -149,13 +156,14 @@ def _occurrences(length: int):
     from xxhash import xxh64_intdigest
 
     def run(batches):
-        for b, texts in _groups(batches, 2):
-            owner, at, g = anchors(texts, length)
-            sizes = np.array([len(t) for t in texts], np.int64)[owner]
+        for b, raw, sizes in _groups(batches, 2):
+            owner, at, g = anchors(raw, sizes, length)
+            begin = (np.cumsum(sizes) - sizes)[owner]
             lo = np.maximum(0, at - (length - gram_size(length)))
-            hi = np.minimum(sizes, at + length)
+            hi = np.minimum(sizes[owner], at + length)
+            view = memoryview(np.ascontiguousarray(raw))
             seg = np.fromiter(
-                (xxh64_intdigest(texts[o][x:z], a - x) for o, x, z, a in zip(owner.tolist(), lo.tolist(), hi.tolist(), at.tolist(), strict=True)), np.uint64, len(at)
+                (xxh64_intdigest(view[x:z], left) for x, z, left in zip((begin + lo).tolist(), (begin + hi).tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at)
             )
             pick = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
@@ -238,8 +246,9 @@ def repeated_windows(segments: list[bytes], owners: np.ndarray, starts: np.ndarr
     hit = several[run]
     found, where = of[hit], (order - begins[of])[hit]
     by = np.lexsort((where, found))
-    cuts = np.searchsorted(found[by], np.arange(len(segments) + 1))
-    return [where[by][a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    found, where = found[by], where[by]
+    cuts = np.searchsorted(found, np.arange(len(segments) + 1))
+    return [where[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def _runs(offsets: np.ndarray, length: int) -> list[tuple[int, int]]:
