@@ -1,19 +1,813 @@
-"""Registry of the library's queries and their SQL."""
+"""Registry of the library's queries and their SQL.
+
+Each query runs over whole tables. ``@query(name, sql)`` registers a function
+(spark, sf_dir) -> DataFrame and the SQL that gives the same rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.urls import canonical_url, in_scope, origin, prefixes
+from .operators import govern, hierarchy, layout, occlusion, patterns, regression, report, select, spatial, state, tokens, traverse, viewport
+from .plans import derive
+from .plans.catalog import Catalog, add_observation, last_wins
+from .sources import html
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# catalogs over the tables
+
+
+def base(spark: SparkSession, sf: str) -> Catalog:
+    """Pages, elements, capabilities, visual nodes and edges from the tables."""
+    pages, ax, caps = (derive.projected(spark, sf, t, c) for t, c in (("pages", derive.PAGES), ("customer", derive.AX), ("part", derive.CAPS)))
+    vis = derive.visual(spark, sf).select("id", "ax_id", "page_id", "rect", "style", F.struct("parent").alias("tethers"), F.lit(None).cast("struct<name:string,w:double>").alias("viewport"), "seq")
+    caps = caps.withColumns({"binding": F.struct(F.lit("ax-node").alias("kind"), "ax_id"), "security": govern.tier(F.lit("button"), F.col("name"), F.lit(0))})
+    return Catalog(spark, {"pages": pages, "ax": ax, "capabilities": caps, "visual": vis, "edges": derive.tree_edges(spark, sf)})
+
+
+PAGES_SQL, AX_SQL, CAPS_SQL = derive.sql("pages", derive.PAGES), derive.sql("customer", derive.AX), derive.sql("part", derive.CAPS)
+VIS, BIG = f"WITH v AS ({derive.visual_sql()})", f"WITH v AS ({derive.visual_sql(large=True)})"
+TREE = f"WITH RECURSIVE e AS ({derive.tree_sql()})"
+
+
+# selection
+
+
+@query("q_select_role", f"WITH ax AS ({AX_SQL}) SELECT id, role, name FROM ax WHERE role IN ('button', 'link')")
+def _(spark, sf):
+    return select.select(base(spark, sf), "ax-node", {"role": ["button", "link"]}).select("id", "role", "name")
+
+
+@query("q_select_name_substr", f"WITH ax AS ({AX_SQL}) SELECT id, name FROM ax WHERE contains(name, '12')")
+def _(spark, sf):
+    return select.select(base(spark, sf), "ax-node", {"name": "12"}).select("id", "name")
+
+
+@query("q_select_name_regex", f"WITH ax AS ({AX_SQL}) SELECT id, name FROM ax WHERE regexp_matches(lower(name), '0[13579]+$')")
+def _(spark, sf):
+    return select.select(base(spark, sf), "ax-node", {"name": {"source": "0[13579]+$", "flags": "i"}}).select("id", "name")
+
+
+@query(
+    "q_any_union",
+    f"WITH ax AS ({AX_SQL}), c AS ({CAPS_SQL}), p AS ({PAGES_SQL}) SELECT 'ax-node' AS kind, id FROM ax WHERE contains(name, '1') "
+    "UNION ALL SELECT 'capability', id FROM c WHERE contains(name, '1') UNION ALL SELECT 'page', id FROM p WHERE contains(title, '1')",
+)
+def _(spark, sf):
+    out = None
+    for kind in ("ax-node", "capability", "page"):
+        one = select.select(base(spark, sf), kind, {"name": "1"}).select(F.lit(kind).alias("kind"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "q_limit",
+    f"WITH ax AS ({AX_SQL}) SELECT 'ax-node' AS kind, id, CAST(seq AS BIGINT) AS seq FROM ax WHERE role = 'button' ORDER BY seq LIMIT 51",
+)
+def _(spark, sf):
+    """A page of hits: the limit of 50 and the row that tells there are more."""
+    return select.query(base(spark, sf), "ax-node", {"role": "button"}).select("kind", "id", F.col("seq").cast("long").alias("seq"))
+
+
+@query("q_page_url_semi", f"WITH ax AS ({AX_SQL}), p AS ({PAGES_SQL}) SELECT id, page_id FROM ax WHERE page_id IN (SELECT id FROM p WHERE contains(canonical_url, 'example.org'))")
+def _(spark, sf):
+    return select.select(base(spark, sf), "ax-node", {"pageUrl": "example.org"}).select("id", "page_id")
+
+
+@query("q_has_capability", f"WITH ax AS ({AX_SQL}), c AS ({CAPS_SQL}) SELECT id, page_id FROM ax WHERE page_id IN (SELECT page_id FROM c WHERE ends_with(lower(name), '77'))")
+def _(spark, sf):
+    return select.select(base(spark, sf), "ax-node", {"hasCapability": "*77"}).select("id", "page_id")
+
+
+def _visual(where: dict):
+    def run(spark, sf):
+        c = base(spark, sf)
+        pages = c.visual.select(F.col("page_id").alias("id")).distinct().withColumn("seq", F.lit(0))
+        return select.select(c.with_tables(pages=pages), "visual-node", where).select("id", "page_id")
+
+    return run
+
+
+query("q_within_viewport", f"{VIS} SELECT id, page_id FROM v WHERE x <= 400 AND x + w >= 100 AND y <= 350 AND y + h >= 50")(_visual({"withinViewport": {"x": 100, "y": 50, "w": 300, "h": 300}}))
+query("q_visual_style", f"{VIS} SELECT id, page_id FROM v WHERE s_position = 'fixed' AND s_cursor = 'pointer'")(_visual({"visualStyle": {"position": "fixed", "cursor": "pointer"}}))
+query("q_tether_children", f"{VIS} SELECT id, page_id FROM v WHERE parent = 'v20'")(_visual({"inTether": {"axId": "a20", "relation": "children"}}))
+query("q_tether_parent", f"{VIS} SELECT id, page_id FROM v WHERE id = (SELECT parent FROM v WHERE id = 'v23')")(_visual({"inTether": {"axId": "a23", "relation": "parent"}}))
+query("q_tether_siblings", f"{VIS} SELECT id, page_id FROM v WHERE id <> 'v23' AND parent = (SELECT parent FROM v WHERE id = 'v23')")(_visual({"inTether": {"axId": "a23", "relation": "siblings"}}))
+
+
+@query("q_edges_of_elements", f"WITH ax AS ({AX_SQL}), e AS ({derive.tree_sql()}) SELECT src, dst FROM e WHERE replace(src, 'c', 'ax') IN (SELECT id FROM ax)")
+def _(spark, sf):
+    c = base(spark, sf)
+    e = c.edges.withColumn("src", F.replace("src", F.lit("c"), F.lit("ax")))
+    return select.select(c.with_tables(edges=e), "edge").select(F.replace("src", F.lit("ax"), F.lit("c")).alias("src"), "dst")
+
+
+@query("q_states", "SELECT concat('s', event_id) AS id, event_type AS route FROM events WHERE contains(event_type, 'u') AND user_id % 3 = 0")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events")
+    states = e.select(F.concat(F.lit("s"), "event_id").alias("id"), F.col("event_type").alias("route"), F.when(F.col("user_id") % 3 == 0, "anonymous").otherwise("authenticated").alias("auth_kind"))
+    return select.select(Catalog(spark, {"states": states}), "state", {"stateRoute": "u", "stateAuthKind": "anonymous"}).select("id", "route")
+
+
+@query("m_last_wins", "SELECT user_id, max_by(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    return last_wins(e, "user_id", "event_id")
+
+
+@query("i_primary_visual", f"{VIS}, w AS (SELECT 'a' || (seq % 100) AS ax_id, id, seq, seq % 3 > 0 AS has_viewport FROM v) SELECT ax_id, id FROM w QUALIFY row_number() OVER (PARTITION BY ax_id ORDER BY has_viewport, seq) = 1")
+def _(spark, sf):
+    v = base(spark, sf).visual.withColumns({"ax_id": F.concat(F.lit("a"), (F.col("seq") % 100).cast("string")), "viewport": F.when(F.col("seq") % 3 > 0, F.struct(F.lit("mobile").alias("name")))})
+    return Catalog(spark, {"visual": v}).primary_visual().select("ax_id", "id")
+
+
+@query("i_observations", f"{VIS} SELECT concat('a', seq % 50) AS ax_id, CASE seq % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' ELSE 'desktop' END AS vp_key, max(seq) AS last FROM v GROUP BY 1, 2")
+def _(spark, sf):
+    v = base(spark, sf).visual
+    name = F.when(F.col("seq") % 4 == 0, "Mobile").when(F.col("seq") % 4 == 1, "tablet").otherwise("desktop")
+    obs = v.select(F.concat(F.lit("a"), (F.col("seq") % 50).cast("string")).alias("ax_id"), F.struct(name.alias("name")).alias("viewport"), F.col("seq").alias("last"), "seq").withColumn("vp_key", F.lower("viewport.name"))
+    return add_observation(obs.limit(0), obs).select("ax_id", "vp_key", "last")
+
+
+# traversal
+
+REACH = "r(id, hops) AS (SELECT 'r1', 0 UNION ALL SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.id WHERE r.hops < {n})"
+
+
+@query("q_reachable_from", f"{TREE}, {REACH.format(n=3)} SELECT id, CAST(min(hops) AS INT) AS hops FROM r WHERE hops > 0 GROUP BY id")
+def _(spark, sf):
+    return traverse.reachable(derive.tree_edges(spark, sf), "r1", None, 3)
+
+
+@query("t_descendants", f"{TREE}, n AS ({derive.tree_nodes_sql()}), {REACH.format(n=2)} SELECT r.id, CAST(hops AS INT) AS hops, name FROM r JOIN n USING (id) WHERE hops > 0")
+def _(spark, sf):
+    return traverse.descendants(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "r1", "a11y:child-of", 2).select("id", "hops", "name")
+
+
+@query("t_ancestors", f"{TREE}, n AS ({derive.tree_nodes_sql()}), r(id, hops) AS (SELECT 'o1', 0 UNION ALL SELECT e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.id WHERE r.hops < 5) SELECT r.id, CAST(hops AS INT) AS hops, name FROM r JOIN n USING (id) WHERE hops > 0")
+def _(spark, sf):
+    return traverse.ancestors(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "o1", "a11y:child-of", 5).select("id", "hops", "name")
+
+
+@query("t_children", f"{TREE}, n AS ({derive.tree_nodes_sql()}) SELECT n.id, name FROM e JOIN n ON n.id = e.dst WHERE src = 'n5'")
+def _(spark, sf):
+    return traverse.children(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "n5", "a11y:child-of").select("id", "name")
+
+
+@query("t_parent", f"{TREE}, n AS ({derive.tree_nodes_sql()}) SELECT n.id, name FROM e JOIN n ON n.id = e.src WHERE dst = 'c7'")
+def _(spark, sf):
+    return traverse.parent(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "c7", "a11y:child-of").select("id", "name")
+
+
+@query("t_bfs_order", f"{TREE}, a AS (SELECT dst, row_number() OVER (ORDER BY seq) AS rank FROM e WHERE src = 'r2'), b AS (SELECT e.dst, row_number() OVER (ORDER BY a.rank, e.seq) AS rank FROM a JOIN e ON e.src = a.dst) SELECT dst AS id, 1 AS hops, rank FROM a UNION ALL SELECT dst, 2, rank FROM b")
+def _(spark, sf):
+    """The order in which a queue reaches nodes: the parent's rank, then the order of edges."""
+    return traverse.search(derive.tree_edges(spark, sf), "r2", None, 2).where("hops > 0").select("id", "hops", "rank")
+
+
+@query("t_shortest_path", f"{TREE}, r(id, hops) AS (SELECT 'o1', 0 UNION ALL SELECT e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.id) SELECT CAST(max(hops) AS INT) AS cost, max(CASE WHEN hops = 3 THEN id END) AS start FROM r")
+def _(spark, sf):
+    edges = derive.tree_edges(spark, sf)
+    root = traverse.search(edges, "o1", None, 5, reverse=True).where("hops = 3").first()["id"]
+    path = traverse.find_path(edges, root, "o1")
+    return spark.createDataFrame([(path["cost"], path["hops"][0]["from"])], "cost int, start string")
+
+
+def state_edges(spark, sf) -> DataFrame:
+    s = derive.steps(spark, sf).where("next_type is not null and event_type <> next_type")
+    rows = s.groupBy(F.concat(F.lit("state:"), "event_type").alias("before"), F.concat(F.lit("state:"), "next_type").alias("after")).agg(F.min("event_id").alias("seq"))
+    return state.successors(rows.withColumns({"trigger": F.lit("click"), "provenance": F.lit("observed")}))
+
+
+STATE_EDGES = f"SELECT DISTINCT concat('state:', event_type) AS src, concat('state:', next_type) AS dst FROM ({derive.STEPS_SQL}) WHERE next_type IS NOT NULL AND event_type <> next_type"
+
+
+@query("f_successors", STATE_EDGES)
+def _(spark, sf):
+    return state_edges(spark, sf).select("src", "dst")
+
+
+@query("t_state_reachable", f"WITH RECURSIVE e AS ({STATE_EDGES}), r(id, hops) AS (SELECT 'state:signup', 0 UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.id WHERE r.hops < 4) SELECT id, CAST(min(hops) AS INT) AS hops FROM r WHERE id <> 'state:signup' GROUP BY id")
+def _(spark, sf):
+    return traverse.reachable(state_edges(spark, sf), "state:signup", "state:successor", 4)
+
+
+@query("t_explain_forward", f"{TREE} SELECT src AS at, dst AS to, 0 AS hops FROM e WHERE src = 'n3' UNION ALL SELECT b.src, b.dst, 1 FROM e a JOIN e b ON b.src = a.dst WHERE a.src = 'n3'")
+def _(spark, sf):
+    nodes = derive.tree_nodes(spark, sf).withColumn("page_id", F.lit("p"))
+    c = Catalog(spark, {"ax": nodes, "edges": derive.tree_edges(spark, sf)})
+    return traverse.explain(c, "n3", 2)["forward"].select("at", "to", "hops")
+
+
+# geometry
+
+PAIRS = "a.page_id = b.page_id AND a.id <> b.id"
+INSIDE = "(a.x >= b.x - 2 AND a.y >= b.y - 2 AND a.x + a.w <= b.x + b.w + 2 AND a.y + a.h <= b.y + b.h + 2 AND a.w * a.h < b.w * b.h)"
+OX, OY = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))", "greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+
+
+def _beside(kind: str, gap: str, common: str) -> str:
+    return f"SELECT a.page_id, a.id AS src, b.id AS dst, 'visual:{kind}' AS kind, CAST(greatest(0, floor({gap} + 0.5)) AS DOUBLE) AS distance, CAST(floor({common} + 0.5) AS DOUBLE) AS overlap FROM v a JOIN v b ON {PAIRS} WHERE NOT {INSIDE} AND {common} >= 4 AND {gap} BETWEEN -2 AND 64"
+
+
+@query(
+    "s_spatial_relations",
+    f"{VIS} SELECT a.page_id, a.id AS src, b.id AS dst, 'visual:nested-in' AS kind, CAST(0 AS DOUBLE) AS distance, CAST(floor(a.w * a.h + 0.5) AS DOUBLE) AS overlap FROM v a JOIN v b ON {PAIRS} WHERE {INSIDE} UNION ALL "
+    + " UNION ALL ".join([_beside("above", "(b.y - a.y - a.h)", OX), _beside("below", "(a.y - b.y - b.h)", OX), _beside("left-of", "(b.x - a.x - a.w)", OY), _beside("right-of", "(a.x - b.x - b.w)", OY)]),
+)
+def _(spark, sf):
+    return spatial.relations(derive.visual(spark, sf))
+
+
+def occlusion_nodes(spark, sf) -> DataFrame:
+    v = derive.visual(spark, sf)
+    none = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")
+    return v.withColumns({"parent": F.lit(None).cast("string"), "padding_box": none, "is_scroll": F.lit(False), "is_stacking": F.lit(False), "has_children": F.lit(False), "z": F.lit(None).cast("int")})
+
+
+CLIP = f"{VIS}, c AS (SELECT *, greatest(x, 0) AS x0, greatest(y, 0) AS y0, least(x + w, 1440) AS x1, least(y + h, 900) AS y1, CASE WHEN s_position IN ('fixed', 'sticky') THEN 1 ELSE 0 END AS fl, CAST(s_zindex AS INT) AS zi FROM v), o AS (SELECT a.id, b.id AS other, greatest(a.x0, b.x) AS x0, greatest(a.y0, b.y) AS y0, least(a.x1, b.x + b.w) AS x1, least(a.y1, b.y + b.h) AS y1 FROM c a JOIN c b ON {PAIRS} AND b.s_display <> 'none' AND (b.zi > a.zi OR (b.zi = a.zi AND b.fl > a.fl)) AND least(a.x1, b.x + b.w) > greatest(a.x0, b.x) AND least(a.y1, b.y + b.h) > greatest(a.y0, b.y)), "
+UNCOVERED = "xs AS (SELECT id, x0 AS x FROM o UNION SELECT id, x1 FROM o), ys AS (SELECT id, y0 AS y FROM o UNION SELECT id, y1 FROM o), xi AS (SELECT id, x, lead(x) OVER (PARTITION BY id ORDER BY x) AS xe FROM xs), yi AS (SELECT id, y, lead(y) OVER (PARTITION BY id ORDER BY y) AS ye FROM ys), cov AS (SELECT xi.id, sum((xe - x) * (ye - y)) AS area FROM xi JOIN yi USING (id) WHERE xe IS NOT NULL AND ye IS NOT NULL AND EXISTS (SELECT 1 FROM o WHERE o.id = xi.id AND o.x0 <= x AND o.x1 >= xe AND o.y0 <= y AND o.y1 >= ye) GROUP BY xi.id)"
+
+
+@query(
+    "s_occlusion",
+    CLIP + UNCOVERED + ", f AS (SELECT c.id, w * h AS total, (x1 - x0) * (y1 - y0) - coalesce(area, 0) AS free, (SELECT count(*) FROM o WHERE o.id = c.id) AS n FROM c LEFT JOIN cov USING (id)) "
+    "SELECT id, CAST(round(CAST(free / total AS DECIMAL(30, 17)), 4) AS DOUBLE) AS visible_ratio, round(CAST(free / total AS DECIMAL(30, 17)), 4) < 0.5 AS is_occluded, CAST(floor(free + 0.5) AS DOUBLE) AS visible_area, CAST(n AS INT) AS occluders FROM f",
+)
+def _(spark, sf):
+    return occlusion.occlusion(occlusion_nodes(spark, sf)).select("id", "visible_ratio", "is_occluded", "visible_area", F.size("occluded_by").alias("occluders"))
+
+
+@query("s_paint_order", CLIP.rstrip(", ") + " SELECT id, other FROM o")
+def _(spark, sf):
+    n = occlusion.clipped(occlusion_nodes(spark, sf))
+    s = F.col("style")
+    n = n.withColumn("rank", occlusion.paint_rank(s, F.col("is_stacking"), F.col("z"))).withColumn("occludes", occlusion.can_occlude(s, F.col("has_children")))
+    return occlusion.occluders(n).select("id", "other")
+
+
+@query("s_occluded_nodes", f"{VIS} SELECT id FROM v WHERE seq % 10 < 5 AND (seq % 3 = 0 OR (seq % 10) / 10.0 < 0.3)")
+def _(spark, sf):
+    v = derive.visual(spark, sf)
+    o = F.struct(((F.col("seq") % 10) / 10.0).alias("visible_ratio"), (F.col("seq") % 3 == 0).alias("is_occluded"))
+    return occlusion.occluded_nodes(v.withColumn("occlusion", F.when(F.col("seq") % 10 < 5, o)), min_ratio=0.3).select("id")
+
+
+@query("s_neighbors", f"{VIS} SELECT b.id, 'visual:above' AS kind, CAST(greatest(0, b.y - a.y - a.h) AS DOUBLE) AS distance FROM v a JOIN v b ON {PAIRS} WHERE a.id = 'v17' AND NOT {INSIDE} AND {OX} >= 4 AND b.y - a.y - a.h BETWEEN -2 AND 64")
+def _(spark, sf):
+    v = derive.visual(spark, sf)
+    edges = spatial.relations(v).withColumn("seq", F.lit(0).cast("long"))
+    return spatial.neighbors(edges, v, "v17", "above").select("id", "kind", "distance")
+
+
+# layout
+
+PX = "CAST(regexp_extract({0}, '^[0-9.]+') AS DOUBLE)"
+
+
+@query(
+    "v_box_model",
+    f"{VIS}, m AS (SELECT *, {PX.format('s_padding_left')} AS p, {PX.format('s_border_top_width')} AS b, {PX.format('s_margin_left')} AS m FROM v) "
+    "SELECT id, x AS padding_x, y + b AS padding_y, h - b AS padding_h, x + p AS content_x, w - p AS content_w, x - m AS margin_x, w + m AS margin_w FROM m",
+)
+def _(spark, sf):
+    v = derive.visual(spark, sf)
+    b = v.select("id", layout.box_model(F.col("rect"), F.col("style")).alias("b"))
+    return b.select("id", *[F.col(f"b.{box}.{k}").alias(f"{n}_{k}") for n, box, k in (("padding", "padding_box", "x"), ("padding", "padding_box", "y"), ("padding", "padding_box", "h"), ("content", "content", "x"), ("content", "content", "w"), ("margin", "margin_box", "x"), ("margin", "margin_box", "w"))])
+
+
+@query(
+    "v_stacking",
+    f"{VIS} SELECT id, concat_ws('|', CASE WHEN s_position = 'absolute' THEN concat('position:absolute z-index:', s_zindex) END, CASE WHEN s_position IN ('fixed', 'sticky') THEN concat('position:', s_position) END, CASE WHEN s_opacity = '0.5' THEN 'opacity:0.5' END) AS reasons FROM v",
+)
+def _(spark, sf):
+    return derive.visual(spark, sf).select("id", F.array_join(layout.stacking_context(F.col("style"))["reasons"], "|").alias("reasons"))
+
+
+@query(
+    "v_container",
+    f"{BIG} SELECT id, CASE WHEN s_display = 'grid' THEN 'grid' WHEN s_display = 'flex' THEN 'flex' WHEN ((seq % 4 > 0 AND seq % 20 > 0) OR s_boxshadow <> 'none') AND w > 80 AND h > 60 THEN 'card' WHEN seq % 5 = 0 THEN 'section' WHEN w > 40 AND h > 40 THEN 'container' ELSE 'none' END AS kind FROM v",
+)
+def _(spark, sf):
+    v = derive.visual(spark, sf, large=True)
+    tag = F.when(F.col("seq") % 5 == 0, "nav").otherwise("div")
+    none = F.lit(None).cast("string")
+    return v.select("id", layout.container_type(F.col("rect"), F.col("style"), tag, none, none, F.lit(0), F.lit(False)).alias("kind"))
+
+
+@query(
+    "l_siblings",
+    f"{VIS} SELECT id, CAST(row_number() OVER w - 1 AS INT) AS before, CAST(count(*) OVER (PARTITION BY page_id, parent) - row_number() OVER w AS INT) AS after, first_value(id) OVER w AS first FROM v WINDOW w AS (PARTITION BY page_id, parent ORDER BY y, x, seq)",
+)
+def _(spark, sf):
+    s = layout.siblings(derive.visual(spark, sf))
+    first = F.coalesce(F.get("siblings_before", F.lit(0)), F.col("id"))
+    return s.select("id", F.size("siblings_before").alias("before"), F.size("siblings_after").alias("after"), first.alias("first"))
+
+
+@query(
+    "l_alignment",
+    f"{VIS}, g AS (SELECT *, concat('g', seq % 7) AS grp FROM v), k AS (SELECT a.page_id, a.id AS src, b.id AS dst, CASE WHEN abs(a.y - b.y) <= 2 AND abs(a.h - b.h) <= 2 THEN 'aligned-horizontally' WHEN abs(a.x - b.x) <= 2 AND abs(a.w - b.w) <= 2 THEN 'aligned-vertically' WHEN abs(a.x + a.w / 2 - b.x - b.w / 2) <= 4 THEN 'centred-with' END AS alignment FROM g a JOIN g b ON {PAIRS} AND a.grp = b.grp) SELECT * FROM k WHERE alignment IS NOT NULL",
+)
+def _(spark, sf):
+    return layout.alignments(derive.visual(spark, sf).withColumn("parent", F.concat(F.lit("g"), (F.col("seq") % 7).cast("string"))))
+
+
+@query(
+    "l_prominence",
+    f"{VIS} SELECT id, CAST(floor(CAST(s_zindex AS DOUBLE) / 10 * 60 + 0.5) AS DOUBLE) AS z_index, CAST(CASE WHEN s_opacity = '0.5' THEN 50 ELSE 0 END AS DOUBLE) AS opacity, CAST(greatest(0, least(100, floor((seq % 20) / 16.0 * 100 + 0.5))) AS DOUBLE) AS font_size, s_position <> 'static' AS is_overlay, s_cursor = 'pointer' AS is_interactive, floor((seq % 20) / 16.0 * 100 + 0.5) > 90 AS is_prominent FROM v",
+)
+def _(spark, sf):
+    return derive.visual(spark, sf).select("id", layout.prominence(F.col("style")).alias("p")).select("id", "p.z_index", "p.opacity", "p.font_size", "p.is_overlay", "p.is_interactive", "p.is_prominent")
+
+
+@query("l_responsive", f"{VIS} SELECT id, CASE WHEN s_flex_wrap = 'wrap' THEN 'flex-wrap' WHEN seq % 5 IN (0, 2) THEN 'fluid-width' ELSE 'fixed-width' END AS strategy FROM v WHERE s_flex_wrap = 'wrap' OR seq % 5 < 3")
+def _(spark, sf):
+    return derive.visual(spark, sf).select("id", layout.responsive(F.col("style"))["strategy"].alias("strategy")).where("strategy is not null")
+
+
+@query(
+    "l_components",
+    f"WITH RECURSIVE v AS ({derive.visual_sql(large=True, where='p_partkey % 9 = 0')}), l AS (SELECT a.page_id, a.seq AS a, b.seq AS b FROM v a JOIN v b ON {PAIRS} AND {OX} >= 24 AND {OY} >= 24), r AS (SELECT page_id, a AS seq, a AS root FROM l UNION SELECT l.page_id, l.b, r.root FROM r JOIN l ON l.page_id = r.page_id AND l.a = r.seq), c AS (SELECT page_id, seq, min(root) AS label FROM r GROUP BY page_id, seq) SELECT page_id, concat('v', label) AS group_id, CAST(count(*) AS INT) AS members, CAST(least(95, greatest(40, 30 + count(*) * 8)) AS INT) AS confidence FROM c GROUP BY page_id, label",
+)
+def _(spark, sf):
+    v = derive.visual(spark, sf, large=True, where="p_partkey % 9 = 0").withColumn("children", F.array().cast("array<string>"))
+    return layout.component_groups(v).select("page_id", "group_id", F.size("member_ids").alias("members"), "confidence")
+
+
+@query("l_tethers", f"{VIS} SELECT ax_id, CASE WHEN s_position IN ('fixed', 'absolute', 'sticky') THEN (SELECT CASE WHEN p.s_position <> 'static' THEN p.ax_id END FROM v p WHERE p.id = v.parent) ELSE replace(parent, 'v', 'a') END AS parent FROM v")
+def _(spark, sf):
+    v = derive.visual(spark, sf).withColumn("parent_ax_id", F.replace("parent", F.lit("v"), F.lit("a")))
+    return layout.tethers(v.drop("parent")).select("ax_id", "parent")
+
+
+# patterns, viewports, regression
+
+FLOAT, STUCK = "s_position IN ('fixed', 'absolute')", "s_position IN ('fixed', 'sticky')"
+ACTS = "(role IN ('button', 'link') OR s_cursor = 'pointer')"
+CORNER, COMPACT = "(y + h >= 540 AND (x + w >= 864 OR x <= 504))", "(w BETWEEN 28 AND 140 AND h BETWEEN 28 AND 140)"
+ROUND = "(s_boxshadow <> 'none')"
+NEAR = "c.x >= o.x AND c.y >= o.y AND c.x + c.w <= o.x + o.w + 10 AND c.y + c.h <= o.y + o.h AND c.x >= o.x + o.w - 60 AND c.y <= o.y + 60"
+_PATTERNS = [
+    ("fab", f"{FLOAT} AND {ACTS} AND ({CORNER} OR {COMPACT}) AND (60 + CASE WHEN {CORNER} THEN 15 ELSE 0 END + CASE WHEN {COMPACT} THEN 10 ELSE 0 END + CASE WHEN {ROUND} THEN 10 ELSE 0 END) >= 75"),
+    ("modal-backdrop", f"{FLOAT} AND w >= 1080 AND h >= 675 AND x <= 30 AND y <= 30 AND s_opacity = '0.5'"),
+    ("dialog-overlay", f"role = 'dialog' OR ({FLOAT} AND abs(x + w / 2 - 720) <= 360 AND abs(y + h / 2 - 450) <= 225 AND w >= 180 AND h >= 80 AND (w < 1368 OR h < 855) AND {ROUND})"),
+    ("sticky-header", f"{STUCK} AND y <= 20 AND w >= 936 AND h BETWEEN 24 AND 260"),
+    ("sticky-footer", f"{STUCK} AND y + h >= 860 AND w >= 936 AND h BETWEEN 24 AND 260"),
+    ("dismiss-button", f"{ACTS} AND (name = 'Close' OR (role = 'button' AND w <= 50 AND h <= 50 AND corner))"),
+    ("form-group", "(role = 'group' OR container_type <> 'none') AND held BETWEEN 1 AND 10 AND (role = 'group' OR has_input)"),
+    ("toast-notification", f"{FLOAT} AND role = 'alert' AND (y <= 120 OR y + h >= 780) AND w BETWEEN 160 AND 480 AND h BETWEEN 32 AND 180"),
+]
+
+
+@query(
+    "v_patterns",
+    f"{BIG}, f AS (SELECT c.*, EXISTS (SELECT 1 FROM v o WHERE o.page_id = c.page_id AND o.id <> c.id AND {NEAR}) AS corner, g.held, g.has_input FROM v c LEFT JOIN (SELECT c.id, count(*) AS held, bool_or(o.s_cursor = 'pointer') AS has_input FROM v c JOIN v o ON o.page_id = c.page_id AND o.id <> c.id AND o.x >= c.x - 5 AND o.y >= c.y - 5 AND o.x + o.w <= c.x + c.w + 5 AND o.y + o.h <= c.y + c.h + 5 WHERE c.role = 'group' OR c.container_type <> 'none' GROUP BY c.id) g ON g.id = c.id), "
+    "p AS (SELECT id, concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PATTERNS) + ") AS found FROM f) SELECT id, found, split_part(found, '|', 1) AS primary_pattern FROM p WHERE found <> ''",
+)
+def _(spark, sf):
+    v = derive.visual(spark, sf, large=True).withColumn("focusable", F.lit(False))
+    return patterns.patterns(v).select("id", F.array_join(F.transform("patterns", lambda p: p["pattern"]), "|").alias("found"), "primary_pattern")
+
+
+SHIFT = {"x": "CASE seq % 4 WHEN 0 THEN x + 3 WHEN 1 THEN x + 60 ELSE x END", "w": "CASE seq % 5 WHEN 0 THEN w + 30 ELSE w END", "display": "CASE WHEN seq % 13 = 0 THEN 'none' WHEN seq % 13 = 1 THEN 'flex' ELSE s_display END"}
+MOVED = f", m AS (SELECT *, {SHIFT['x']} AS bx, {SHIFT['w']} AS bw, {SHIFT['display']} AS bd FROM v)"
+
+
+def moved(spark, sf) -> DataFrame:
+    v = derive.visual(spark, sf)
+    r, k = F.col("rect"), F.col("seq")
+    x = F.when(k % 4 == 0, r["x"] + 3).when(k % 4 == 1, r["x"] + 60).otherwise(r["x"])
+    w = F.when(k % 5 == 0, r["w"] + 30).otherwise(r["w"])
+    display = F.when(k % 13 == 0, "none").when(k % 13 == 1, "flex").otherwise(F.col("style")["display"])
+    style = F.map_concat(F.map_filter("style", lambda n, _: n != "display"), F.create_map(F.lit("display"), display))
+    return v.withColumns({"rect": F.struct(x.alias("x"), r["y"].alias("y"), w.alias("w"), r["h"].alias("h")), "style": style})
+
+
+def views(spark, sf) -> DataFrame:
+    seen = lambda df: df.withColumn("visibility", F.lit("visible"))
+    return viewport.pair_up(seen(derive.visual(spark, sf)), seen(moved(spark, sf)))
+
+
+MUTATION = "CASE WHEN bd = 'none' THEN 'hide' WHEN s_display <> bd OR (bw - w) / w * 100 >= 15 THEN 'reflow' WHEN abs(bx - x) >= 10 THEN 'reposition' ELSE 'unchanged' END"
+
+
+@query("v_mutation", f"{VIS}{MOVED}, k AS (SELECT page_id, ax_id, x, bx, w, bw, s_display, bd, {MUTATION} AS type FROM m) SELECT page_id, ax_id, type, CASE WHEN type = 'hide' THEN 'high' WHEN type = 'reflow' THEN CASE WHEN s_display <> bd OR (bw - w) / w * 100 > 50 THEN 'high' ELSE 'medium' END WHEN type = 'reposition' THEN 'low' ELSE 'none' END AS severity FROM k")
+def _(spark, sf):
+    return viewport.mutations(views(spark, sf))
+
+
+@query("v_page_mutation_counts", f"{VIS}{MOVED}, k AS (SELECT page_id, {MUTATION} AS type FROM m) SELECT page_id, " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS {t}_count" for t in ("reflow", "hide", "show", "reorder", "reposition", "unchanged")) + ", count(*) AS total_elements FROM k GROUP BY page_id")
+def _(spark, sf):
+    return viewport.page_mutations(viewport.mutations(views(spark, sf)))
+
+
+@query("v_viewport_diff", f"{VIS}{MOVED} SELECT ax_id, bx - x AS dx, bw - w AS dw, floor((bw - w) / w * 100 * 100 + 0.5) / 100 AS width_percent, CAST(CASE WHEN s_display <> bd THEN 1 ELSE 0 END AS INT) AS style_changes FROM m")
+def _(spark, sf):
+    return viewport.differences(views(spark, sf)).select("ax_id", "dx", "dw", "width_percent", F.size("style_changes").alias("style_changes"))
+
+
+@query("v_at_viewport", f"{VIS} SELECT ax_id, CASE WHEN seq % 3 = 0 THEN 'observed' WHEN seq % 3 = 1 THEN 'own' END AS source FROM v")
+def _(spark, sf):
+    v = derive.visual(spark, sf).withColumn("visibility", F.lit("visible"))
+    view = lambda df, name, tag: df.withColumns({"viewport": F.struct(F.lit(name).alias("name"), F.lit(390.0).alias("w")), "visibility": F.lit(tag)})
+    observed, own = view(v.where("seq % 3 = 0"), "Mobile", "observed"), view(v.where("seq % 3 < 2"), "mobile", "own")
+    return viewport.at_viewport(v.select("ax_id"), observed, own, name="mobile").select("ax_id", F.col("visibility").alias("source"))
+
+
+def sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    refs = lambda k: F.filter(F.array(F.lit("color.a"), F.when(F.col("seq") % 6 == 0, k)), lambda t: t.isNotNull())
+    own = {"primary_pattern": F.when(F.col("seq") % 10 == 0, "fab"), "visible_ratio": F.lit(None).cast("double"), "is_occluded": F.lit(False)}
+    a = derive.visual(spark, sf).withColumns(own | {"refs": refs(F.lit("size.m"))}).where("seq % 17 <> 3")
+    b = moved(spark, sf).withColumns(own | {"refs": refs(F.lit("size.s"))}).where("seq % 19 <> 5")
+    return a, b
+
+
+_SEV = "CASE greatest({0}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END"
+_SHIFT_RANK = "CASE WHEN abs(bx - x) >= 50 THEN 4 WHEN abs(bx - x) >= 1 THEN 1 ELSE 0 END"
+_SIZE_RANK = "CASE WHEN bw - w >= 10 THEN 2 ELSE 0 END"
+_STYLE_RANK = "CASE WHEN s_display <> bd THEN 4 ELSE 0 END"
+_TOKEN_RANK = "CASE WHEN seq % 6 = 0 THEN 2 ELSE 0 END"
+_SEEN_RANK = "CASE WHEN s_display <> 'none' AND bd = 'none' THEN 4 ELSE 0 END"
+_RANKS = [_SHIFT_RANK, _SIZE_RANK, _STYLE_RANK, _TOKEN_RANK, _SEEN_RANK]
+DIFFS = (
+    f"{VIS}{MOVED}, d AS (SELECT page_id, ax_id, seq, CASE WHEN seq % 17 = 3 THEN 'added' WHEN seq % 19 = 5 THEN 'removed' ELSE 'matched' END AS status, "
+    + " + ".join(f"CASE WHEN {r} > 0 THEN 1 ELSE 0 END" for r in _RANKS)
+    + f" AS n, {_SEV.format(', '.join(_RANKS))} AS sev, floor(least(1, w * h / 2073600) * least(1, abs(bx - x) / 1920) * 10000 + 0.5) / 10000 AS score FROM m WHERE NOT (seq % 17 = 3 AND seq % 19 = 5)), "
+    "f AS (SELECT page_id, ax_id, status, CAST(CASE status WHEN 'added' THEN 0 WHEN 'removed' THEN 1 ELSE n END AS INT) AS defects, CASE status WHEN 'added' THEN 'none' WHEN 'removed' THEN 'high' ELSE sev END AS max_severity, CASE WHEN status = 'matched' THEN score ELSE 0 END AS shift_score FROM d)"
+)
+
+
+@query("v_regression_nodes", f"{DIFFS} SELECT * FROM f")
+def _(spark, sf):
+    d = regression.node_differences(*sides(spark, sf))
+    return d.select("page_id", "ax_id", "status", F.size("defects").alias("defects"), "max_severity", "shift_score")
+
+
+@query(
+    "v_regression_report",
+    f"{DIFFS} SELECT page_id, count(*) FILTER (WHERE status <> 'added') AS total_nodes_compared, count(*) FILTER (WHERE defects > 0) AS regressed_nodes, "
+    + ", ".join(f"count(*) FILTER (WHERE status <> 'added' AND max_severity = '{s}') AS n_{s}" for s in reversed(regression.SEVERITIES))
+    + ", floor(sum(shift_score) * 10000 + 0.5) / 10000 AS cumulative_layout_shift, count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed FROM f GROUP BY page_id",
+)
+def _(spark, sf):
+    return regression.report(regression.node_differences(*sides(spark, sf))).drop("max_severity")
+
+
+# tokens
+
+RGB = {"k1": "seq % 256", "k2": "(seq * 7) % 256", "k3": "(seq * 13) % 256"}
+TOK = f"t AS ({derive.tokens_sql()}), tc AS (SELECT path, seq AS ts, CAST(c[1] AS INT) AS r, CAST(c[2] AS INT) AS g, CAST(c[3] AS INT) AS b FROM (SELECT path, seq, CASE path WHEN 'color.a' THEN [0, 0, 0] WHEN 'color.b' THEN [10, 70, 130] WHEN 'color.c' THEN [100, 188, 20] WHEN 'color.d' THEN [200, 120, 60] WHEN 'color.e' THEN [120, 72, 24] END AS c FROM t) WHERE c IS NOT NULL), tl AS (SELECT path, seq AS ts, CASE path WHEN 'size.s' THEN 8.0 WHEN 'size.m' THEN 16.0 WHEN 'size.l' THEN 24.0 WHEN 'size.x' THEN 3.0 END AS px FROM t WHERE path LIKE 'size.%')"
+PROPS = " UNION ALL ".join(f"SELECT ax_id, '{n}' AS property, s_{derive.style_column(n)} AS value FROM v" for n in derive.STYLES)
+CLOSE = f"c AS (SELECT ax_id, 'backgroundColor' AS property, path, ts, sqrt(CAST((seq % 256 - r) * (seq % 256 - r) + ((seq * 7) % 256 - g) * ((seq * 7) % 256 - g) + ((seq * 13) % 256 - b) * ((seq * 13) % 256 - b) AS DOUBLE)) AS dist FROM v, tc), p AS (SELECT * FROM ({PROPS}) WHERE trim(value) <> ''), l AS (SELECT ax_id, property, path, ts, abs(CASE WHEN value LIKE '%px' THEN CAST(replace(value, 'px', '') AS DOUBLE) ELSE CAST(value AS DOUBLE) END - CAST(px AS DOUBLE)) AS dist, CASE WHEN value LIKE '%px' THEN CAST(replace(value, 'px', '') AS DOUBLE) ELSE CAST(value AS DOUBLE) END AS own FROM p, tl WHERE regexp_matches(value, '^[0-9.]+(px)?$'))"
+BIND = f"{VIS}, {TOK}, {CLOSE}, x AS (SELECT ax_id, property, first_value(path) OVER (PARTITION BY ax_id, property ORDER BY t.seq) AS path, row_number() OVER (PARTITION BY ax_id, property ORDER BY t.seq) AS n FROM p JOIN t ON trim(p.value) = t.value), bc AS (SELECT ax_id, property, path, row_number() OVER (PARTITION BY ax_id, property ORDER BY ts) AS n FROM c WHERE dist = 0), bl AS (SELECT ax_id, property, path, row_number() OVER (PARTITION BY ax_id, property ORDER BY ts) AS n FROM l WHERE dist < 0.01), bound AS (SELECT ax_id, property, path, 'exact' AS match_type, 1.0 AS confidence FROM x WHERE n = 1 UNION ALL SELECT ax_id, property, path, 'normalized', 0.98 FROM bc WHERE n = 1 AND (ax_id, property) NOT IN (SELECT (ax_id, property) FROM x) UNION ALL SELECT ax_id, property, path, 'normalized', 0.95 FROM bl WHERE n = 1 AND (ax_id, property) NOT IN (SELECT (ax_id, property) FROM x))"
+
+
+@query("k_bind", f"{BIND} SELECT ax_id, property, path, match_type, CAST(confidence AS DOUBLE) AS confidence FROM bound")
+def _(spark, sf):
+    return tokens.bindings(derive.visual(spark, sf), derive.tokens(spark)).select("ax_id", "property", "path", "match_type", "confidence")
+
+
+@query(
+    "k_drift",
+    f"{BIND}, d AS (SELECT ax_id, property, path, ts, dist, 15 AS low, 25 AS mid FROM c WHERE dist > 0 AND dist <= 35 UNION ALL SELECT ax_id, property, path, ts, dist, 1, 2 FROM l WHERE own > 0 AND dist > 0 AND dist <= 3), n AS (SELECT *, row_number() OVER (PARTITION BY ax_id, property ORDER BY dist, ts) AS n FROM d WHERE (ax_id, property) NOT IN (SELECT (ax_id, property) FROM bound)) "
+    "SELECT ax_id, property, path, floor(dist * 100 + 0.5) / 100 AS delta, CASE WHEN dist <= low THEN 'low' WHEN dist <= mid THEN 'medium' ELSE 'high' END AS severity FROM n WHERE n = 1",
+)
+def _(spark, sf):
+    return tokens.lint(derive.visual(spark, sf), derive.tokens(spark)).select("ax_id", "property", "path", "delta", "severity")
+
+
+@query("k_export_counts", "SELECT type, CAST(k AS BIGINT) AS n FROM (VALUES ('color', 5), ('dimension', 4), ('fontFamily', 0), ('fontWeight', 0), ('duration', 0), ('cubicBezier', 0), ('number', 0), ('string', 1), ('boolean', 1)) t(type, k)")
+def _(spark, sf):
+    return tokens.export_counts(derive.tokens(spark))
+
+
+@query("k_refs", f"{VIS}, {TOK}, {CLOSE}, h AS (SELECT ax_id, path FROM p JOIN t ON trim(p.value) = t.value UNION SELECT ax_id, path FROM c WHERE dist = 0) SELECT ax_id, string_agg(path, '|' ORDER BY path) AS refs FROM h GROUP BY ax_id")
+def _(spark, sf):
+    return tokens.references(derive.visual(spark, sf), derive.tokens(spark)).select("ax_id", F.array_join(F.array_sort("refs"), "|").alias("refs"))
+
+
+# states
+
+
+def event_states(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e = derive.table(spark, sf, "events")
+    z = F.lit(0.0)
+    states = e.select(
+        F.col("event_id").alias("key"), F.concat(F.lit("page:"), (F.col("user_id") % 5).cast("string")).alias("page_id"), F.col("event_type").alias("route"), F.lit("anonymous").alias("auth_kind"), F.lit(None).cast("string").alias("auth_role"),
+        F.lit(None).cast("string").alias("principal"), F.lit(None).cast("string").alias("session"), F.lit("online").alias("network_status"), F.lit("observed").alias("network_evidence"),
+        F.struct(F.lit(1440.0).alias("w"), F.lit(900.0).alias("h"), F.lit(1.5).alias("dpr"), z.alias("scroll_x"), (F.col("event_id") % 3).cast("double").alias("scroll_y")).alias("viewport"),
+        F.lit(None).cast("string").alias("focused_ax_id"), F.array(F.lit("d2"), F.lit("d1")).alias("open_dialog_ids"), F.array().cast("array<string>").alias("open_popover_ids"), F.array().cast("array<string>").alias("expanded_region_ax_ids"),
+        F.create_map(F.lit("m"), F.col("event_type")).alias("conditional_markers"),
+    )
+    n = F.lit(None).cast("boolean")
+    elements = e.select(F.col("event_id").alias("key"), F.lit("ax:1").alias("ax_id"), F.lit("visible").alias("visibility"), (F.col("event_id") % 2 == 0).alias("open"), *[n.alias(f) for f in ("expanded", "selected", "checked", "pressed", "busy")])
+    return states, elements
+
+
+PAYLOAD = """concat('{"auth":{"kind":"anonymous"},"conditionalMarkers":{"m":"', event_type, '"},"elements":{"ax:1":{"busy":null,"checked":null,"expanded":null,"open":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"pressed":null,"selected":null,"visibility":"visible"}},"expandedRegionAxIds":[],"focusedAxId":null,"network":{"evidence":"observed","status":"online"},"openDialogIds":["d1","d2"],"openPopoverIds":[],"pageId":"page:', user_id % 5, '","route":"', event_type, '","viewport":{"dpr":1.5,"h":900,"scrollX":0,"scrollY":', event_id % 3, ',"w":1440}}')"""
+
+
+@query("f_state_ids", f"SELECT concat('state:', sha256({PAYLOAD})) AS id, count(*) AS n FROM events GROUP BY 1")
+def _(spark, sf):
+    return state.with_ids(*event_states(spark, sf)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f_evidence_union", "SELECT concat('state:', event_type) AS state_id, count(DISTINCT concat(CASE WHEN event_id % 2 = 0 THEN 'declared' ELSE 'observed' END, '|', user_id)) AS pieces, CASE WHEN count(DISTINCT event_id % 2) = 2 THEN 'declared+observed' WHEN min(event_id % 2) = 0 THEN 'declared' ELSE 'observed' END AS provenance, min(event_id) AS first_observed_at FROM events GROUP BY event_type")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events").select(F.concat(F.lit("state:"), "event_type").alias("state_id"), F.when(F.col("event_id") % 2 == 0, "declared").otherwise("observed").alias("kind"), F.col("user_id").cast("string").alias("source_ax_id"), F.lit(None).cast("string").alias("transition_id"), F.col("event_id").alias("at"), F.col("event_id").alias("seq"))
+    return state.merge_evidence(e).select("state_id", F.size("evidence").cast("long").alias("pieces"), "provenance", "first_observed_at")
+
+
+@query("f_auth_contexts", "SELECT CASE WHEN user_id % 3 = 0 THEN 'auth:anonymous' ELSE concat('auth:authenticated:u', user_id, ':s') END AS id, count(*) AS observation_count, min(event_id) AS first_observed_at FROM events GROUP BY 1")
+def _(spark, sf):
+    anonymous = F.col("user_id") % 3 == 0
+    e = derive.table(spark, sf, "events").select(F.when(anonymous, "anonymous").otherwise("authenticated").alias("auth_kind"), F.lit(None).cast("string").alias("auth_role"), F.when(~anonymous, F.concat(F.lit("u"), "user_id")).alias("principal"), F.when(~anonymous, F.lit("s")).alias("session"), F.col("event_id").alias("at"))
+    return state.auth_contexts(e).select("id", "observation_count", "first_observed_at")
+
+
+@query("f_snapshot_diff", f"SELECT event_id AS key, event_type <> next_type OR event_id % 2 = 0 AS differs FROM ({derive.STEPS_SQL}) WHERE next_type IS NOT NULL")
+def _(spark, sf):
+    s = derive.steps(spark, sf).where("next_type is not null")
+    none = F.array().cast("array<string>")
+
+    def shot(kind: str, open_: Column) -> tuple[DataFrame, DataFrame]:
+        snap = s.select(F.col("event_id").alias("key"), F.lit(True).alias("online"), F.array(kind).alias("open_dialog_ids"), none.alias("open_popover_ids"), none.alias("expanded_region_ax_ids"), F.lit("1440x900").alias("viewport"), F.create_map(F.lit("m"), F.lit("1")).alias("conditional_markers"), F.lit(None).cast("string").alias("focused_ax_id"))
+        n = F.lit(None).cast("boolean")
+        return snap, s.select(F.col("event_id").alias("key"), F.lit("ax:1").alias("ax_id"), F.lit("visible").alias("visibility"), open_.alias("open"), *[n.alias(f) for f in ("expanded", "selected", "checked", "pressed", "busy", "focused")], F.lit(0.0).alias("z_index"))
+
+    (a, ea), (b, eb) = shot("event_type", F.lit(True)), shot("next_type", F.col("event_id") % 2 != 0)
+    return state.snapshot_changes(a, b, ea, eb)
+
+
+COMMANDS = {"signup": "show-modal", "purchase": "close", "error": "show-popover", "view": "toggle-popover"}
+
+
+@query("f_after_sets", "SELECT event_id AS key, CASE event_type WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 't' ELSE 'x|t' END WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN '' ELSE 'x' END ELSE CASE WHEN user_id % 2 = 0 THEN 't' ELSE 'x' END END AS dialogs, CASE WHEN event_type IN ('error', 'view', 'click') THEN 't' ELSE '' END AS popovers FROM events")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events")
+    command = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])[F.col("event_type")]
+    dialogs = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("t"))).otherwise(F.array(F.lit("x")))
+    after = state.after_sets(F.lit("commandfor"), command, F.lit("t"), dialogs, F.array().cast("array<string>"))
+    return e.select(F.col("event_id").alias("key"), after.alias("a")).select("key", F.array_join("a.open_dialog_ids", "|").alias("dialogs"), F.array_join("a.open_popover_ids", "|").alias("popovers"))
+
+
+@query("f_cause_resolution", "WITH c AS (SELECT DISTINCT user_id FROM events), s AS (SELECT user_id, concat('state:', event_type) AS st, event_id FROM events WHERE event_type <> 'click') SELECT concat('ax', user_id) AS src, arg_min(st, event_id) AS dst FROM c JOIN s USING (user_id) GROUP BY user_id")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events")
+    cause = F.struct(F.concat(F.lit("ax"), "user_id").alias("source_ax_id"), F.lit("commandfor").alias("declared_kind"))
+    edges = e.select(F.concat(F.lit("ax"), "user_id").alias("src"), F.concat(F.lit("state:TBD:commandfor:ax"), "user_id").alias("dst"), F.lit("state:cause").alias("kind"), cause.alias("cause")).dropDuplicates(["src"]).withColumn("id", F.lit(""))
+    evidence = e.where("event_type <> 'click'").select(F.concat(F.lit("state:"), "event_type").alias("state_id"), F.concat(F.lit("ax"), "user_id").alias("source_ax_id"), F.col("event_id").alias("seq"))
+    return state.resolve_causes(edges, evidence, edges.limit(0)).select("src", "dst")
+
+
+@query("f_barriers", "SELECT doc_id AS key, CASE WHEN doc_id % 10 = 0 THEN 'webauthn-hardware' WHEN doc_id % 10 = 1 THEN 'captcha-turnstile' WHEN doc_id % 10 = 2 THEN 'sms-totp' END AS kind FROM documents WHERE doc_id % 10 < 3")
+def _(spark, sf):
+    d, k = derive.table(spark, sf, "documents"), F.col("doc_id") % 10
+    marker = F.when(k == 1, F.create_map(F.lit("h-captcha"), F.lit(""))).when(k == 0, F.create_map(F.lit("data-auth-barrier"), F.lit("webauthn-hardware"))).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    texts = F.array(F.col("source"), F.when(k == 2, F.lit("Please Enter Verification Code")).otherwise(F.lit("-")))
+    return state.barriers(d.select(F.col("doc_id").alias("key"), marker.alias("conditional_markers"), texts.alias("element_texts"))).select("key", "kind")
+
+
+# pages and links
+
+
+def page_table(spark, sf) -> DataFrame:
+    return derive.table(spark, sf, "pages").select(F.concat(F.lit("page:"), "page_id").alias("page_id"), "url", "html")
+
+
+def found_links(spark, sf) -> DataFrame:
+    return html.links(html.nodes(page_table(spark, sf)))
+
+
+HREFS = "SELECT concat('page:', page_id) AS page_id, url, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)\\b.*?</(script|style)>', '', 'gsi'), '<a\\b[^>]*?\\bhref=\"([^\"]+)\"', 1)) AS raw_href FROM pages"
+
+
+@query("n_link_class", f"WITH l AS ({HREFS}) SELECT page_id, CASE WHEN starts_with(raw_href, '#') THEN 'anchor' WHEN starts_with(lower(raw_href), 'javascript:') THEN 'javascript' WHEN contains(raw_href, '://') AND lower(regexp_extract(raw_href, '^[a-z]+://[^/?#]*')) <> lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) THEN 'external' ELSE 'same-origin' END AS link_kind, count(*) AS n FROM l GROUP BY 1, 2")
+def _(spark, sf):
+    return found_links(spark, sf).groupBy("page_id", "link_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n_headings", "SELECT concat('page:', page_id) AS page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)\\b.*?</(script|style)>', '', 'gsi'), '<h[1-6][\\s>]')) AS headings FROM pages")
+def _(spark, sf):
+    n = html.nodes(page_table(spark, sf))
+    counted = n.where("role = 'heading'").groupBy("page_id").agg(F.count(F.lit(1)).alias("headings"))
+    return page_table(spark, sf).select("page_id").join(counted, "page_id", "left").fillna(0)
+
+
+@query("n_ax_counts")
+def _(spark, sf):
+    """Elements by page and role."""
+    return html.ax_table(html.nodes(page_table(spark, sf))).groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n_structure_edges")
+def _(spark, sf):
+    return html.structure_edges(html.nodes(page_table(spark, sf))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n_capabilities")
+def _(spark, sf):
+    return html.capabilities(html.nodes(page_table(spark, sf))).select("id", "name", "security", "page_id")
+
+
+@query("n_nav_elements")
+def _(spark, sf):
+    return html.nav_elements(html.nodes(page_table(spark, sf))).select("id", "kind", F.size("member_ax_ids").alias("members"))
+
+
+@query("n_declared")
+def _(spark, sf):
+    return state.declared_edges(html.declared_records(html.nodes(page_table(spark, sf)))).select("id", "kind")
+
+
+CANON = "CASE WHEN contains({0}, '?') THEN concat(regexp_replace(regexp_replace(split_part(split_part({0}, '#', 1), '?', 1), '(://[^/]+)$', '\\1/'), '([^/])/+$', '\\1'), '?', array_to_string(list_sort(string_split(split_part(split_part({0}, '#', 1), '?', 2), '&')), '&')) ELSE regexp_replace(regexp_replace(split_part({0}, '#', 1), '(://[^/]+)$', '\\1/'), '([^:/])/+$', '\\1') END"
+
+
+@query("n_canonical_url", f"SELECT page_id, {CANON.format('url')} AS canonical_url FROM pages")
+def _(spark, sf):
+    return derive.table(spark, sf, "pages").select("page_id", canonical_url("url").alias("canonical_url"))
+
+
+@query("n_scope", "WITH h AS (SELECT page_id, regexp_extract(url, '://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin FROM pages), s AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS site FROM h) SELECT page_id, origin = (SELECT origin FROM s WHERE page_id = 1) AS same_origin, site = (SELECT site FROM s WHERE page_id = 1) AS same_site FROM s")
+def _(spark, sf):
+    p = derive.table(spark, sf, "pages")
+    root = p.where("page_id = 1").first()["url"]
+    return p.select("page_id", in_scope(F.lit(root), "url", "same-origin").alias("same_origin"), in_scope(F.lit(root), "url", "same-site").alias("same_site"))
+
+
+def hierarchy_pages(spark, sf) -> DataFrame:
+    """Each page and the pages its path leads through, at the root of its host."""
+    p = derive.table(spark, sf, "pages").select("page_id", canonical_url("url").alias("canonical_url"))
+    roots = p.select(F.concat(origin("canonical_url"), F.lit("/")).alias("canonical_url")).distinct().withColumn("page_id", -F.abs(F.xxhash64("canonical_url")))
+    both = p.unionByName(roots)
+    return both.select(F.concat(F.lit("p:"), "canonical_url").alias("id"), "canonical_url", F.lit(None).cast("string").alias("referrer"), F.col("page_id").alias("seq")).dropDuplicates(["canonical_url"])
+
+
+@query("n_parent_page", f"WITH c AS (SELECT DISTINCT {CANON.format('url')} AS u FROM pages), a AS (SELECT u FROM c UNION SELECT concat(regexp_extract(u, '^[a-z]+://[^/?#]*'), '/') FROM c) SELECT concat('p:', u) AS id, CASE WHEN contains(u, '?') OR length(regexp_replace(u, '^[a-z]+://[^/]*/', '')) = 0 THEN NULL ELSE concat('p:', regexp_extract(u, '^[a-z]+://[^/?#]*'), '/') END AS parent_page_id FROM a")
+def _(spark, sf):
+    return hierarchy.parents(hierarchy_pages(spark, sf))
+
+
+@query("n_nav_links")
+def _(spark, sf):
+    return nav_links(spark, sf)
+
+
+def nav_links(spark, sf) -> DataFrame:
+    pages = page_table(spark, sf).select(F.col("page_id").alias("id"), canonical_url("url").alias("canonical_url"))
+    return html.nav_links(found_links(spark, sf), pages)
+
+
+@query("n_prefixes", "SELECT page_id, len(list_filter(string_split(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[a-z]+://[^/]*', ''), '/'), lambda s: s <> '')) AS steps FROM pages")
+def _(spark, sf):
+    return derive.table(spark, sf, "pages").select("page_id", F.size(prefixes("url")).cast("long").alias("steps"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, url, links, same_origin, external): the links of each page, parsed from its HTML."""
+    counted = found_links(spark, sf).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("link_kind") == "same-origin").alias("same_origin"), F.count_if(F.col("link_kind") == "external").alias("external"))
+    pages = page_table(spark, sf).select("page_id", canonical_url("url").alias("url"))
+    return pages.join(counted, "page_id", "left").fillna(0, ["links", "same_origin", "external"])
+
+
+query("n_page_links", f"WITH l AS ({HREFS}), k AS (SELECT page_id, CASE WHEN starts_with(raw_href, '#') OR starts_with(lower(raw_href), 'javascript:') THEN 'other' WHEN contains(raw_href, '://') AND lower(regexp_extract(raw_href, '^[a-z]+://[^/?#]*')) <> lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) THEN 'external' ELSE 'same' END AS k FROM l) SELECT concat('page:', p.page_id) AS page_id, {CANON.format('p.url')} AS url, count(k) AS links, count(*) FILTER (WHERE k = 'same') AS same_origin, count(*) FILTER (WHERE k = 'external') AS external FROM pages p LEFT JOIN k ON k.page_id = concat('page:', p.page_id) GROUP BY 1, 2")(flagship)
+
+
+# governance
+
+VERBS = "(delete|remove|destroy|wipe|purge|terminate|cancel|drop|revoke|reset|clear|sign[ -]?out|log[ -]?out)\\b"
+WORDS = "\\b(billing|payment|checkout|invoice|subscription|production|prod[ -]?env|live[ -]?env|admin|owner|transfer|wire)\\b"
+NAMES = f"CASE {derive.K} % 6 WHEN 0 THEN concat('Delete ', p_name) WHEN 1 THEN concat('Go to Billing ', p_name) WHEN 2 THEN concat('Undelete ', p_name) ELSE p_name END"
+TIER_ROLE = derive.cases(derive.K, 7, {0: "'button'", 1: "'link'", 2: "'textbox'", 3: "'checkbox'", 4: "'dialog'"}, "'heading'")
+
+
+@query("g_tier", f"SELECT p_partkey, CASE WHEN regexp_matches(lower({NAMES}), '^{VERBS}') OR regexp_matches(lower({NAMES}), '{WORDS}') THEN 'CONFIRM' WHEN p_partkey % 5 > 3 AND {TIER_ROLE} NOT IN ('button', 'link') THEN 'PROPOSE' WHEN {TIER_ROLE} = 'textbox' THEN 'PROPOSE' WHEN {TIER_ROLE} <> 'heading' THEN 'EXECUTE' ELSE 'READ' END AS tier FROM part")
+def _(spark, sf):
+    return derive.table(spark, sf, "part").select("p_partkey", govern.tier(F.expr(TIER_ROLE), F.expr(NAMES), F.when(F.col("p_partkey") % 5 > 3, 1).otherwise(0)).alias("tier"))
+
+
+@query("g_decide", "WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'DISCOVER' WHEN 1 THEN 'READ' WHEN 2 THEN 'PROPOSE' WHEN 3 THEN 'EXECUTE' ELSE 'CONFIRM' END AS tier, p_partkey % 2 = 0 AS confirm FROM part) SELECT p_partkey, tier <> 'DISCOVER' AND (tier <> 'CONFIRM' OR confirm) AS ok, tier = 'CONFIRM' AND NOT confirm AS require_confirm, CAST(p_partkey % 5 AS INT) AS rank FROM t")
+def _(spark, sf):
+    t = F.element_at(F.array(*[F.lit(x) for x in govern.TIERS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    p = derive.table(spark, sf, "part").select("p_partkey", t.alias("t"))
+    return p.select("p_partkey", govern.decide("t", F.col("p_partkey") % 2 == 0).alias("d"), govern.tier_rank("t").alias("rank")).select("p_partkey", "d.ok", "d.require_confirm", "rank")
+
+
+@query("g_target_match", "SELECT page_id, regexp_matches(url, '^https://.*\\.example\\.org(?:[/?#]|$)') AS by_glob, regexp_extract(url, '://([^/?#]*)', 1) = 'tionsh.example.net' AND (split_part(split_part(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#', 1), '?', 1) = '/fr' OR starts_with(split_part(split_part(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#', 1), '?', 1), '/fr/')) AS by_path, contains(url, 'window 7') AS by_text FROM pages")
+def _(spark, sf):
+    p = derive.table(spark, sf, "pages")
+    one = lambda s: govern.target_matches("url", F.array(F.lit(s)))
+    return p.select("page_id", one("https://*.example.org").alias("by_glob"), one("https://tionsh.example.net/fr").alias("by_path"), one("window 7").alias("by_text"))
+
+
+@query("g_rate_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id % 7 ORDER BY epoch_ms(ts) RANGE BETWEEN 5999999 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events").select("event_id", (F.col("user_id") % 7).alias("principal"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return govern.rate_limited(e, 1000, 6_000_000).select("event_id", "in_window")
+
+
+@query("g_posture", "SELECT event_id, event_type = 'view' AS audit, CASE WHEN event_type IN ('view', 'click') AND user_id % 4 > 0 THEN TRUE ELSE FALSE END AS scoped FROM events")
+def _(spark, sf):
+    impact = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "click", "modify").otherwise("destroy")
+    target = F.when(F.col("user_id") % 4 == 0, "https://other.example.com/x").otherwise("https://app.example.com/a/b")
+    e = derive.table(spark, sf, "events").select("event_id", F.lit("web").alias("substrate"), F.lit("graph_act").alias("operation"), impact.alias("impact"), target.alias("target"))
+    scope = {"max_substrates": ["web"], "operations": ["*"], "targets": ["app.example.com/a"], "max_impact": "modify"}
+    audit = govern.check_posture(e, "audit").select("event_id", F.col("allowed").alias("audit"))
+    return audit.join(govern.check_posture(e, "autopilot", scope).select("event_id", F.col("allowed").alias("scoped")), "event_id")
+
+
+@query("g_audit_chain")
+def _(spark, sf):
+    e = derive.table(spark, sf, "events").select((F.col("user_id") % 16).cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("body"))
+    return govern.audit_chain(e)
+
+
+# reports
+
+
+@query("r_edge_hist", f"WITH e AS ({derive.tree_sql()}) SELECT substr(src, 1, 1) AS kind, count(*) AS n FROM e GROUP BY 1")
+def _(spark, sf):
+    return report.edge_histogram(derive.tree_edges(spark, sf).withColumn("kind", F.substring("src", 1, 1)))
+
+
+@query("r_page_counts", f"WITH p AS ({PAGES_SQL}), ax AS ({AX_SQL}), c AS ({CAPS_SQL}) SELECT p.id, (SELECT count(*) FROM ax WHERE page_id = p.id) AS ax_count, (SELECT count(*) FROM c WHERE page_id = p.id) AS capability_count, (SELECT count(*) FROM c JOIN ax ON ax.id = c.ax_id WHERE ax.page_id = p.id) AS transition_count FROM p")
+def _(spark, sf):
+    c = base(spark, sf)
+    t = c.capabilities.select(F.col("id"), F.col("ax_id").alias("from_ax_id"))
+    return report.page_counts(c.with_tables(transitions=t)).select("id", "ax_count", "capability_count", "transition_count")
+
+
+UNNAMED = f"SELECT count(*) FROM ({AX_SQL}) WHERE role IN ('button', 'link', 'tab', 'textbox') AND trim(name) = ''"
+
+
+@query("r_health_loading", f"WITH p AS ({PAGES_SQL}) SELECT count(*) AS pages_total, count(*) FILTER (WHERE load_status IN ('complete', 'interactive')) AS pages_loaded, count(*) FILTER (WHERE load_status IN ('timeout', 'spa-error')) AS pages_failed, ({UNNAMED}) AS unlabeled, CAST(floor(count(*) FILTER (WHERE load_status IN ('complete', 'interactive')) / count(*) * 100 + 0.5) AS INT) AS health_score FROM p")
+def _(spark, sf):
+    return report.loading_health(base(spark, sf)).select("pages_total", "pages_loaded", "pages_failed", "unlabeled", "health_score")
+
+
+@query("r_health_penalty", f"WITH p AS ({PAGES_SQL}), ax AS ({AX_SQL}) SELECT count(*) AS pages_total, count(*) FILTER (WHERE load_status <> 'complete') AS pages_failed, count(*) FILTER (WHERE id NOT IN (SELECT page_id FROM ax)) AS pages_without_tree, CAST(greatest(0, least(100, 100 - 25 * count(*) FILTER (WHERE load_status <> 'complete') - ({UNNAMED}))) AS INT) AS health_score FROM p")
+def _(spark, sf):
+    return report.penalty_health(base(spark, sf)).select("pages_total", "pages_failed", "pages_without_tree", "health_score")
+
+
+@query("r_counts", f"SELECT 'pages' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'ax', count(*) FROM customer UNION ALL SELECT 'capabilities', count(*) FROM part UNION ALL SELECT 'visual', count(*) FROM part UNION ALL SELECT 'edges', count(*) FROM ({derive.tree_sql()})")
+def _(spark, sf):
+    return base(spark, sf).counts().where("n > 0")
+
+
+@query("e_tabs", f"WITH ax AS ({AX_SQL}) SELECT id AS tab_ax_id, name AS tab_name, CASE WHEN seq % 3 = 0 THEN concat('ax', seq + 1) ELSE '(no edge)' END AS panel_ax_id FROM ax WHERE role = 'tab' QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) = 1")
+def _(spark, sf):
+    c = base(spark, sf)
+    e = c.ax.where("role = 'tab' and seq % 3 = 0").select(F.col("id").alias("src"), F.concat(F.lit("ax"), (F.col("seq") + 1).cast("string")).alias("dst"), F.lit("aria-controls").alias("kind"), "seq")
+    return report.tabs(c.with_tables(edges=e)).select("tab_ax_id", "tab_name", "panel_ax_id")
+
+
+@query("e_cta", f"WITH ax AS ({AX_SQL}) SELECT id AS ax_id, name FROM ax WHERE role = 'button' AND seq % 5 = 0 ORDER BY seq LIMIT 1")
+def _(spark, sf):
+    c = base(spark, sf)
+    v = c.visual.withColumns({"ax_id": F.concat(F.lit("ax"), F.col("seq").cast("string")), "refs": F.when(F.col("seq") % 5 == 0, F.array(F.lit("color.accent"))).otherwise(F.array().cast("array<string>")), "viewport": F.lit(None).cast("struct<name:string,w:double>")})
+    return report.call_to_action(c.with_tables(visual=v)).select("ax_id", "name")
+
+
+@query("e_caps", f"WITH c AS ({CAPS_SQL}) SELECT id, name FROM c WHERE regexp_matches(name, '(11|22)$')")
+def _(spark, sf):
+    return report.capabilities_named(base(spark, sf), {"source": "(11|22)$"}).select("id", "name")
+
+
+@query("e_sticky", f"{VIS} SELECT id AS vis_id, ax_id, page_id FROM v WHERE s_position = 'sticky'")
+def _(spark, sf):
+    c = base(spark, sf)
+    pages = c.visual.select(F.col("page_id").alias("id")).distinct()
+    return report.sticky(c.with_tables(pages=pages, visual=c.visual.withColumn("refs", F.array().cast("array<string>")))).select("vis_id", "ax_id", "page_id")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+@query("r_battery", f"WITH ax AS ({AX_SQL}) SELECT 'pages' AS name, least(50, (SELECT count(*) FROM pages)) AS hits UNION ALL SELECT 'links', least(50, (SELECT count(*) FROM ax WHERE role = 'link')) UNION ALL SELECT 'buttons', least(50, (SELECT count(*) FROM ax WHERE role = 'button')) UNION ALL SELECT 'states', 0")
+def _(spark, sf):
+    return report.battery(base(spark, sf))
