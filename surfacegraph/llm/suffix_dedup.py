@@ -5,8 +5,8 @@ are first brought together. Each window of ``length`` bytes is assigned to its
 anchor, the leftmost position in it where the hash of a short gram is least.
 Equal windows have equal anchors at equal places, so only occurrences of a
 repeated gram are candidates. An occurrence's segment is what the windows
-assigned to it can cover; an equal segment elsewhere proves all of it repeated
-by counting. Segments that are alone but share their gram with others are
+assigned to it cover; an equal segment elsewhere proves all of it repeated by
+counting. Segments that are alone but share their gram with others are
 joined into texts of bounded size, and there the method proper decides:
 from the suffix order a Burrows-Wheeler transform is made, and backward
 extension, breadth first, derives the common prefixes of neighbouring suffixes
@@ -36,7 +36,7 @@ from .workspace import written
 #: Bytes of documents that are hashed together.
 GROUP = 400_000
 #: Bytes of segments that one Burrows-Wheeler transform takes, about.
-TEXT = 500_000
+TEXT = 100_000
 #: Different segments of one gram, beyond which its windows are halved instead.
 HOT = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +45,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def gram_size(length: int) -> int:
-    return max(1, length // 4)
+    """Bytes of a gram: long ones repeat seldom by chance, short ones need fewer anchors."""
+    return max(1, length * 3 // 5)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -85,18 +86,19 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(raw: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, gram hash) of every window's anchor, each once.
+def anchors(raw: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text number, position, gram hash, start, end) of every window's anchor, each once.
 
     ``raw`` holds the texts one after another; ``sizes`` has their lengths.
+    The windows of an anchor follow one another; they cover start to end.
     """
     k = gram_size(length)
     span = length - k + 1
     ends = np.cumsum(sizes)
     n_windows = len(raw) - length + 1
+    none = np.zeros(0, np.int64)
     if n_windows <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none, none
     h = gram_hashes(raw, k)
     best = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width = 1
@@ -113,17 +115,16 @@ def anchors(raw: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray
     good = last > first
     np.add.at(inside, first[good], 1)
     np.add.at(inside, last[good], -1)
-    at = at[np.cumsum(inside[:-1]) > 0]
-    if not len(at):
-        return at, at, np.zeros(0, np.uint64)
-    at = at[np.r_[True, at[1:] != at[:-1]]]
+    windows = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    if not len(windows):
+        return none, none, np.zeros(0, np.uint64), none, none
+    at = at[windows]
+    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    tails = np.r_[heads[1:], len(at)] - 1
+    at, starts, stops = at[heads], windows[heads], windows[tails] + length
     owner = np.searchsorted(ends, at, "right")
-    return owner, at - (ends - sizes)[owner], h[at]
-
-
-def segment(n: int, at: int, length: int) -> tuple[int, int]:
-    """What the windows assigned to the anchor ``at`` of a text of ``n`` bytes can cover."""
-    return max(0, at - (length - gram_size(length))), min(n, at + length)
+    begin = (ends - sizes)[owner]
+    return owner, at - begin, h[at], starts - begin, stops - begin
 
 
 def _groups(batches, column: int):
@@ -157,39 +158,46 @@ def _occurrences(length: int):
 
     def run(batches):
         for b, raw, sizes in _groups(batches, 2):
-            owner, at, g = anchors(raw, sizes, length)
+            owner, at, g, lo, hi = anchors(raw, sizes, length)
             begin = (np.cumsum(sizes) - sizes)[owner]
-            lo = np.maximum(0, at - (length - gram_size(length)))
-            hi = np.minimum(sizes[owner], at + length)
             view = memoryview(np.ascontiguousarray(raw))
             seg = np.fromiter(
                 (xxh64_intdigest(view[x:z], left) for x, z, left in zip((begin + lo).tolist(), (begin + hi).tolist(), (at - lo).tolist(), strict=True)), np.uint64, len(at)
             )
             pick = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), pa.array(at.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))],
-                names=["doc_id", "h", "at", "end", "g", "seg"],
+                [b.column(0).take(pick), b.column(1).take(pick), *(pa.array(v.astype(np.int32)) for v in (at, lo, hi)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))],
+                names=["doc_id", "h", "at", "start", "end", "g", "seg"],
             )
 
     return run
 
 
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of all suffixes, by doubling prefixes. The last symbol must be unique."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by doubling prefixes. The last symbol must be unique.
+
+    The first round packs as many symbols into a key as 62 bits hold.
+    """
     n = len(text)
     _, rank = np.unique(text, return_inverse=True)
-    rank, width = rank.astype(np.int64), 1
+    rank = rank.astype(np.int64)
+    bits = max(1, int(rank.max()).bit_length())
+    width = max(1, min(62 // bits, 8, n))
+    key = np.zeros(n, np.int64)
+    for i in range(width):
+        key <<= bits
+        key[: n - i] |= rank[i:]
     while True:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.cumsum(np.r_[0, (key[1:] != key[:-1]).astype(np.int64)])
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+        if new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
         width *= 2
-        if new[-1] == n - 1 or width >= n:
-            return order, rank
 
 
 def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,25 +208,28 @@ def long_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     transform, and have a common prefix of l + 1 symbols exactly if the least
     common prefix over (i', i] is l. So the rows with value l + 1 are those that
     have none yet and whose (i', i] has a row that got its value by step l.
+
+    The last symbol must be unique.
     """
     n = len(text)
-    order, rank = suffix_order(text)
+    order = suffix_order(text)
     bwt = text[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")  # row r's suffix is row by_symbol[r]'s, one symbol longer
+    by_symbol = np.argsort(bwt * n + np.arange(n))  # row r's suffix is row by_symbol[r]'s, one symbol longer
     first = text[order]
     done = np.r_[True, first[1:] != first[:-1]]
     open_ = np.flatnonzero(~done)
     before, after = by_symbol[open_ - 1], by_symbol[open_]
-    for _ in range(1, length):
-        if not len(open_):
-            break
+    known = 0
+    for step in range(1, length):
         seen = np.cumsum(done, dtype=np.int32)
-        got = seen[after] > seen[before]
-        if not got.any():
+        if seen[-1] == known:
             break
-        done[open_[got]] = True
-        keep = ~got
-        open_, before, after = open_[keep], before[keep], after[keep]
+        known = seen[-1]
+        got = seen[after] > seen[before]
+        done[open_] |= got
+        if step % 8 == 0:
+            keep = ~got
+            open_, before, after = open_[keep], before[keep], after[keep]
     return order, ~done
 
 
@@ -334,17 +345,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     grams = docs.select(text.alias("t")).mapInArrow(_gram_counts(length), "g long, n long")
     repeated = grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
-    places = rows.mapInArrow(_occurrences(length), "doc_id long, h long, at int, end int, g long, seg long")
+    places = rows.mapInArrow(_occurrences(length), "doc_id long, h long, at int, start int, end int, g long, seg long")
     places = written(places.join(repeated, "g"), "repeated-grams")
 
-    segments = written(places.groupBy("g", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at")).alias("one")), "segments")
-    alike = places.join(segments.where("n > 1").select("g", "seg"), ["g", "seg"]).select(
-        "doc_id", "h", F.greatest(F.lit(0), F.col("at") - (length - gram_size(length))).alias("start"), "end"
-    )
+    segments = written(places.groupBy("g", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at", "start", "end")).alias("one")), "segments")
+    alike = places.join(segments.where("n > 1").select("g", "seg"), ["g", "seg"]).select("doc_id", "h", "start", "end")
 
     kinds = segments.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    mixed = segments.join(kinds, "g").select("g", "n", "kinds", "one.doc_id", "one.h", "one.at")
-    wanted = written(mixed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("g", "n", "kinds", "at")).alias("wanted")), "wanted-segments")
+    mixed = segments.join(kinds, "g").select("g", "n", "kinds", "one.doc_id", "one.h", "one.at", "one.start", "one.end")
+    wanted = written(mixed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("g", "n", "kinds", "at", "start", "end")).alias("wanted")), "wanted-segments")
     n_wanted = wanted.count()
     maybe, _ = bloom.split(rows, F.xxhash64("doc_id", "h"), wanted.select(F.xxhash64("doc_id", "h").alias("k")), n_wanted)
     found = maybe.join(wanted.withColumnsRenamed({"doc_id": "w_id", "h": "w_h"}), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
@@ -355,8 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             for doc, h, t, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 for p in places:
-                    a, z = segment(len(raw), p["at"], length)
-                    for c, v in zip(out, (p["g"], p["kinds"], p["n"], doc, h, p["at"], a, raw[a:z]), strict=True):
+                    for c, v in zip(out, (p["g"], p["kinds"], p["n"], doc, h, p["at"], p["start"], raw[p["start"] : p["end"]]), strict=True):
                         out[c].append(v)
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds_, strict=True)], names=list(out))
