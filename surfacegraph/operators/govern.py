@@ -114,6 +114,11 @@ def tier_impact(t: str | Column) -> Column:
     return F.when(col(t).isin("DISCOVER", "READ"), "read").when(col(t) == "CONFIRM", "destroy").otherwise("modify")
 
 
+def request_target(*candidates: str | Column) -> Column:
+    """What a request is about: the first field that says so (URL, page, window, device, element), else ``graph``."""
+    return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in candidates], F.lit("graph"))
+
+
 URL_SHAPE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+"
 BARE_HOST = r"(?i)^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+(:\d+)?(/.*)?$"
 

@@ -253,3 +253,8 @@ def auth_state(spark: SparkSession, path: str, version: str = VERSION) -> dict:
     if doc.get("version") != version:
         raise SubstrateError("AUTH_STATE_VERSION", str(doc.get("version")))
     return doc
+
+
+def write_trace(rows: DataFrame, path: str) -> None:
+    """Writes evaluation results as one JSON lines file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)

@@ -349,6 +349,21 @@ def capabilities(found: DataFrame) -> DataFrame:
     )
 
 
+def declared_capabilities(tools: DataFrame) -> DataFrame:
+    """Capabilities that pages declare. ``tools``: page_id, name, description, input_schema, output_schema, security, ax_id, selector, seq.
+
+    Declared schemas and tiers are kept; a tool without a tier gets one from its name.
+    """
+    n_inputs = F.coalesce(F.size(F.json_object_keys("input_schema")), F.lit(0))
+    where = F.coalesce("ax_id", F.concat(F.lit("cap-binding:"), "name"))
+    hook = F.coalesce("selector", F.concat(F.lit('[data-cap="'), "name", F.lit('"]')))
+    return tools.select(
+        F.concat(F.lit("cap:"), "name", F.lit(":declared")).alias("id"), "name", F.coalesce("description", "name").alias("description"), F.coalesce("input_schema", F.lit("{}")).alias("input_schema"),
+        F.coalesce("output_schema", F.lit("{}")).alias("output_schema"), F.lit("webmcp").alias("source"), F.struct(F.lit("ax-node").alias("kind"), where.alias("ax_id"), hook.alias("selector")).alias("binding"),
+        F.coalesce("security", tier(F.lit("button"), "name", n_inputs)).alias("security"), F.lit("declared:webmcp.json").alias("provenance"), "page_id", "seq",
+    )
+
+
 def declared_records(found: DataFrame) -> DataFrame:
     """Declared relations: invokers, popover targets, dialogs' openers, tabs, option choices (from_ax_id, to_ax_id, kind, trigger, cause_kind, command_value, option_value, seq)."""
     page, me = F.concat(F.lit("ax:"), "page_id", F.lit(":")), ax_id()

@@ -127,12 +127,41 @@ def ios(raw: dict) -> tuple[dict, list]:
 PLATFORMS: dict[str, Callable[[dict], tuple[dict, list]]] = {"windows": windows, "macos": macos, "android": android, "ios": ios}
 
 
+def bounds(raw: dict) -> str | None:
+    """"x,y,w,h" of a node's rectangle, however the platform writes it."""
+    r = raw.get("bounds") or raw.get("frame") or raw.get("rect") or raw.get("boundingRectangle") or raw.get("BoundingRectangle")
+    if not isinstance(r, dict):
+        return None
+    if "left" in r:
+        x, y, w, h = r["left"], r["top"], r["right"] - r["left"], r["bottom"] - r["top"]
+    else:
+        x, y, w, h = r.get("x", 0), r.get("y", 0), r.get("w", r.get("width", 0)), r.get("h", r.get("height", 0))
+    return f"{x},{y},{w},{h}"
+
+
+def visual_nodes(found: DataFrame) -> DataFrame:
+    """Visual nodes of a tree's elements that have a rectangle; the tree's parents are the layout parents."""
+    from .html import ax_id
+
+    at = F.split(F.col("attrs")["bounds"], ",")
+    parents = found.select("page_id", F.col("node_index").alias("parent_index"), F.concat(F.lit("vis:"), "page_id", F.lit(":"), ax_id()).alias("parent"))
+    boxed = found.where(F.col("attrs")["bounds"].isNotNull()).join(parents, ["page_id", "parent_index"], "left")
+    rect = F.struct(*[at[i].cast("double").alias(k) for i, k in enumerate("xywh")])
+    style = F.create_map(F.lit("cursor"), F.when(F.col("role").isin("button", "link"), "pointer").otherwise("auto"), F.lit("position"), F.when(F.col("role") == "dialog", "absolute").otherwise("static"))
+    return boxed.select(
+        F.concat(F.lit("vis:"), "page_id", F.lit(":"), ax_id()).alias("id"), ax_id().alias("ax_id"), "page_id", rect.alias("rect"), style.alias("style"), "parent", "role", "name", "focusable",
+        F.lit(None).cast("string").alias("container_type"), F.col("node_index").cast("long").alias("seq"),
+    )
+
+
 def flatten(root: dict, read: Callable[[dict], tuple[dict, list]]) -> list[dict]:
     """Nodes in pre-order with their parents' numbers."""
     out, stack = [], [(root, None)]
     while stack:
         raw, parent = stack.pop()
         node, kids = read(raw)
+        if box := bounds(raw):
+            node["attrs"] = [("bounds", box)]
         index = len(out)
         out.append(node | {"node_index": index, "parent_index": parent})
         stack.extend((k, index) for k in reversed(kids if isinstance(kids, list) else []))

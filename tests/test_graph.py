@@ -238,3 +238,21 @@ def test_alignment_and_tethers(spark):
     df = spark.createDataFrame(rows, "page_id string, ax_id string, parent_ax_id string, rect struct<x:double,y:double,w:double,h:double>, style map<string,string>, seq long")
     got = {r["ax_id"]: r for r in layout.tethers(df).collect()}
     assert got["a3"]["parent"] == "a1" and got["a1"]["children"] == ["a2", "a3"] and got["a2"]["siblings_before"] == ["a3"] and got["a3"]["anchors"][0]["target"] == "a1" and len(got["a3"]["anchors"]) == 1
+
+
+def test_visual_nodes_of_trees_and_declared_tools(spark):
+    mac = {"role": "AXWindow", "title": "W", "frame": {"x": 0, "y": 0, "w": 100, "h": 50}, "children": [{"role": "AXButton", "title": "Close", "frame": {"x": 80, "y": 5, "w": 10, "h": 10}}]}
+    found = trees.trees(spark.createDataFrame([("p", "u", json.dumps(mac))], "page_id string, url string, tree string"), "macos")
+    rows = trees.visual_nodes(found).orderBy("seq").collect()
+    assert [(r["rect"]["x"], r["style"]["position"]) for r in rows] == [(0.0, "absolute"), (80.0, "static")] and rows[1]["parent"] == rows[0]["id"]
+    from surfacegraph.operators import patterns
+
+    got = {r["id"]: r["primary_pattern"] for r in patterns.patterns(trees.visual_nodes(found)).collect()}
+    assert got[rows[1]["id"]] == "dismiss-button" and got[rows[0]["id"]] == "dialog-overlay"
+    tools = spark.createDataFrame([("p", "delete_all", None, '{"a": 1}', None, None, None, None, 0), ("p", "pay", "d", None, None, "READ", "ax:1", "#x", 1)], "page_id string, name string, description string, input_schema string, output_schema string, security string, ax_id string, selector string, seq long")
+    caps = {r["name"]: r for r in html.declared_capabilities(tools).collect()}
+    assert caps["pay"]["security"] == "READ" and caps["delete_all"]["binding"]["selector"] == '[data-cap="delete_all"]' and caps["delete_all"]["security"] in ("EXECUTE", "CONFIRM")
+
+
+def test_query_covers_every_kind(graph):
+    assert set(h["select"] for h in select.hits(graph, "any", {}, 100)["hits"]) == {"ax-node", "visual-node", "edge", "capability", "page", "nav-element", "state"}
