@@ -627,6 +627,16 @@ def _(spark, sf):
     return html.ax_table(html.nodes(page_table(spark, sf))).groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+TAGS = (("heading", "<h[1-6][\\s>]"), ("listitem", "<li[\\s>]"), ("list", "<[uo]l[\\s>]"), ("navigation", "<nav[\\s>]"), ("article", "<article[\\s>]"), ("link", "<a\\s[^>]*href="), ("contentinfo", "<footer[\\s>]"))
+BARE = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)\\b.*?</(script|style)>', '', 'gsi')"
+
+
+@query("n_roles", f"WITH h AS (SELECT concat('page:', page_id) AS page_id, {BARE} AS h FROM pages), c AS (" + " UNION ALL ".join(f"SELECT page_id, '{role}' AS role, len(regexp_extract_all(h, '{tag}')) AS n FROM h" for role, tag in TAGS) + ") SELECT * FROM c WHERE n > 0")
+def _(spark, sf):
+    found = html.nodes(page_table(spark, sf)).where(F.col("role").isin(*[r for r, _ in TAGS]))
+    return found.groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("n_structure_edges")
 def _(spark, sf):
     return html.structure_edges(html.nodes(page_table(spark, sf))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -675,13 +685,15 @@ def _(spark, sf):
     return hierarchy.parents(hierarchy_pages(spark, sf))
 
 
-@query("n_nav_links")
-def _(spark, sf):
-    return nav_links(spark, sf)
+SECTION = "concat(regexp_extract(url, '^[a-z]+://[^/?#]*'), '/', split_part(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[a-z]+://[^/]*/', ''), '/', 1))"
 
 
+@query("n_nav_links", f"WITH s AS (SELECT DISTINCT {SECTION} AS u FROM pages), l AS ({HREFS}) SELECT DISTINCT page_id AS src, u AS dst FROM l JOIN s ON u = concat(regexp_extract(url, '^[a-z]+://[^/?#]*'), raw_href) WHERE starts_with(raw_href, '/')")
 def nav_links(spark, sf) -> DataFrame:
-    pages = page_table(spark, sf).select(F.col("page_id").alias("id"), canonical_url("url").alias("canonical_url"))
+    """Links from pages to the section pages of their site."""
+    found = page_table(spark, sf)
+    section = F.concat(origin("url"), F.lit("/"), F.substring_index(F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1), "/", 1))
+    pages = found.select(section.alias("id")).distinct().withColumn("canonical_url", F.col("id"))
     return html.nav_links(found_links(spark, sf), pages)
 
 
