@@ -25,7 +25,7 @@ def test_stages_decide_as_brute_force_does(spark):
     net = language_id.train(docs)
     rows = docs.collect()
     verdict = net.predict([r["text"] for r in rows])
-    want = {r["doc_id"]: r for r, (lang, score) in zip(rows, verdict, strict=True) if lang != "und" and score >= 0.5}
+    want = {r["doc_id"]: r for r, (lang, score) in zip(rows, verdict, strict=True) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
     now = stages["language_id"](spark, docs, SF)
     assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == set(want)
     assert {1002, 1003}.isdisjoint(want)
