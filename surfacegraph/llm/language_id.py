@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text_tokens
+from .workspace import bound_batches, by_bytes
+
 WINDOW = 128
 WIDTHS = (2, 4, 6)
 FILTERS = 16
@@ -193,11 +196,13 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
     ``und`` with score 0 where the text is null or has no letter. Repeated
     rows and null ids keep a row each; no column but the two named is read.
     """
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the network
 
     def run(batches):
+        text_tokens.release()
         model = shipped.value
-        for b in batches:
+        for b in by_bytes(batches, 2):
             got = model.predict(b.column("t").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
@@ -210,12 +215,14 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
 
 def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose language the network names with a score of at least ``least``, unchanged."""
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_col)
 
     def run(batches):
+        text_tokens.release()
         model = shipped.value
-        for b in batches:
+        for b in by_bytes(batches, at):
             got = model.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .workspace import written
+from .workspace import bound_batches, settle, written
 
 #: Bytes of documents that are hashed together.
 GROUP = 400_000
@@ -142,6 +142,7 @@ def _groups(batches, column: int):
             data = texts.buffers()[2]
             raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
             yield part, raw, sizes[start:end]
+    settle()
 
 
 def _gram_counts(length: int):
@@ -340,11 +341,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     A document is named by its id and a 64-bit hash of its text. Whole texts
     shuffle at most twice, and only those with open segments or with spans.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
 
     grams = docs.select(text.alias("t")).mapInArrow(_gram_counts(length), "g long, n long")
-    repeated = grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    repeated = written(grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "repeated")
     places = rows.mapInArrow(_occurrences(length), "doc_id long, h long, at int, start int, end int, g long, seg long")
     places = written(places.join(repeated, "g"), "repeated-grams")
 

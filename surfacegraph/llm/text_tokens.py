@@ -20,7 +20,15 @@ import pyarrow.compute as pc
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Characters of text that are cut into chunks at a time.
-GROUP = 4_000_000
+GROUP = 8_000_000
+
+
+def _strings(a: pa.Array) -> list[str]:
+    """A large_string array without white space as a list, in one join and one split."""
+    if not len(a):
+        return []
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(a)], pa.int64()), a)
+    return pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
 
 
 class ChunkEncoder:
@@ -85,17 +93,7 @@ class ChunkEncoder:
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         bounds = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if len(self.known) > self.limit:
-            self.older, self.known = self.known, {}
-        new = [c for c in chunks if c not in self.known]
-        if self.older and new:
-            older = self.older
-            self.known.update((c, older[c]) for c in new if c in older)
-            new = [c for c in new if c not in older]
-        extra = self._learn(new)
-        known = self.known
-        packed = [known[c] if c in known else extra[c] for c in chunks] if extra else [known[c] for c in chunks]
+        packed = self._chunk_ids(coded.dictionary)
         ids = np.frombuffer(b"".join(packed), "<u4")
         many = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         first = np.cumsum(many) - many
@@ -108,26 +106,47 @@ class ChunkEncoder:
         for i, a, z in zip(rows, marks[:-1].tolist(), marks[1:].tolist(), strict=True):
             out[i] = stream[a:z]
 
+    def _chunk_ids(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of different chunks. A word with marks behind it is looked up as two words."""
+        heads = pc.utf8_rtrim(chunks, characters=MARKS)
+        sizes = pc.binary_length(heads).to_numpy()
+        two = (sizes > 0) & (sizes < pc.binary_length(chunks).to_numpy()) & pc.match_substring_regex(heads, "[0-9A-Za-z]$").to_numpy(zero_copy_only=False)
+        both = np.flatnonzero(two)
+        pick = pa.array(both)
+        tails = [c[len(h) :] for c, h in zip(_strings(chunks.take(pick)), _strings(heads.take(pick)), strict=True)]
+        coded = pa.concat_arrays([pc.if_else(pa.array(two), heads, chunks), pa.array(tails, pa.large_string())]).dictionary_encode()
+        words, index = self._word_ids(_strings(coded.dictionary)), coded.indices.to_numpy().tolist()
+        packed = [words[i] for i in index[: len(chunks)]]
+        for at, i in zip(both.tolist(), index[len(chunks) :], strict=True):
+            packed[at] += words[i]
+        return packed
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        known = self.known
+        new = [w for w in words if w not in known]
+        if self.older and new:
+            older = self.older
+            known.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
+        extra = self._learn(new)
+        return [known[w] if w in known else extra[w] for w in words] if extra else [known[w] for w in words]
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Adds words to the table; returns the ids of chunks that are not kept: long ones, and words with marks behind."""
-        known, heads, joined, extra = self.known, set(), [], {}
-        for c in chunks:
-            head = c.rstrip(MARKS)
-            if head and len(head) < len(c) and head[-1].isascii() and head[-1].isalnum():
-                tail = c[len(head) :]
-                joined.append((c, head, tail))
-                heads.add(head)
-                heads.add(tail)
-            else:
-                heads.add(c)
-        todo = heads.difference(known)
-        words = [w for w in todo if w.isascii() and w.isalpha() and len(w) <= 64]
-        rest = list(todo.difference(words))
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Adds words to the table; returns the ids of those too long to keep.
+
+        Plain words are encoded together: a token that ends a word tells where
+        the next begins.
+        """
+        known, extra = self.known, {}
+        plain = [w for w in new if w.isascii() and w.isalpha() and len(w) <= 64]
+        rest = [w for w in new if not (w.isascii() and w.isalpha() and len(w) <= 64)]
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(some):
@@ -141,15 +160,17 @@ class ChunkEncoder:
             some = rest[at : at + 4000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                 (known if len(w) <= 64 else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        for c, head, tail in joined:
-            ids = (known[head] if head in known else extra[head]) + (known[tail] if tail in known else extra[tail])
-            extra[c] = ids
         return extra
 
 
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+def release() -> None:
+    """Gives the tables back; a worker that turns to another operator calls this."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a worker process, kept between tasks."""
     if path not in _encoders:

@@ -160,6 +160,7 @@ def write_warc(
     closed at ``file_bytes``. ``date`` is a parameter so that runs agree.
     """
     workspace.make_folder(folder)
+    workspace.bound_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),

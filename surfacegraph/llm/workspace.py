@@ -92,6 +92,51 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri and os.path.exists(uri) else None
 
 
+def bound_batches(spark: SparkSession, rows: int = 2500) -> None:
+    """Lets Arrow batches of whole texts hold fewer rows, if the session has the default of 10,000.
+
+    Executors and workers hold a few batches at a time; of long texts ten
+    thousand are too many. Results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def settle() -> None:
+    """Returns freed memory of a worker to the system; allocators keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def by_bytes(batches, column: int, limit: int = 4_000_000):
+    """The batches cut where the column's texts reach ``limit`` bytes, without copying.
+
+    Bounds what a worker holds as Python objects at a time; a single text is
+    never cut. Freed memory goes back to the system now and then.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for n, b in enumerate(batches, 1):
+        if n % 4 == 0:
+            settle()
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // limit)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(start, end - start)
+    settle()
+
+
 def fresh(taken, *names: str) -> list[str]:
     """The names, each lengthened until it clashes with none of ``taken``."""
     used = {c.lower() for c in taken}
