@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text_tokens import encoder
-from .workspace import written
+from .workspace import bound_batches, by_bytes, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -34,12 +34,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
     ``nth`` counts the pieces of one length within the task ``part``.
     """
+    bound_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         codec, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in by_bytes(batches, 1, 8_000_000):
             rows: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), strict=True):
                 ids += tail
