@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom, text_tokens
 from .components import components
-from .workspace import fresh, written
+from .workspace import bound_batches, by_bytes, fresh, written
 
 BITS = 64
 #: Members of a bucket that one task compares in one array.
@@ -56,8 +57,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp long) for every row, from its whole text. No shuffle."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
-        for b in batches:
+        text_tokens.release()
+        for b in by_bytes(batches, 1):
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column("t").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -182,12 +186,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows without an id, and rows that repeat the smallest id, are dropped only
     where another row has the same id and text. Columns are those of ``docs``.
     """
-    mark, row = fresh(docs.columns, "near_component", "near_rank")
+    (mark,) = fresh(docs.columns, "near_dropped")
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     found = written(found, "near-duplicates")
     many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     out = found.join(many, "component_id", "left_semi").where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(out, F.col(id_col) == F.col(mark), "left_anti")
+    out = written(out, "near-copies")
+    # only rows that may be dropped shuffle with their texts
+    maybe, sure = bloom.split(docs, F.xxhash64(F.col(id_col).cast("long")), out.select(F.xxhash64(mark).alias("k")), out.count())
+    kept = sure.unionByName(maybe.join(out, F.col(id_col) == F.col(mark), "left_anti"))
     again = found.where("doc_id = component_id or doc_id is null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         return kept
