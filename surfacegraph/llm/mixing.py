@@ -117,6 +117,54 @@ def _round(frame: pd.DataFrame, cap: float) -> pd.DataFrame:
     return frame.assign(copies=np.array(copies, np.int64))[["src", "size", "n", "copies"]]
 
 
+def _plan(docs: DataFrame, weights, share, cap, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sized rows, source table, plan).
+
+    The plan has a row for each source and size: ``each`` copies of every
+    document, and one more for those whose hash is at most ``upto``.
+    """
+    spark = docs.sparkSession
+    sized = written(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")),
+        "sized",
+    )
+    bins = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-bins")
+    stats = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")).collect()  # a row a source
+    goal = targets([(r["source"], int(r["words"])) for r in stats], weights, share, cap)
+    order = sorted(stats, key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
+    table = spark.createDataFrame(
+        [(i, r["source"], int(r["words"]), float(goal[r["source"]]), float(r["words"] / r["docs"])) for i, r in enumerate(order)],
+        "src int, name string, source_size long, target double, mean double",
+    )
+    numbered = bins.where("size > 0").join(table, F.col("source").eqNullSafe(F.col("name")))
+    numbered = written(numbered.select("src", "size", "n", (F.col("size") / F.col("mean")).alias("unit")), "numbered-bins")
+    lam = _multipliers(numbered, {i: (goal[r["source"]], float(r["words"])) for i, r in enumerate(order)}, cap)
+    tilt = F.create_map(*[F.lit(x) for k, v in sorted(lam.items()) for x in (k, float(v))])[F.col("src")] * F.col("unit") if lam else F.lit(0.0)
+    copies = numbered.withColumn("rate", rate_of(tilt, cap)).groupBy("src").applyInPandas(lambda f: _round(f, cap), "src int, size long, n long, copies long")  # a row a size
+    each = F.floor(F.col("copies") / F.col("n"))
+    copies = written(copies.select("src", "size", "n", each.alias("each"), (F.col("copies") - each * F.col("n")).alias("extra"), F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).alias("slices")), "planned-bins")
+
+    # the hash up to which a bin's documents get the extra copy: bins are cut
+    # into slices by hash, counts tell the slice, and only that slice is ranked
+    some = copies.where("extra > 0")
+    named = sized.where("size > 0").join(table.select("src", "name"), F.col("source").eqNullSafe(F.col("name"))).select("src", "size", "doc_id", "row")
+    placed = named.join(some, ["src", "size"]).withColumn("u", order_hash(F.col("doc_id")))
+    placed = placed.withColumn("slice", F.least(F.col("slices") - 1, F.floor(F.col("u") / F.lit(2.0**63) * F.col("slices"))))
+    placed = written(placed.select("src", "size", "u", "slice", "extra"), "placed")
+    counts = placed.groupBy("src", "size", "slice").agg(F.count(F.lit(1)).alias("m"), F.first("extra").alias("extra"))
+    before = F.sum("m").over(Window.partitionBy("src", "size").orderBy("slice")) - F.col("m")
+    cut = counts.withColumn("rest", F.col("extra") - before).where("rest > 0 and rest <= m").select("src", "size", "slice", "rest")
+    rank = F.row_number().over(Window.partitionBy("src", "size", "slice").orderBy("u"))
+    at = placed.drop("extra").join(cut, ["src", "size", "slice"]).withColumn("rank", rank).where("rank = rest").select("src", "size", F.col("u").alias("upto"))
+    plan = written(copies.join(at, ["src", "size"], "left").select("src", "size", "each", F.coalesce("upto", F.lit(-1).cast("long")).alias("upto")), "mix-plan")
+    return sized, table, plan
+
+
+def order_hash(doc_id: Column) -> Column:
+    """A non-negative hash by which documents of one bin are ordered."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(17)), 1)
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -130,90 +178,48 @@ def mix(
 
     ``taken`` is ``copies`` times ``size``; ``row`` numbers the rows. A null
     text has size 0; a null source is a source of its own, ordered last. Rows
-    without words are taken 0 times. Of rows that agree in source, size and
-    id any may get the extra copy. Source statistics (a row a source) and the
-    plan's multipliers are the only things the driver holds.
+    without words are taken 0 times. Rows that agree in source, size and id are
+    taken alike. Source statistics (a row a source) and the multipliers are the
+    only things the driver holds.
 
     A bin of documents of equal source and size, however large, is ranked in
     hash slices of about ``RANKED`` rows.
     """
-    spark = docs.sparkSession
-    sized = written(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")
-        ),
-        "sized",
-    )
-    bins = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-bins")
-    stats = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")).collect()  # a row a source
-    goal = targets([(r["source"], int(r["words"])) for r in stats], weights, share, cap)
-    order = sorted(stats, key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    table = spark.createDataFrame(
-        [(i, r["source"], int(r["words"]), float(goal[r["source"]]), float(r["words"] / r["docs"])) for i, r in enumerate(order)],
-        "src int, name string, source_size long, target double, mean double",
-    )
-    numbered = written(
-        bins.where("size > 0").join(table, F.col("source").eqNullSafe(F.col("name"))).select("src", "size", "n", (F.col("size") / F.col("mean")).alias("unit")),
-        "numbered-bins",
-    )
-    lam = _multipliers(numbered, {i: (goal[r["source"]], float(r["words"])) for i, r in enumerate(order)}, cap)
-    if lam:
-        tilt = F.create_map(*[F.lit(x) for k, v in sorted(lam.items()) for x in (k, float(v))])[F.col("src")] * F.col("unit")
-    else:
-        tilt = F.lit(0.0)
-    planned = (
-        numbered.withColumn("rate", rate_of(tilt, cap))
-        .groupBy("src")  # at most one row for each size that occurs
-        .applyInPandas(lambda f: _round(f, cap), "src int, size long, n long, copies long")
-    )
-    planned = written(planned, "planned-bins").select(
-        F.col("src").alias("b_src"), F.col("size").alias("b_size"), "n", "copies", F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).alias("slices")
-    )
+    sized, table, plan = _plan(docs, weights, share, cap, id_col, text_col, source_col)
+    plan = plan.withColumnsRenamed({"src": "p_src", "size": "p_size"})
     rows = sized.join(table, F.col("source").eqNullSafe(F.col("name")))
-    binned = rows.join(planned, (F.col("src") == F.col("b_src")) & (F.col("size") == F.col("b_size")), "left")
-    h = F.xxhash64("doc_id", F.lit(17))
-    binned = binned.withColumn("h", h).withColumn("slice", F.when(F.col("slices") > 1, F.pmod(h, F.col("slices"))).otherwise(F.lit(0)))
-    binned = written(binned.select("doc_id", "source", "size", "row", "src", "source_size", "target", "n", "copies", "h", "slice"), "binned")
-    per_slice = binned.where("size > 0").groupBy("src", "size", "slice").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("copies").alias("k"))
-    extra = F.col("k") - F.floor(F.col("k") / F.col("n")) * F.col("n")
-    before = Window.partitionBy("src", "size").orderBy("slice")
-    share_of = per_slice.select(
-        F.col("src").alias("s_src"),
-        F.col("size").alias("s_size"),
-        F.col("slice").alias("s_slice"),
-        F.floor(F.col("k") / F.col("n")).alias("each"),
-        "m",
-        F.greatest(F.lit(0), F.least(F.col("m"), extra - (F.sum("m").over(before) - F.col("m")))).alias("more"),
-    )
-    joined = binned.join(share_of, (F.col("src") == F.col("s_src")) & (F.col("size") == F.col("s_size")) & (F.col("slice") == F.col("s_slice")), "left")
-    plain = joined.where("size = 0 or more = 0 or more = m")
-    part = joined.where("size > 0 and more > 0 and more < m")
-    rank = F.row_number().over(Window.partitionBy("src", "size", "slice").orderBy("h", "doc_id", "row"))
-    part = part.withColumn("copies", F.col("each") + F.when(rank <= F.col("more"), 1).otherwise(0))
-    plain = plain.withColumn("copies", F.coalesce(F.col("each") + F.when(F.col("more") > 0, 1).otherwise(0), F.lit(0)))
-    out = [F.col("doc_id"), F.col("source"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"), F.col("row")]
-    return plain.select(*out).unionByName(part.select(*out))
+    joined = rows.join(plan, (F.col("src") == F.col("p_src")) & (F.col("size") == F.col("p_size")), "left")
+    copies = F.coalesce(F.col("each") + F.when(order_hash(F.col("doc_id")) <= F.col("upto"), 1).otherwise(0), F.lit(0)).cast("int")
+    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
+
 
+#: Rows of a plan (sources times sizes that occur) up to which it is broadcast.
+BROADCAST_ROWS = 400_000
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.0,
+    cap: float = 3.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with their columns.
 
-    Rows without words are dropped. Rows are told apart by id, source and size,
-    so of rows that agree in these the copies are shared out evenly from the first.
+    Rows without words are dropped. A row decides for itself by source, size
+    and hash, so texts do not shuffle: the plan is broadcast if it has at most
+    ``BROADCAST_ROWS`` rows, and joined otherwise.
     """
-    k_id, k_source, k_size, k_words, k_copies, k_alike, k_nth = fresh(
-        docs.columns, "mix_id", "mix_source", "mix_size", "mix_words", "mix_copies", "mix_alike", "mix_nth"
-    )
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(k_copies), F.count(F.lit(1)).alias(k_alike)).where(F.col(k_copies) > 0)
-    plan = written(plan.withColumnsRenamed({"doc_id": k_id, "source": k_source, "size": k_size}), "mix-copies")
-    joined = docs.withColumn(k_words, word_count(F.col(text_col))).join(
-        plan, F.col(id_col).cast("long").eqNullSafe(F.col(k_id)) & F.col(source_col).eqNullSafe(F.col(k_source)) & (F.col(k_words) == F.col(k_size))
-    )
-    one = joined.where(F.col(k_alike) == 1)
-    if not plan.where(F.col(k_alike) > 1).isEmpty():
-        nth = F.row_number().over(Window.partitionBy(k_id, k_source, k_size).orderBy(text_col))
-        many = joined.where(F.col(k_alike) > 1).withColumn(k_nth, nth)
-        mine = F.floor(F.col(k_copies) / F.col(k_alike)) + F.when(F.col(k_nth) <= F.col(k_copies) % F.col(k_alike), 1).otherwise(0)
-        one = one.unionByName(many.withColumn(k_copies, mine).drop(k_nth).where(F.col(k_copies) > 0))
-    return one.withColumn(k_copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(k_copies)))).select(docs.columns)
+    _, table, plan = _plan(docs, weights, share, cap, id_col, text_col, source_col)
+    k_source, k_size, k_each, k_upto, k_words, k_copies = fresh(docs.columns, "mix_source", "mix_size", "mix_each", "mix_upto", "mix_words", "mix_copies")
+    plan = plan.join(table.select("src", "name"), "src").select(F.col("name").alias(k_source), F.col("size").alias(k_size), F.col("each").alias(k_each), F.col("upto").alias(k_upto))
+    plan = written(plan.where((F.col(k_each) > 0) | (F.col(k_upto) >= 0)), "named-plan")
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    sized = docs.withColumn(k_words, word_count(F.col(text_col)))
+    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col(k_source)) & (F.col(k_words) == F.col(k_size)))
+    extra = F.when(order_hash(F.col(id_col).cast("long")) <= F.col(k_upto), 1).otherwise(0)
+    copies = F.array_repeat(F.lit(0), (F.col(k_each) + extra).cast("int"))
+    return joined.withColumn(k_copies, F.explode(copies)).select(docs.columns)
