@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Characters of text that are cut into chunks at a time.
-GROUP = 8_000_000
+GROUP = 4_000_000
 
 
 def _strings(a: pa.Array) -> list[str]:
@@ -40,7 +40,7 @@ class ChunkEncoder:
     another way than NFC and lower case, are encoded text by text.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

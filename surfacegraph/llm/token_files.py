@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         tail, path = np.array([end_id], kind).tobytes(), f"{folder}/part-{part:05d}-{uuid.uuid4().hex}"
         offsets, ids, nulls = [0], [], 0
         with workspace.open_out(path + ".tokens") as out:
-            for b in workspace.by_bytes(batches, 1, 8_000_000):
+            for b in workspace.by_bytes(batches, 1):
                 for doc, packed in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), strict=True):
                     out.write(np.frombuffer(packed, "<u4").astype(kind).tobytes() + tail)
                     offsets.append(offsets[-1] + len(packed) // 4 + 1)

@@ -92,7 +92,7 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri and os.path.exists(uri) else None
 
 
-def bound_batches(spark: SparkSession, rows: int = 2500) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lets Arrow batches of whole texts hold fewer rows, if the session has the default of 10,000.
 
     Executors and workers hold a few batches at a time; of long texts ten
