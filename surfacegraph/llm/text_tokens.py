@@ -40,7 +40,7 @@ class ChunkEncoder:
     another way than NFC and lower case, are encoded text by text.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
