@@ -44,18 +44,24 @@ def can_occlude(style_map: Column, has_children: Column) -> Column:
     return F.when(style_map.isNull(), True).otherwise(~hidden & ~faint & (~clear | border | styled(style_map, "box-shadow") | yes(has_children)))
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor, depth) along layout parents. ``nodes``: id, parent."""
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) along layout parents. ``nodes``: id, parent.
+
+    Walks up level by level to the roots; raises on a cycle of parents.
+    """
     level = nodes.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     up = nodes.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-    out = level
-    for depth in range(2, max_depth + 1):
+    out, depth = level, 1
+    while True:
+        # a node that is its own ancestor never leaves the walk
+        if not level.where("id = ancestor").isEmpty():
+            raise ValueError("layout parents form a cycle")
+        depth += 1
         level = level.join(up, "ancestor").where("next is not null").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
         level = cut(level)
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def clipped(nodes: DataFrame, viewport_w: float = 1440, viewport_h: float = 900) -> DataFrame:

@@ -189,6 +189,24 @@ def test_occlusion_respects_clipping_and_family(spark):
     assert got["kid"]["visible_area"] == 5000 and got["kid"]["visible_ratio"] == 0.5 and got["far"]["is_offscreen"] and got["far"]["is_occluded"]
 
 
+def test_occlusion_walks_chains_of_more_than_64_nodes(spark):
+    box = (0.0, 0.0, 100.0, 100.0)
+    rows = [("p", "n0", None, (0.0, 0.0, 40.0, 100.0), {"overflow": "hidden"}, 0)] + [("p", f"n{i}", f"n{i - 1}", box, {"zIndex": "9"} if i == 70 else {}, i) for i in range(1, 71)]
+    df = spark.createDataFrame(rows, "page_id string, id string, parent string, rect struct<x:double,y:double,w:double,h:double>, style map<string,string>, seq long").withColumns(
+        {"padding_box": F.lit(None).cast("struct<x:double,y:double,w:double,h:double>"), "is_scroll": F.lit(False), "is_stacking": F.lit(False), "z": F.lit(None).cast("int"), "has_children": F.lit(False)})
+    conf, old = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(conf, "1")
+    try:
+        assert occlusion.ancestors(df.select("id", "parent")).count() == 70 * 71 // 2
+        got = {r["id"]: r for r in occlusion.clipped(df).select("id", "clip.w").collect()}
+        assert {r["w"] for r in got.values()} == {40.0}
+        assert all(r["occluded_by"] == [] for r in occlusion.occlusion(df).select("occluded_by").collect())
+        with pytest.raises(ValueError):
+            occlusion.ancestors(spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "a")], "id string, parent string"))
+    finally:
+        spark.conf.set(conf, old)
+
+
 def test_state_ids_ignore_positions_and_order(spark):
     base = {"key": 1, "page_id": "p", "route": "/", "auth_kind": "anonymous", "network_status": "online", "network_evidence": "o", "open_dialog_ids": ["b", "a"], "open_popover_ids": [], "expanded_region_ax_ids": [], "viewport": (1440.0, 900.0, 2.0, 0.0, 0.0004)}
     other = base | {"key": 2, "open_dialog_ids": ["a", "b"], "viewport": (1440.0, 900.0, 2.0, 0.0, 0.0)}
