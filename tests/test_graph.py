@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from surfacegraph import api
+from surfacegraph import api, catalogue
 from surfacegraph.operators import govern, layout, occlusion, report, select, state, traverse
+from surfacegraph.plans import derive
 from surfacegraph.plans.schema import page_of_ax
 from surfacegraph.sources import graph_json, html, trees
 
@@ -207,6 +208,32 @@ def test_occlusion_walks_chains_of_more_than_64_nodes(spark):
         spark.conf.set(conf, old)
 
 
+def test_components_of_the_whole_table_match_a_flood_fill(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {}
+    for r in derive.visual(spark, sf, large=True).select("page_id", "seq", "rect").collect():
+        pages.setdefault(r["page_id"], {})[r["seq"]] = r["rect"]
+    shared = lambda a, s, b, t: min(a + s, b + t) - max(a, b)
+    want = set()
+    for page, boxes in pages.items():
+        free = set(boxes)
+        while free:
+            group, todo = set(), [min(free)]
+            while todo:
+                a = todo.pop()
+                free.discard(a)
+                group.add(a)
+                p = boxes[a]
+                near = {b for b in free if shared(p["x"], p["w"], boxes[b]["x"], boxes[b]["w"]) >= 24 and shared(p["y"], p["h"], boxes[b]["y"], boxes[b]["h"]) >= 24}
+                free -= near
+                todo += near
+            if len(group) > 1:
+                want.add((page, f"v{min(group)}", len(group), min(95, max(40, 30 + len(group) * 8))))
+    got = [tuple(r) for r in catalogue.queries()["l_components_all"](spark, sf).select("page_id", "group_id", "members", "confidence").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(g[2] for g in got) > sum(map(len, pages.values())) / 2
+
+
 def test_state_ids_ignore_positions_and_order(spark):
     base = {"key": 1, "page_id": "p", "route": "/", "auth_kind": "anonymous", "network_status": "online", "network_evidence": "o", "open_dialog_ids": ["b", "a"], "open_popover_ids": [], "expanded_region_ax_ids": [], "viewport": (1440.0, 900.0, 2.0, 0.0, 0.0004)}
     other = base | {"key": 2, "open_dialog_ids": ["a", "b"], "viewport": (1440.0, 900.0, 2.0, 0.0, 0.0)}
