@@ -73,3 +73,15 @@ def test_stages_take_an_empty_table(spark):
     empty = documents(spark, []).drop("kept")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_every_text_with_a_letter_passes_language_id(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").collect()[:80]
+    first = {r["lang"]: r["text"][:120] for r in base if r["lang"] and r["text"]}
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in base]
+    words = {w for r in base for w in (r["text"] or "").split()[:3] if re.search(r"[^\W\d_]", w)}
+    short = ["This.", "Thtion.", "Edrere.", "a", *sorted(words), " ".join(first.values())]
+    rows += [(5000 + i, t, None, "s", len(t)) for i, t in enumerate(short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}
+    assert kept == {r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
