@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, text_tokens
@@ -186,18 +186,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows without an id, and rows that repeat the smallest id, are dropped only
     where another row has the same id and text. Columns are those of ``docs``.
     """
-    (mark,) = fresh(docs.columns, "near_dropped")
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    found = written(found, "near-duplicates")
-    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    out = found.join(many, "component_id", "left_semi").where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
-    out = written(out, "near-copies")
+    rows = docs.select(row_node(id_col, text_col).alias("node"), F.col(text_col).alias("t"))
+    found = near_duplicates(rows, "node", "t", shingle, radius)
+    return keep_lowest(docs, found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct(), id_col, text_col)
+
+
+def row_node(id_col: str, text_col: str) -> Column:
+    """A number of the id and the text: rows that share an id, but not the text, differ."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def keep_lowest(docs: DataFrame, linked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay by ``linked(node, component)``, of :func:`row_node`; nodes without a link may be missing."""
+    (mark,) = fresh(docs.columns, "near_node")
+    node = row_node(id_col, text_col)
+    linked = written(linked, "near-components")
+    ids = docs.select(node.alias("node"), F.col(id_col).cast("long").alias("id")).distinct()
+    found = written(ids.join(linked, "node"), "near-ids")
+    lows = found.groupBy("component").agg(F.min("id").alias("low"))
+    out = written(found.join(lows, "component").where("id <> low").select(F.col("node").alias(mark)).distinct(), "near-copies")
     # only rows that may be dropped shuffle with their texts
-    maybe, sure = bloom.split(docs, F.xxhash64(F.col(id_col).cast("long")), out.select(F.xxhash64(mark).alias("k")), out.count())
-    kept = sure.unionByName(maybe.join(out, F.col(id_col) == F.col(mark), "left_anti"))
-    again = found.where("doc_id = component_id or doc_id is null").groupBy("doc_id").count().where("count > 1")
+    maybe, sure = bloom.split(docs, F.xxhash64(node), out.select(F.xxhash64(mark).alias("k")), out.count())
+    kept = sure.unionByName(maybe.join(out, node == F.col(mark), "left_anti"))
+    again = docs.groupBy(node.alias(mark)).count().where("count > 1").select(mark)
     if again.isEmpty():
         return kept
-    twice = kept.join(again.select(F.col("doc_id").alias(mark)), F.col(id_col).eqNullSafe(F.col(mark)), "left_semi")
-    once = kept.join(again.select(F.col("doc_id").alias(mark)), F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
+    again = written(again, "repeated-rows")
+    twice = kept.join(again, node == F.col(mark), "left_semi")
+    once = kept.join(again, node == F.col(mark), "left_anti")
     return once.unionByName(twice.dropDuplicates([id_col, text_col]))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from surfacegraph.llm import jaccard
+from surfacegraph.llm import jaccard, simhash
 
 from .helpers import documents, odd_texts, prose, smallest_reachable
 from .test_simple_operators import SF
@@ -51,3 +51,10 @@ def test_large_groups_chains_and_odd_texts(spark):
     for block in (4, 256):
         rows = jaccard.keep_one(documents(spark, texts, ids), block=block)
         assert kept(rows) == want and rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
+
+
+def test_a_repeated_id_drops_only_the_copy(spark):
+    base, other = prose(60, 80), prose(61, 80)
+    df = documents(spark, [base, base.upper(), other, other], [1, 7, 7, 7])
+    for keep_one in (jaccard.keep_one, simhash.keep_one):
+        assert sorted((r["doc_id"], r["text"]) for r in keep_one(df).collect()) == [(1, base), (7, other)]
