@@ -13,7 +13,7 @@ from . import exact_dedup, language_id, mixing, packing, simhash, suffix_dedup,
 URL_RULES = (
     ("allow", "org/"),
     ("block", "example.org/es/"),
-    ("allow", "example.org/en/1"),
+    ("block", "example.org/en/1"),
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
@@ -98,11 +98,12 @@ def _url_oracle() -> str:
 
     strict = " + ".join(map(hit, url_filter.STRICT))
     soft = " + ".join(map(hit, url_filter.SOFT))
-    best = "NULL"
-    for verdict, rule in sorted(URL_RULES, key=lambda r: len(r[1])):
-        host, slash, path = rule.partition("/")
-        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}')"
-        best = f"CASE WHEN {fits} THEN '{verdict}:{rule}' ELSE {best} END"
+    # the contract's rules, longest first, written out
+    best = """CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'block:example.org/en/1'
+       WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'block:example.org/es/'
+       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'allow:com/fr/'
+       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'block:com/de/'
+       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'allow:org/' END"""
     return f"""
 WITH a AS (SELECT page_id, coalesce(url, '') AS url,
              CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

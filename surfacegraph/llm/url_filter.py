@@ -15,12 +15,28 @@ from pyspark.sql import functions as F
 
 #: Terms that reject a URL alone.
 STRICT = (
-    "porn", "porno", "xxx", "hentai", "camgirls", "escorts", "onlyslots", "warez", "keygen", "phishing",
+    # adult
+    "porn", "porno", "pornhub", "xxx", "xvideos", "xnxx", "hentai", "camgirl", "camgirls", "escort", "escorts", "milf", "blowjob",
+    "gangbang", "creampie", "bukkake", "fetish", "sexcam", "sexcams", "sexshop", "sextoy", "sextoys", "striptease", "upskirt", "bdsm",
+    "livesex", "freesex", "redtube", "youporn", "swingers",
+    # gambling
+    "onlyslots", "onlinecasino", "slotmachine", "sportsbook", "bookmaker", "freespins",
+    # unlawful copies and attacks
+    "warez", "keygen", "serialkey", "nulled", "phishing", "malware", "ransomware", "botnet", "carding", "fullz",
+    # drugs
+    "buyviagra", "cheapviagra", "buycialis", "onlinepharmacy",
 )
 #: Terms that reject a URL when at least ``SOFT_HITS`` different ones occur.
 SOFT = (
-    "adult", "sex", "nude", "naked", "erotic", "dating", "casino", "poker", "betting", "gambling",
-    "slots", "viagra", "cialis", "crack", "torrent", "nsfw", "webcam", "jackpot", "lottery", "payday",
+    # adult
+    "adult", "adults", "sex", "sexy", "nude", "nudes", "nudity", "naked", "erotic", "erotica", "dating", "hookup", "hookups", "nsfw",
+    "webcam", "webcams", "amateur", "mature", "teen", "lesbian", "lingerie", "uncensored", "strip", "kinky", "hardcore", "playboy",
+    # gambling
+    "casino", "casinos", "poker", "betting", "bets", "gambling", "slots", "roulette", "blackjack", "bingo", "jackpot", "lottery", "lotto", "odds",
+    # drugs and money
+    "viagra", "cialis", "levitra", "tramadol", "xanax", "steroids", "pharmacy", "pills", "payday", "loans", "forex", "replica", "cheap", "bonus",
+    # unlawful copies
+    "crack", "cracked", "torrent", "torrents", "serials", "hack", "hacks", "cheats", "piracy", "rapidshare",
 )
 SOFT_HITS = 2
 
