@@ -9,11 +9,10 @@ it to every window of every whole text. Prediction needs no shuffle.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_tokens
@@ -25,7 +24,10 @@ FILTERS = 16
 EMBED = 8
 #: Windows that one call of the network takes.
 BATCH = 512
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of Unicode category L: marks, letter-like numbers and symbols are none.
+LETTER = regex.compile(r"\p{L}")
+#: The largest hash of a row.
+TOP = (1 << 63) - 1
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -155,31 +157,38 @@ def train(
     docs: DataFrame,
     per_language: int = 400,
     per_document: int = 5,
-    max_languages: int = 200,
+    most_documents: int = 40_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> ByteNet:
-    """A network for the languages of the labelled rows outside the held-out fold.
-
-    Learns from about ``per_language`` documents a language, chosen by a hash
-    of the id, and ``per_document`` windows of each: a bounded sample. Of more
-    than ``max_languages`` languages the most frequent are learned. Rows with a
-    null id, text or language take no part; without any, the network has no
-    classes and predicts ``und``.
+    """A network for every language of the labelled rows outside the held-out fold.
+
+    Learns from ``per_language`` documents a language (all, of a rarer one),
+    those with the least hashes, and ``per_document`` windows of each: a
+    bounded sample. With very many languages each gives fewer documents, one
+    at least, so that about ``most_documents`` are enough; no language is left
+    out, however rare or common. Rows with a null id, text or language take no
+    part; without any, the network has no classes and predicts ``und``.
     """
+    spark = docs.sparkSession
     key, text = F.col(id_col).cast("long"), F.col(text_col)
     rows = docs.where(~held_out(F.col(id_col)) & text.isNotNull() & F.col(lang_col).isNotNull() & (F.length(text) > 0))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row a language, as the network has
     if not counts:
         return ByteNet([])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1e6, 1e6 * per_language / r["count"])))])
-    rows = rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) < F.coalesce(share[F.col(lang_col)], F.lit(0)))
+    per = max(1, min(per_language, most_documents // len(counts)))
+    # twice as many and some more pass a first cut by hash, of which the least are taken
+    upto = spark.createDataFrame([(r["lang"], min(TOP, TOP * (2 * per + 30) // r["count"])) for r in counts], "k_lang string, upto long")
+    hashed = rows.select(key.alias("k"), F.col(lang_col).alias("lang"), text.alias("t"), F.shiftrightunsigned(F.xxhash64(key, text, F.lit(7)), 1).alias("u"))
+    passed = hashed.join(upto, (F.col("lang") == F.col("k_lang")) & (F.col("u") <= F.col("upto")))
     cut = [
-        F.substring(text, F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(F.lit(1), F.length(text) - WINDOW)).cast("int") + 1, F.lit(WINDOW))
+        F.substring("t", F.pmod(F.xxhash64("k", F.lit(i)), F.greatest(F.lit(1), F.length("t") - WINDOW)).cast("int") + 1, F.lit(WINDOW))
         for i in range(per_document)
     ]
-    sample = rows.select(key.alias("k"), F.col(lang_col).alias("lang"), F.array(*cut).alias("cut")).collect()
+    cuts = passed.select("k", "lang", "u", F.array(*cut).alias("cut"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "k", "cut"))
+    sample = cuts.withColumn("rank", rank).where(F.col("rank") <= per).select("k", "lang", "cut").collect()
     langs = sorted({r["lang"] for r in sample})
     x, y = [], []
     for r in sorted(sample, key=lambda r: (r["k"], r["lang"], r["cut"])):

@@ -306,6 +306,24 @@ def test_language_cases(spark):
     assert language_id.identify(documents(spark, []), net).count() == 0
 
 
+def test_every_language_is_learned_and_letters_are_unicode_letters(spark):
+    n = 260  # more labels than any earlier bound
+    texts = [f"{chr(0x4E00 + i)}{chr(0x4E00 + 3 * i)} " * 40 for i in range(n) for _ in range(3)]
+    df = documents(spark, texts, range(len(texts)), [f"l{i}" for i in range(n) for _ in range(3)])
+    net = language_id.ByteNet
+    fitted = []
+    language_id.ByteNet = lambda langs: fitted.append(langs) or type("N", (), {"fit": lambda self, x, y: (len(x), sorted(set(y.tolist())))})()
+    try:
+        n_windows, classes = language_id.train(df, most_documents=100)
+    finally:
+        language_id.ByteNet = net
+    learned = {f"l{i // 3}" for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5}
+    assert set(fitted[0]) == learned and len(classes) == len(learned) > 200 and n_windows <= 5 * len(learned)
+    small = language_id.train(documents(spark, ["le la les une des est avec pour", "der die das und ist mit von zu"] * 20, langs=["fr", "de"] * 20))
+    odd = ["½ ²", "①", "Ⅷ", "1234 !!", "\u0301", "ª", "字", "ǅ", ""]
+    assert [lang == "und" for lang, _ in small.predict(odd)] == [True, True, True, True, True, False, False, False, True]
+
+
 # URLs
 
 
@@ -316,7 +334,7 @@ def test_url_cases(spark):
     rows = [url for url in url_filter.judge_urls(df, queries.URL_RULES).orderBy("page_id").collect()]
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows] == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
-        ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/15", "example.org/en/1", "allow"), ("org", "", None, "allow"),
+        ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/15", "example.org/en/1", "block"), ("org", "", None, "allow"),
         ("x.com", "/fr/a", "com/fr/", "allow"), ("x.com", "/de/", "com/de/", "block"), ("porn.example.net", "/", None, "block"),
         ("a.net", "/adult/casino", None, "block"), ("a.net", "/adult/adult", None, "allow"), ("a.net", "/essex/adults", None, "allow"), ("a.net:", "//b/c", None, "allow"),
     ]
