@@ -4,9 +4,9 @@ from collections import Counter
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from surfacegraph.llm import language_id, mixing, queries
+from surfacegraph.llm import language_id, queries
 
-from .helpers import documents, smallest_reachable
+from .helpers import documents, plain_targets, smallest_reachable
 from .test_simple_operators import SF, check_packing, plain_fingerprint
 
 
@@ -48,7 +48,7 @@ def test_stages_decide_as_brute_force_does(spark):
     per = Counter()
     for i, r in want.items():
         per[r["source"]] += size[i]
-    goal = mixing.targets(list(per.items()))
+    goal = plain_targets(per)
     mixed = stages["mixing"](spark, now, SF)
     got = mixed.collect()
     assert mixed.columns == docs.columns

@@ -1,5 +1,7 @@
 import gzip
 import io
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surfacegraph.llm import mixing, queries, topk, warc, workspace
 
-from .helpers import documents, odd_texts, prose
+from .helpers import check_mix, documents, odd_texts, plain_targets, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,11 +62,19 @@ def test_top_k_cases(spark):
 # mixing
 
 
-def test_targets_stop_at_three_times():
-    got = mixing.targets([("b", 1000), (None, 10), ("a", 20), ("é", 500)])
+def test_targets_stop_at_three_times(spark):
+    per = {"b": 1000, None: 10, "a": 20, "é": 500}
+    df = spark.createDataFrame([(s, n, 1) for s, n in per.items()], "source string, words long, docs long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
     # a weighs 5, b 2, é 1, null 5
     assert got["a"] == 60 and got[None] == 30
     assert abs(got["b"] / got["é"] - 2) < 1e-9 and abs(sum(got.values()) - 1530) < 1e-6
+    many = {f"{i:x}": 1 + (7 * i) % 101 for i in range(700)}
+    df = spark.createDataFrame([(s, n, 1) for s, n in many.items()], "source string, words long, docs long")
+    want = plain_targets(many)
+    rows = mixing.targets(df).collect()
+    assert len(rows) == 700 and all(abs(r["target"] - want[r["source"]]) < 1e-9 * want[r["source"]] for r in rows)
+    assert sorted(r["src"] for r in rows) == list(range(700))
 
 
 def test_mixing_query(spark):
@@ -73,23 +83,12 @@ def test_mixing_query(spark):
     again = queries.op2_mixing(spark, sf).collect()
     assert sorted(rows) == sorted(again)
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    import re
-
-    sizes, per = {}, {}
+    per = {}
     for d in docs.values():
-        n = len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or ""))
-        sizes[d["doc_id"]] = n
-        per[d["source"]] = per.get(d["source"], 0) + n
-    want = mixing.targets(list(per.items()))
-    taken = {}
+        per[d["source"]] = per.get(d["source"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or ""))
     assert len(rows) == len(docs)
-    for r in rows:
-        assert r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 3 * r["size"]
-        source = docs[r["doc_id"]]["source"]
-        assert r["source_size"] == per[source] and abs(r["target"] - want[source]) < 1e-6
-        taken[source] = taken.get(source, 0) + r["taken"]
-    for s, t in want.items():
-        assert abs(taken[s] - t) <= max(0.02 * t, 30)
+    assert all(r["source_size"] == per[docs[r["doc_id"]]["source"]] and r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r["doc_id"]]["text"] or "")) for r in rows)
+    check_mix([(docs[r["doc_id"]]["source"], docs[r["doc_id"]]["text"], r["target"], r["taken"]) for r in rows])
 
 
 def test_mixing_cases(spark):
@@ -99,23 +98,37 @@ def test_mixing_cases(spark):
     df = documents(spark, texts, ids, sources=sources)
     rows = mixing.mix(df).collect()
     assert len(rows) == len(texts)
-    per = {}
-    for r in rows:
-        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
-        x = per.setdefault(r["source"], [0, r["target"]])
-        x[0] += r["taken"]
-    assert all(abs(a - t) <= max(8, 0.02 * t) for a, t in per.values())
+    by = {(r["doc_id"], r["size"], r["source"]): r["copies"] for r in rows if r["size"] and r["doc_id"] is not None}
     out = mixing.mixed(df)
+    got = Counter((r["doc_id"], len(r["text"].split()), r["source"]) for r in out.collect())
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in rows if r["size"])
-    assert mixing.mix(documents(spark, [])).count() == 0
+    assert {k: n for k, n in by.items() if n} == {k: n for k, n in got.items() if k in by}
+    assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mixed(documents(spark, [])).count() == 0
     assert mixing.mix(documents(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
+    assert mixing.mixed(documents(spark, [None, ""])).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows_meet_their_target(spark):
+    texts = ["a b c d e"] * 1000 + ["f g"] * 500 + ["h i j"] * 10 + [prose(s, 6) for s in range(200)]
+    sources = ["s"] * 1000 + ["t"] * 500 + [None] * 10 + ["s"] * 200
+    ids = [None] * 1000 + [7] * 500 + [None] * 10 + [None] * 200
+    df = documents(spark, texts, ids, sources=sources)
+    rows = mixing.mix(df).collect()
+    assert len({r["row"] for r in rows}) == len(texts)
+    text = {("s", 5): "a b c d e", ("t", 2): "f g", (None, 3): "h i j", ("s", 6): "a b c d e f"}
+    check_mix([(r["source"], text[r["source"], r["size"]], r["target"], r["taken"]) for r in rows])
+    got = Counter((r["source"], len(r["text"].split())) for r in mixing.mixed(df).collect())
+    want = Counter()
+    for r in rows:
+        want[r["source"], r["size"]] += r["copies"]
+    assert got == +want
 
 
 def test_a_large_bin_is_ranked_in_slices(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED", 16)
-    df = documents(spark, ["a b c"] * 700 + ["d e"] * 300, sources=["s"] * 700 + ["t"] * 300)
-    rows = mixing.mix(df, weights=(1, 3)).collect()
-    want = mixing.targets([("s", 2100), ("t", 600)], (1, 3))
+    texts, sources = ["a b c"] * 700 + ["d e"] * 300, ["s"] * 700 + ["t"] * 300
+    rows = mixing.mix(documents(spark, texts, sources=sources), weights=(1, 3)).collect()
+    want = plain_targets({"s": 2100, "t": 600}, (1, 3))
     for s in "st":
         assert abs(sum(r["taken"] for r in rows if r["source"] == s) - want[s]) <= 3
 
