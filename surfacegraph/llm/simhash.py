@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, text_tokens
 from .components import components
+from .hot import join_groups
 from .workspace import bound_batches, by_bytes, fresh, written
 
 BITS = 64
@@ -88,7 +89,7 @@ def link_components(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> Da
     """
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks(radius)])).alias("t", "key"))
     buckets = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("rep")).where("n > 1")
-    members = written(keyed.join(buckets, ["t", "key"]), "bucket-members")
+    members = written(join_groups(keyed, buckets, ["t", "key"], "n"), "bucket-members")
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("rep"))) <= radius
     stars = members.where(near).select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
@@ -171,13 +172,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none). Repeated rows each get a row. Only the two named columns are read.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_rows")), "fingerprint-nodes")
     linked = link_components(nodes.select("fp"), radius)
-    named = nodes.join(linked, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("comp"))
+    named = nodes.join(linked, "fp", "left").select("fp", "low", "n_rows", F.coalesce("component", "fp").alias("comp"))
     named = written(named, "named-fingerprints")
-    lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "comp").select(F.col("fp").alias("node"), "component_id")
-    return fps.join(ids, F.col("fp") == F.col("node"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lows = named.groupBy("comp").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n_kinds"))
+    ids = join_groups(named, lows, ["comp"], "n_kinds").select("fp", "n_rows", "component_id")
+    return join_groups(fps, ids, ["fp"], "n_rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -203,8 +204,8 @@ def keep_lowest(docs: DataFrame, linked: DataFrame, id_col: str, text_col: str)
     linked = written(linked, "near-components")
     ids = docs.select(node.alias("node"), F.col(id_col).cast("long").alias("id")).distinct()
     found = written(ids.join(linked, "node"), "near-ids")
-    lows = found.groupBy("component").agg(F.min("id").alias("low"))
-    out = written(found.join(lows, "component").where("id <> low").select(F.col("node").alias(mark)).distinct(), "near-copies")
+    lows = found.groupBy("component").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n_ids"))
+    out = written(join_groups(found, lows, ["component"], "n_ids").where("id <> low").select(F.col("node").alias(mark)).distinct(), "near-copies")
     # only rows that may be dropped shuffle with their texts
     maybe, sure = bloom.split(docs, F.xxhash64(node), out.select(F.xxhash64(mark).alias("k")), out.count())
     kept = sure.unionByName(maybe.join(out, node == F.col(mark), "left_anti"))
