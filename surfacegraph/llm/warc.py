@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import workspace
+from . import bloom, workspace
+from .hot import join_groups
 
 # Fixed values of the WARC 1.1 standard.
 VERSION = b"WARC/1.1"
@@ -38,12 +39,13 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _uri(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+def _uri(page_id: int | None, payload_digest: str) -> str:
+    """A record's name: of the page and its payload, so that rows which share an id only differ."""
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{payload_digest}>"
 
 
 def _page(uri: str) -> int | None:
-    name = uri.rpartition(":")[2].rstrip(">")
+    name = uri.split(":")[2]
     return None if name == "none" else int(name)
 
 
@@ -51,19 +53,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One record, not compressed: a response, or a revisit of ``refers_to``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
+    sha = digest(payload)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", _uri(page_id)),
+        ("WARC-Record-ID", _uri(page_id, sha)),
         ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{sha}"),
         ("Content-Length", str(len(block))),
     ]
     if url is not None:
         fields.insert(3, ("WARC-Target-URI", url.translate({13: "%0D", 10: "%0A"})))
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _uri(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _uri(refers_to, sha))]
     head = b"".join(f"{k}: {v}\r\n".encode("utf-8", "surrogatepass") for k, v in fields)
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
@@ -94,50 +97,74 @@ class Framing(ValueError):
     """The bytes are not a sequence of whole WARC records."""
 
 
-def read_records(stream, chunk: int = 1 << 20) -> Iterator[Record]:
+#: Bytes read at a time, and inflated at a time.
+CHUNK = 1 << 14
+#: Bytes of a header, at most; a longer one is no record.
+HEADER = 1 << 20
+
+
+class _Member:
+    """The bytes of one gzip member, inflated as they are asked for."""
+
+    def __init__(self, stream, raw: bytes, chunk: int):
+        self.stream, self.raw, self.chunk = stream, raw, chunk
+        self.unzip, self.out = zlib.decompressobj(wbits=31), bytearray()
+
+    def more(self) -> bool:
+        """Inflates a piece more; False at the member's end."""
+        if self.unzip.eof:
+            return False
+        self.raw = self.raw or self.stream.read(self.chunk)
+        if not self.raw:
+            raise Framing("the archive ends within a gzip member")
+        self.out += self.unzip.decompress(self.raw, 4 * CHUNK)
+        self.raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
+        return True
+
+
+def read_records(stream, chunk: int = CHUNK) -> Iterator[Record]:
     """The records of an archive, in order, one gzip member each.
 
-    ``stream`` has ``read(n)``. Holds one record and one chunk at a time.
+    ``stream`` has ``read(n)``. A member is inflated piece by piece: first to
+    the blank line that ends the header, then as many bytes as its
+    Content-Length says. A member that is cut off, goes on after its record,
+    or ends before it raises :class:`Framing`. Holds one record and one piece.
     """
-    pending = b""
-    while True:
-        unzip, out = zlib.decompressobj(wbits=31), bytearray()
-        while not unzip.eof:
-            data = pending or stream.read(chunk)
-            if not data:
-                if out or unzip.unconsumed_tail:
-                    raise Framing("the archive ends within a gzip member")
-                return
-            out += unzip.decompress(data)
-            pending = unzip.unused_data
-        yield _frame(bytes(out))
-
-
-def _frame(data: bytes) -> Record:
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/"):
-        raise Framing("a record starts with its version line and ends its header with a blank line")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(fields.get("content-length", -1))
-    if n < 0 or rest[n:] != b"\r\n\r\n":
-        raise Framing("content-length does not match the record")
-    return Record(fields, rest[:n])
+    raw = b""
+    while raw := raw or stream.read(chunk):
+        member = _Member(stream, raw, chunk)
+        while (gap := member.out.find(b"\r\n\r\n")) < 0:
+            if len(member.out) > HEADER or not member.more():
+                raise Framing("a record ends its header with a blank line")
+        lines = bytes(member.out[:gap]).decode("utf-8", "surrogatepass").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise Framing("a record starts with its version line")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise Framing("a record has a content-length")
+        start, end = gap + 4, gap + 4 + int(length)
+        while len(member.out) <= end + 4 and member.more():
+            pass
+        if member.out[end:] != b"\r\n\r\n":
+            raise Framing("content-length does not match the record")
+        raw = member.raw
+        yield Record(fields, bytes(member.out[start:end]))
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """(page, sha, refers): pages that revisit another of equal payload, the one with the smallest id.
 
     Works on ids and digests only. A group that holds a third of all rows is
-    aggregated before its shuffle, and its join is one that Spark splits.
+    aggregated before its shuffle, and its rows join without one.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     seen = pages.where(F.col(id_col).isNotNull() & (F.octet_length(payload) >= min_bytes)).select(
         F.col(id_col).cast("long").alias("page"), F.sha1(payload).alias("sha")
     )
     seen = workspace.written(seen, "payload-digests")
-    first = seen.groupBy("sha").agg(F.min("page").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return seen.join(first, "sha").where("page <> refers").select("page", "sha", "refers").distinct()
+    first = seen.groupBy("sha").agg(F.min("page").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return join_groups(seen, first, ["sha"], "n").where("page <> refers").select("page", "sha", "refers").distinct()
 
 
 def write_warc(
@@ -166,10 +193,11 @@ def write_warc(
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     )
-    again = revisits(pages, min_bytes, id_col, payload_col)
-    marked = rows.join(again, (F.col("page_id") == F.col("page")) & (F.sha1("payload") == F.col("sha")), "left").select(
-        "page_id", "url", "payload", "refers"
-    )
+    again = workspace.written(revisits(pages, min_bytes, id_col, payload_col), "revisits")
+    # only rows that may be revisits shuffle with their payloads
+    maybe, sure = bloom.split(rows, F.xxhash64("page_id"), again.select(F.xxhash64("page").alias("k")), again.count())
+    found = maybe.join(again, (F.col("page_id") == F.col("page")) & (F.sha1("payload") == F.col("sha")), "left").select("page_id", "url", "payload", "refers")
+    marked = sure.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers")).unionByName(found)
 
     def run(batches):
         done: list[tuple[str, int, int]] = []

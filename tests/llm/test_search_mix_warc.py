@@ -1,6 +1,7 @@
 import gzip
 import io
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -154,6 +155,34 @@ def test_broken_archives_are_noticed():
         list(warc.read_records(io.BytesIO(gzip.compress(good + b"x"))))
 
 
+def test_every_cut_of_an_archive_is_noticed():
+    members = [gzip.compress(warc.record(i, "http://a/b", bytes(range(65, 91)) * 20 * i, None, "d")) for i in (1, 2, 40)]
+    whole, ends = b"".join(members), {0, len(members[0]), len(members[0]) + len(members[1])}
+    for chunk in (5, warc.CHUNK):
+        for cut in range(len(whole)):
+            if cut in ends:
+                assert len(list(warc.read_records(io.BytesIO(whole[:cut]), chunk))) < 3
+                continue
+            with pytest.raises((warc.Framing, zlib.error)):
+                list(warc.read_records(io.BytesIO(whole[:cut]), chunk))
+
+
+def test_a_record_is_framed_before_its_member_is_inflated():
+    bomb = gzip.compress(warc.record(1, "u", b"p", None, "d") + b"\0" * 50_000_000)
+    stream = io.BytesIO(bomb)
+    with pytest.raises(warc.Framing):
+        next(warc.read_records(stream))
+    assert stream.tell() < len(bomb) / 2
+    short = warc.record(1, "u", b"payload", None, "d").replace(b"Content-Length: ", b"Content-Length: 9", 2)
+    with pytest.raises(warc.Framing):
+        list(warc.read_records(io.BytesIO(gzip.compress(short))))
+
+
+def test_rows_that_share_an_id_are_different_records():
+    names = {warc.record(1, "u", p, None, "d").split(b"Record-ID: ")[1].split(b"\r\n")[0] for p in (b"a", b"b")}
+    assert len(names) == 2
+
+
 def test_warc_cases(spark):
     html = [None, "", "same", "same", "same", "x" * 200_000, "same"]
     ids = [4, 3, 9, 7, None, 8, 9]
