@@ -9,8 +9,10 @@ cosine of at least c with the query has its f-th coordinate in a known
 interval), and the products of what is left are verified.
 
 Queries are a stated set and go in blocks. A block is first scored against
-the bucket of the longest vectors, which gives every query a threshold; then
-only the (block, bucket) pairs that the thresholds leave are made.
+the bucket of the longest vectors, which gives every query a threshold. The
+buckets that could still matter to a block are then a prefix of their order,
+found from counts by class of length. Blocks meet buckets in tiles of several
+by several, so a block's vectors are sent once a tile and not once a bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from .workspace import written
 #: Vectors a bucket, queries a block.
 BUCKET = 4096
 BLOCK = 512
+#: Bytes of vectors in one tile, about.
+TILE = 1 << 26
+#: Scores are longs: no vector may be as long as this.
+LONGEST = 2.0**31.5
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE = 0.8
 #: Products below this are exact in double precision.
@@ -142,23 +148,75 @@ def _best(scores, ids, own, floor, k):
     return ids[order], scores[order]
 
 
-def _search(width: int, k: int):
+def _found(found, q_ids) -> pa.RecordBatch:
+    counts = [len(f[0]) for f in found]
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate([f[0] for f in found] or [none])), pa.array(np.concatenate([f[1] for f in found] or [none]))],
+        names=["query_id", "vec_id", "score"],
+    )
+
+
+def _array(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int64).reshape(-1, width)
+
+
+def _seed(width: int, k: int):
+    """Hits of blocks in one bucket, without thresholds."""
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, data = np.frombuffer(r["q_data"], np.int64).reshape(-1, width), np.frombuffer(r["data"], np.int64).reshape(-1, width)
-                floor = np.frombuffer(r["floors"], float) if r["floors"] else np.full(len(q), -np.inf)
-                found = search_block(q_ids, q, floor, ids, data, k)
-                counts = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate([f[0] for f in found] or [ids[:0]])), pa.array(np.concatenate([f[1] for f in found] or [ids[:0]]))],
-                    names=["query_id", "vec_id", "score"],
-                )
+                q_ids = np.frombuffer(r["q_ids"], np.int64)
+                yield _found(search_block(q_ids, _array(r["q_data"], width), np.full(len(q_ids), -np.inf), np.frombuffer(r["ids"], np.int64), _array(r["data"], width), k), q_ids)
+
+    return run
+
+
+def _tile(width: int, k: int):
+    """Hits of a tile: its blocks, with thresholds, in its buckets, the longest first. A threshold rises with each bucket."""
+
+    def run(blocks: pa.Table, buckets: pa.Table) -> pa.Table:
+        out = [pa.RecordBatch.from_pylist([], schema=_HITS)]
+        order = sorted(buckets.to_pylist(), key=lambda r: -r["top"])
+        for b in blocks.to_pylist():
+            q_ids, q, floor = np.frombuffer(b["q_ids"], np.int64), _array(b["q_data"], width), np.frombuffer(b["floors"], float).copy()
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+            for r in order:
+                got = search_block(q_ids, q, floor, np.frombuffer(r["ids"], np.int64), _array(r["data"], width), k)
+                for i, (ids, scores) in enumerate(got):
+                    if len(ids):
+                        ids, scores = np.r_[best[i][0], ids], np.r_[best[i][1], scores]
+                        first = np.lexsort((ids, -scores))[:k]
+                        best[i] = ids[first], scores[first]
+                        if len(first) == k:
+                            floor[i] = max(floor[i], best[i][1][-1])
+            out.append(_found(best, q_ids))
+        return pa.Table.from_batches(out, schema=_HITS)
 
     return run
 
 
+_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _placed(packed: DataFrame, name: str, side: int) -> DataFrame:
+    """``packed`` with ``name``, its row's place in the order of length divided by ``side``: counts by task are the bases."""
+    counts = packed.groupBy(F.shiftright("block", 32).cast("int").alias("part")).count().orderBy("part").collect()  # a row a task
+    bases, total = [], 0
+    for r in counts:
+        bases.append((r["part"], total))
+        total += r["count"]
+    bases = packed.sparkSession.createDataFrame(bases, "part int, base long")
+    at = F.col("base") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    return packed.withColumn("part", F.shiftright("block", 32).cast("int")).join(F.broadcast(bases), "part").withColumn(name, F.floor(at / side)).drop("part", "base")
+
+
+def _class(length: Column) -> Column:
+    """A class of vector lengths, eight to an octave: at most a few hundred."""
+    return F.floor(F.log2(F.greatest(length, F.lit(1e-9))) * 8).cast("int")
+
+
 def top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -168,6 +226,7 @@ def top_k(
     vector_col: str = "embedding",
     bucket: int = BUCKET,
     block: int = BLOCK,
+    tile_bytes: int = TILE,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for each query row, exactly.
 
@@ -176,33 +235,36 @@ def top_k(
     Vectors that are null, or hold a null, NaN or infinite component, and rows
     without an id take no part; shorter vectors are filled with zeros. Rows
     that repeat a query's id are one query (its least vector); repeated
-    candidates count each. With fewer than k candidates all are returned.
+    candidates count each. With fewer than k candidates all are returned. An
+    empty table gives an empty result. Scores are longs: a scaled vector of
+    length 2**31.5 or more raises, as its products may not fit.
     """
     spark = vectors.sparkSession
     rows = written(scaled(vectors, scale, id_col, vector_col), "scaled-vectors")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max("norm").alias("longest")).first()
     total, width = facts["n"], max(1, facts["width"] or 1)
+    if (facts["longest"] or 0) >= LONGEST:
+        raise OverflowError(f"a scaled vector has length {facts['longest']:g}; scores would not fit a long")
     chosen = rows.where(is_query)
     queries = chosen.groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("x")).select("vec_id", "x.v", "x.norm")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = written(_packed(rows, bucket, width, max(1, min(n, -(-total // bucket)))), "norm-buckets")
-    blocks = written(_packed(queries, block, width, max(1, min(n, -(-total // (50 * block))))), "query-blocks")
-    blocks = blocks.select(F.col("block").alias("q_block"), F.col("top").alias("q_top"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    side = max(1, min(16, tile_bytes // (8 * width * (bucket + block))))
+    buckets = _placed(written(_packed(rows, bucket, width, max(1, min(n, -(-total // bucket)))), "norm-buckets"), "bi", side)
+    blocks = _placed(written(_packed(queries, block, width, max(1, min(n, -(-total // (50 * block))))), "query-blocks"), "qj", side)
+    blocks = blocks.select("qj", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
 
     # first pass: every block against the bucket of the longest vectors that has more than k
-    shape = buckets.select("block", "top", "n")
-    first = shape.orderBy(F.desc(F.col("n") > k), F.desc("top"), "block").limit(1)
-    longest = buckets.join(first.select("block"), "block", "left_semi").withColumn("all", F.lit(1))
-    seeded = blocks.withColumn("all", F.lit(1)).join(longest, "all").withColumn("floors", F.lit(None).cast("binary"))
-    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    head = written(seeded.select("q_ids", "q_data", "ids", "data", "floors").mapInArrow(_search(width, k), HITS), "first-hits")
+    first = buckets.select("block", "top", "n").orderBy(F.desc(F.col("n") > k), F.desc("top"), "block").limit(1)
+    longest = written(buckets.join(first.select("block"), "block", "left_semi").select("block", "ids", "data"), "longest-bucket")  # one row
+    seeded = blocks.select("q_ids", "q_data").crossJoin(F.broadcast(longest.select("ids", "data")))
+    head = written(seeded.mapInArrow(_seed(width, k), HITS), "first-hits")
     floors = head.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
 
     # thresholds by block, in the order of its queries
     def members(batches):
         for b in batches:
             for r in b.to_pylist():
-                ids, data = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(-1, width)
+                ids, data = np.frombuffer(r["q_ids"], np.int64), _array(r["q_data"], width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), r["q_block"])), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(np.sqrt((data.astype(float) ** 2).sum(1)))],
                     names=["q_block", "at", "query_id", "q_norm"],
@@ -216,21 +278,28 @@ def top_k(
         F.min(ratio).alias("least"),
         F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")))).alias("floors"),
     )
-    limits = written(limits, "block-limits")
-    pairs = (
-        limits.select("q_block", "least", F.lit(1).alias("all"))
-        .join(shape.join(first.select("block"), "block", "left_anti").withColumn("all", F.lit(1)), "all")
-        .where(F.col("top") * (1 + 1e-9) >= F.col("least"))
-        .select("q_block", "block")
-    )
 
     def pack_floors(batches):
         for b in batches:
             packed = [np.array([f["floor"] for f in r], float).tobytes() for r in b.column("floors").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("q_block"), pa.array(packed, pa.binary())], names=["q_block", "floors"])
+            yield pa.RecordBatch.from_arrays([b.column("q_block"), b.column("least"), pa.array(packed, pa.binary())], names=["q_block", "least", "floors"])
+
+    limits = written(limits.mapInArrow(pack_floors, "q_block long, least double, floors binary"), "block-limits")
 
-    packed = limits.select("q_block", "floors").mapInArrow(pack_floors, "q_block long, floors binary")
-    work = pairs.join(blocks.join(packed, "q_block"), "q_block").join(buckets.select("block", "ids", "data"), "block")
-    rest = work.select("q_ids", "q_data", "ids", "data", "floors").mapInArrow(_search(width, k), HITS)
-    hits = head.unionByName(rest).withColumn("rank", top.cast("int")).where(F.col("rank") <= k)
+    # the tiles of a row of blocks: buckets from the longest to those of the class of the shortest that matters
+    classes = buckets.groupBy("bi").agg(F.max("top").alias("top")).groupBy(_class(F.col("top")).alias("class")).agg((F.max("bi") + 1).alias("reach"))
+    classes = classes.orderBy("class").collect()  # a few hundred rows, whatever the input
+    reach, most = F.lit(0).cast("long"), 0
+    for c in sorted(classes, key=lambda r: -r["class"]):
+        most = max(most, c["reach"])
+        reach = F.when(F.col("class") <= c["class"], F.lit(most)).otherwise(reach)
+    work = blocks.join(limits, "q_block")
+    rows_ = work.groupBy("qj").agg(F.min("least").alias("least")).select("qj", _class(F.col("least") * (1 - 1e-9)).alias("class"))
+    tiles = written(rows_.select("qj", reach.alias("reach")).where("reach > 0").select("qj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reach") - 1)).alias("bi")), "tiles")
+    rest = buckets.join(longest.select("block"), "block", "left_anti")
+    left = tiles.join(work.select("qj", "q_ids", "q_data", "floors"), "qj")
+    right = tiles.select(F.col("qj").alias("r_qj"), F.col("bi").alias("r_bi")).join(rest.select(F.col("bi").alias("r_bi"), "top", "ids", "data"), "r_bi")
+    more = left.groupBy("qj", "bi").cogroup(right.groupBy("r_qj", "r_bi")).applyInArrow(_tile(width, k), HITS)
+    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    hits = head.unionByName(more).withColumn("rank", top.cast("int")).where(F.col("rank") <= k)
     return hits.select("query_id", "rank", "vec_id", "score")

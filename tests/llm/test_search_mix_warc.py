@@ -45,8 +45,9 @@ def test_top_k_equals_brute_force_over_many_buckets(spark, spread):
         rows.append((i, [float(x) for x in v * np.exp(rng.normal() * spread)]))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    got = got_top_k(topk.top_k(df, F.col("vec_id") % 7 == 0, k=4, bucket=32, block=16))
-    assert got == brute_top_k(rows, 4, lambda i: i % 7 == 0)
+    want = brute_top_k(rows, 4, lambda i: i % 7 == 0)
+    for tile_bytes in (topk.TILE, 3 * 8 * 12 * (32 + 16), 1):
+        assert got_top_k(topk.top_k(df, F.col("vec_id") % 7 == 0, k=4, bucket=32, block=16, tile_bytes=tile_bytes)) == want
 
 
 def test_top_k_cases(spark):
@@ -56,6 +57,12 @@ def test_top_k_cases(spark):
     got = got_top_k(topk.top_k(df, F.col("vec_id") % 50 == 0))
     assert got == brute_top_k(rows, 5, lambda i: i % 50 == 0)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    for x in (1e30, 2.0**23.6):
+        far = spark.createDataFrame([(0, [x, x]), (1, [x, -x])], "vec_id long, embedding array<double>")
+        with pytest.raises(OverflowError):
+            topk.top_k(far, F.col("vec_id") % 50 == 0)
+    rows = [(0, [2.0**22, 3.5]), (1, [2.0**22, -1.0]), (2, [-(2.0**22), 1.0])]
+    assert got_top_k(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)) == brute_top_k(rows, 5, lambda i: i % 50 == 0)
     alone = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(alone, F.col("vec_id") % 50 == 0).count() == 0
 
