@@ -149,6 +149,17 @@ OTHER_NAMES = {
 }
 
 
+def viewer_body(catalog: Catalog, path: str) -> dict:
+    """The body that a viewer shows at a path: the graph, its summary, or its meta row."""
+    if path == "/graph.json":
+        return graph_json.to_document(catalog)
+    if path == "/summary.json":
+        return _summary(catalog, {})
+    if path == "/meta.json":
+        return (rows(catalog.meta, 1) or [{}])[0]
+    raise ApiError(NO_METHOD, f"unknown path: {path}")
+
+
 def dispatch(catalog: Catalog, method: str, params: dict | None = None) -> dict:
     """{"result": ...} or {"error": {code, message}}."""
     handler = METHODS.get(OTHER_NAMES.get(method, method))

@@ -101,9 +101,9 @@ def _(spark, sf):
     return select.select(base(spark, sf), "ax-node", {"pageUrl": "example.org"}).select("id", "page_id")
 
 
-@query("q_has_capability", f"WITH ax AS ({AX_SQL}), c AS ({CAPS_SQL}) SELECT id, page_id FROM ax WHERE page_id IN (SELECT page_id FROM c WHERE ends_with(lower(name), '77'))")
+@query("q_has_capability", f"WITH ax AS ({AX_SQL}), c AS ({CAPS_SQL}) SELECT id, page_id FROM ax WHERE page_id IN (SELECT page_id FROM c WHERE ends_with(lower(name), 'ring'))")
 def _(spark, sf):
-    return select.select(base(spark, sf), "ax-node", {"hasCapability": "*77"}).select("id", "page_id")
+    return select.select(base(spark, sf), "ax-node", {"hasCapability": "*ring"}).select("id", "page_id")
 
 
 def _visual(where: dict):
@@ -273,6 +273,16 @@ def _(spark, sf):
     return occlusion.occluders(n).select("id", "other")
 
 
+@query("s_paint_rank", f"{VIS} SELECT id, CAST(CASE WHEN seq % 3 = 0 THEN seq % 7 ELSE CAST(s_zindex AS INT) END AS DOUBLE) AS z, CAST(CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END AS INT) AS context, CAST(CASE WHEN s_position IN ('fixed', 'sticky') THEN 1 ELSE 0 END AS INT) AS floating, s_display <> 'none' AND seq % 8 <> 1 AND (seq % 2 = 0 OR s_boxshadow <> 'none' OR seq % 5 = 0) AS occludes FROM v")
+def _(spark, sf):
+    """Paint order with layers and stacking contexts, and what covers: clear nodes only with a shadow or children, faint ones never."""
+    v, k, s = derive.visual(spark, sf), F.col("seq"), F.col("style")
+    more = F.create_map(F.lit("backgroundColor"), F.when(k % 2 == 0, s["backgroundColor"]).otherwise("transparent"), F.lit("opacity"), F.when(k % 8 == 1, "0.05").otherwise(s["opacity"]))
+    style = F.map_concat(F.map_filter(s, lambda n, _: ~n.isin("backgroundColor", "opacity")), more)
+    n = v.withColumn("style", style).withColumn("rank", occlusion.paint_rank(F.col("style"), k % 4 == 0, F.when(k % 3 == 0, (k % 7).cast("int"))))
+    return n.select("id", "rank.z", "rank.context", "rank.floating", occlusion.can_occlude(F.col("style"), k % 5 == 0).alias("occludes"))
+
+
 @query("s_occluded_nodes", f"{VIS} SELECT id FROM v WHERE seq % 10 < 5 AND (seq % 3 = 0 OR (seq % 10) / 10.0 < 0.3)")
 def _(spark, sf):
     v = derive.visual(spark, sf)
@@ -280,11 +290,11 @@ def _(spark, sf):
     return occlusion.occluded_nodes(v.withColumn("occlusion", F.when(F.col("seq") % 10 < 5, o)), min_ratio=0.3).select("id")
 
 
-@query("s_neighbors", f"{VIS} SELECT b.id, 'visual:above' AS kind, CAST(greatest(0, b.y - a.y - a.h) AS DOUBLE) AS distance FROM v a JOIN v b ON {PAIRS} WHERE a.id = 'v17' AND NOT {INSIDE} AND {OX} >= 4 AND b.y - a.y - a.h BETWEEN -2 AND 64")
+@query("s_neighbors", f"{VIS} SELECT b.id, 'visual:above' AS kind, CAST(greatest(0, b.y - a.y - a.h) AS DOUBLE) AS distance FROM v a JOIN v b ON {PAIRS} WHERE a.id = 'v55' AND NOT {INSIDE} AND {OX} >= 4 AND b.y - a.y - a.h BETWEEN -2 AND 64")
 def _(spark, sf):
     v = derive.visual(spark, sf)
     edges = spatial.relations(v).withColumn("seq", F.lit(0).cast("long"))
-    return spatial.neighbors(edges, v, "v17", "above").select("id", "kind", "distance")
+    return spatial.neighbors(edges, v, "v55", "above").select("id", "kind", "distance")
 
 
 # layout
@@ -662,11 +672,6 @@ def _(spark, sf):
     return html.nav_elements(html.nodes(page_table(spark, sf))).select("id", "kind", F.size("member_ax_ids").alias("members"))
 
 
-@query("n_declared")
-def _(spark, sf):
-    return state.declared_edges(html.declared_records(html.nodes(page_table(spark, sf)))).select("id", "kind")
-
-
 CANON = "CASE WHEN contains({0}, '?') THEN concat(regexp_replace(regexp_replace(split_part(split_part({0}, '#', 1), '?', 1), '(://[^/]+)$', '\\1/'), '([^/])/+$', '\\1'), '?', array_to_string(list_sort(string_split(split_part(split_part({0}, '#', 1), '?', 2), '&')), '&')) ELSE regexp_replace(regexp_replace(split_part({0}, '#', 1), '(://[^/]+)$', '\\1/'), '([^:/])/+$', '\\1') END"
 
 
@@ -765,7 +770,15 @@ def _(spark, sf):
     return audit.join(govern.check_posture(e, "autopilot", scope).select("event_id", F.col("allowed").alias("scoped")), "event_id")
 
 
-@query("g_audit_chain")
+CHAINED = "sha256('{\"body\":\"' || {body} || '\",\"prev_hash\":\"' || {prev} || '\",\"sequence\":' || {n} || ',\"stream_id\":\"' || {stream} || '\"}')"
+
+
+@query(
+    "g_audit_chain",
+    "WITH RECURSIVE o AS (SELECT CAST(user_id % 16 AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS sequence, event_type AS body FROM events), "
+    "r AS (SELECT stream_id, sequence, body, '' AS prev_hash, " + CHAINED.replace("{body}", "body").replace("{prev}", "''").replace("{n}", "1").replace("{stream}", "stream_id") + " AS hash FROM o WHERE sequence = 1 "
+    "UNION ALL SELECT o.stream_id, o.sequence, o.body, r.hash, " + CHAINED.replace("{body}", "o.body").replace("{prev}", "r.hash").replace("{n}", "o.sequence").replace("{stream}", "o.stream_id") + " FROM r JOIN o ON o.stream_id = r.stream_id AND o.sequence = r.sequence + 1) SELECT * FROM r",
+)
 def _(spark, sf):
     e = derive.table(spark, sf, "events").select((F.col("user_id") % 16).cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("body"))
     return govern.audit_chain(e)
@@ -818,9 +831,9 @@ def _(spark, sf):
     return report.call_to_action(c.with_tables(visual=v)).select("ax_id", "name")
 
 
-@query("e_caps", f"WITH c AS ({CAPS_SQL}) SELECT id, name FROM c WHERE regexp_matches(name, '(11|22)$')")
+@query("e_caps", f"WITH c AS ({CAPS_SQL}) SELECT id, name FROM c WHERE regexp_matches(name, '(ring|bolt)$')")
 def _(spark, sf):
-    return report.capabilities_named(base(spark, sf), {"source": "(11|22)$"}).select("id", "name")
+    return report.capabilities_named(base(spark, sf), {"source": "(ring|bolt)$"}).select("id", "name")
 
 
 @query("e_sticky", f"{VIS} SELECT id AS vis_id, ax_id, page_id FROM v WHERE s_position = 'sticky'")
@@ -833,3 +846,7 @@ def _(spark, sf):
 @query("r_battery", f"WITH ax AS ({AX_SQL}) SELECT 'pages' AS name, least(50, (SELECT count(*) FROM pages)) AS hits UNION ALL SELECT 'links', least(50, (SELECT count(*) FROM ax WHERE role = 'link')) UNION ALL SELECT 'buttons', least(50, (SELECT count(*) FROM ax WHERE role = 'button')) UNION ALL SELECT 'states', 0")
 def _(spark, sf):
     return report.battery(base(spark, sf))
+
+
+# registers the rest
+from . import catalogue_capture, catalogue_graph  # noqa: E402, F401

@@ -182,16 +182,22 @@ def check_posture(requests: DataFrame, posture: str, scope: dict | None = None,
     )
     out = requests.withColumns({"allowed": reason.isNull(), "requires_approval": no, "reason": F.coalesce(reason, F.lit(posture))})
     if scope.get("max_actions"):
-        nth = F.count_if("allowed").over(Window.partitionBy("substrate").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) if "seq" in requests.columns else F.lit(1)
-        over = nth > scope["max_actions"]
+        if "seq" not in requests.columns:
+            raise ValueError("a limit of actions needs the order of requests: seq")
+        # the n-th allowed request ends the authorization; only the first n are ever ranked
+        last = out.where("allowed").select("seq").orderBy("seq").limit(scope["max_actions"]).agg(F.count("seq").alias("n"), F.max("seq").alias("last")).first()
+        over = F.lit(last["n"] >= scope["max_actions"]) & (F.col("seq") > F.lit(last["last"]))
         out = out.withColumns({"reason": F.when(F.col("allowed") & over, "action limit").otherwise(F.col("reason")), "allowed": F.col("allowed") & ~over})
     return out
 
 
-def rate_limited(attempts: DataFrame, limit: int = RATE, window_ms: int = RATE_WINDOW_MS, key: str = "principal") -> DataFrame:
-    """``attempts`` (key, at_ms) with the attempts of the last window, itself included, and whether that is too many."""
+def rate_limited(attempts: DataFrame, limit: int = RATE, window_ms: int = RATE_WINDOW_MS, key: str = "principal", counted: str | None = None) -> DataFrame:
+    """``attempts`` (key, at_ms) with the attempts of the last window, itself included, and whether that is too many.
+
+    With ``counted`` only attempts count where that column is not null.
+    """
     w = Window.partitionBy(key).orderBy("at_ms").rangeBetween(-window_ms + 1, 0)
-    n = F.count(F.lit(1)).over(w)
+    n = F.count(F.lit(1) if counted is None else F.col(counted)).over(w)
     return attempts.withColumns({"in_window": n, "limited": n > limit})
 
 
@@ -207,13 +213,36 @@ def cookies_granted(requests: DataFrame, grants: DataFrame, now_ms: int) -> Data
     return joined.withColumn("granted", F.coalesce(F.exists("_patterns", fits), F.lit(False))).drop("_patterns")
 
 
-def gateway(requests: DataFrame, posture: str, scope: dict | None = None, limit: int = RATE) -> DataFrame:
-    """The pipeline over attempts (tool, principal, at_ms, substrate, target, seq): classify, rate, posture."""
-    named = requests.withColumn("operation", operation_of("tool"))
-    named = rate_limited(named.withColumn("impact", impact_of("operation")), limit)
+def gateway(requests: DataFrame, posture: str, scope: dict | None = None, limit: int = RATE, window_ms: int = RATE_WINDOW_MS, grants: DataFrame | None = None, now_ms: int = 0) -> DataFrame:
+    """The steps of enforcement over attempts, in order: operation, rate, cookie grant, posture, approval.
+
+    ``requests``: tool, principal, at_ms, substrate, target, seq; also
+    cookie_origin and cookie where an attempt wants a sensitive cookie, and
+    confirm where it was confirmed. Adds operation, impact, allowed, reason and
+    ``denial``, the kind of the first step that denies (null: none).
+    """
+    named = requests.withColumn("operation", operation_of("tool")).withColumn("impact", impact_of("operation"))
+    named = rate_limited(named, limit, window_ms, counted="operation")
+    if "cookie_origin" in requests.columns:
+        asked = named.withColumnRenamed("cookie_origin", "origin")
+        none = "origin string, cookie_pattern string, expires_at long, revoked boolean"
+        asked = cookies_granted(asked, requests.sparkSession.createDataFrame([], none) if grants is None else grants, now_ms)
+        named = asked.withColumn("_cookie", F.col("origin").isNotNull() & ~F.col("granted")).withColumnRenamed("origin", "cookie_origin").drop("granted")
+    else:
+        named = named.withColumn("_cookie", F.lit(False))
     checked = check_posture(named, posture, scope)
-    denied = F.when(F.col("operation").isNull(), "unknown operation").when(F.col("limited"), "rate limit")
-    return checked.withColumns({"allowed": F.col("allowed") & denied.isNull(), "reason": F.coalesce(denied, F.col("reason"))})
+    confirmed = F.coalesce(F.col("confirm"), F.lit(False)) if "confirm" in requests.columns else F.lit(False)
+    denial = (
+        F.when(F.col("operation").isNull(), "unknown_operation").when(F.col("limited"), "rate_limited").when(F.col("_cookie"), "cookie_grant_denied")
+        .when(~F.coalesce("allowed", F.lit(False)), "posture_denied").when(F.col("requires_approval") & ~confirmed, "escalation_required")
+    )
+    return checked.withColumn("denial", denial).withColumns({"reason": F.coalesce(F.when(F.col("denial").isin("posture_denied", "escalation_required"), F.col("reason")), F.col("denial"), F.col("reason")), "allowed": F.col("denial").isNull()}).drop("_cookie")
+
+
+def audit_events(attempts: DataFrame, stream: str = "principal") -> DataFrame:
+    """An audit event for each attempt of :func:`gateway`: stream_id, seq, operation, allowed, denial and ``body``, which :func:`audit_chain` chains."""
+    body = F.to_json(F.struct("operation", "impact", "target", "allowed", "denial", "reason"))
+    return attempts.select(F.col(stream).alias("stream_id"), "seq", "operation", "allowed", "denial", body.alias("body"))
 
 
 def chain_hash(event: dict) -> str:
@@ -248,6 +277,21 @@ def manifest_hash(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def refresh_manifest(manifest: dict, **changes) -> dict:
+    """The manifest with changes, one revision on."""
+    return manifest | changes | {"revision": manifest["revision"] + 1}
+
+
+def authorization_state(authorizations: DataFrame, now_ms: int) -> DataFrame:
+    """``authorizations`` (approvers, signatures, expires_at, revoked) with ``valid`` and ``reason``.
+
+    As many signatures as approvers and none empty; keys are not checked here.
+    """
+    signed = (F.size("approvers") == F.size("signatures")) & F.forall("signatures", lambda s: F.coalesce(F.length(s) > 0, F.lit(False)))
+    reason = F.when(F.coalesce("revoked", F.lit(False)), "revoked").when(F.col("expires_at") < now_ms, "expired").when(~F.coalesce(signed, F.lit(False)), "signature").otherwise("valid")
+    return authorizations.withColumn("reason", reason).withColumn("valid", F.col("reason") == "valid")
+
+
 def scope_hash(scope: dict) -> str:
     return hashlib.sha256(json.dumps(scope, separators=(",", ":")).encode()).hexdigest()[:16]
 

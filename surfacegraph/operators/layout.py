@@ -387,6 +387,43 @@ def spread_least(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def visual_nodes(raw: DataFrame) -> DataFrame:
+    """Visual nodes of captured elements: boxes, containers, stacking, scrolling and tethers in one row each.
+
+    ``raw``: page_id, id, ax_id, parent_ax_id, tag, element_id, class_name,
+    rect, style, child_count, scroll_w, scroll_h, client_w, client_h, seq.
+    Tethers name visual nodes; an element without one keeps its own id there.
+    """
+    s, r = F.col("style"), F.col("rect")
+    built = raw.select(
+        "id", "ax_id", "page_id", "rect", "style", "seq", box_model(r, s).alias("box"), stacking_context(s).alias("stack"),
+        scroll_context(s, "scroll_w", "scroll_h", "client_w", "client_h").alias("scroll"), render_bounds(r, r, s).alias("bounds"), "tag", "element_id", "class_name", "child_count",
+    )
+    kind = container_type(r, s, "tag", "element_id", "class_name", "child_count", F.col("scroll.is_scroll_container"))
+    built = built.withColumn("container_type", kind)
+    names = raw.select(F.col("ax_id").alias("ref"), F.col("id").alias("named"))
+    t = tethers(raw)
+    empty = F.array().cast("array<string>")
+
+    def renamed(column: str) -> DataFrame:
+        refs = t.select("ax_id", F.posexplode(column).alias("pos", "ref")).join(names, "ref", "left")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("named", "ref").alias("name")))), lambda x: x["name"])
+        return refs.groupBy("ax_id").agg(listed.alias(f"_{column}"))
+
+    parts = ("children", "siblings_before", "siblings_after")
+    up = t.select("ax_id", F.col("parent").alias("ref"), "anchors").join(names, "ref", "left").select("ax_id", F.coalesce("named", "ref").alias("_parent"), "anchors")
+    out = built.join(up, "ax_id", "left")
+    for p in parts:
+        # layout siblings are ids already; children and siblings are element ids
+        out = out.join(renamed(p), "ax_id", "left")
+    whole = F.struct(F.col("_parent").alias("parent"), *[F.coalesce(f"_{p}", empty).alias(p) for p in parts], "anchors")
+    return out.select(
+        "id", "ax_id", "page_id", "rect", "style", whole.alias("tethers"), (F.col("container_type") != "none").alias("is_visual_container"), "container_type", F.col("box.box_sizing").alias("box_sizing"),
+        F.col("box.padding_box").alias("padding_box"), F.col("scroll.is_scroll_container").alias("is_scroll_container"), F.col("stack.is_stacking_context").alias("is_stacking_context"), F.col("stack.z_index").alias("z_index"),
+        F.col("bounds.has_transform").alias("has_transform"), F.lit("visual:walker").alias("provenance"), "seq",
+    )
+
+
 def interpret(nodes: DataFrame) -> DataFrame:
     """``nodes`` with grid, flex, prominence and responsive columns."""
     s = F.col("style")

@@ -122,6 +122,18 @@ def eval_summary(results: DataFrame) -> DataFrame:
     return results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "skipped")], F.count_if(F.col("duration_ms") > F.col("budget_ms")).alias("over_budget"))
 
 
+def discovery_report(providers: list[dict], title: str) -> str:
+    """The text of a discovery: a title, then a block for each provider (kind, available, label, detail or reason, targets, capabilities)."""
+    blocks = [title]
+    for p in providers:
+        note = p.get("detail") if p.get("detail") is not None else p.get("reason")
+        lines = ["", f"{p['kind']}  {'AVAILABLE' if p['available'] else 'OFF'}  {p['label']}"]
+        lines += [f"  {note}"] if note else []
+        lines += [f"  target {t['id']}  {t['label']}  {t['route']}" for t in p.get("targets") or []]
+        blocks += [*lines, "  capabilities: " + ", ".join(p["capabilities"])]
+    return "\n".join(blocks)
+
+
 def first_mismatch(expected, actual, path: str = "$") -> str | None:
     """The path of the first place where ``actual`` lacks what ``expected`` has."""
     if isinstance(expected, dict):

@@ -228,6 +228,29 @@ def _same_set(a: Column, b: Column) -> Column:
 COMPARED = ("visibility", "open", "expanded", "selected", "checked", "pressed", "busy", "z_index", "focused")
 
 
+#: What the older comparison looks at: neither layers nor focus.
+LEGACY_COMPARED = tuple(c for c in COMPARED if c not in ("z_index", "focused"))
+
+
+def rich_snapshots(captured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, elements), as :func:`snapshot_changes` compares them, of captured records ``(key, snapshot string)``.
+
+    A record is JSON: online, viewport, dialogs, popovers, expanded, markers,
+    focusedAxId and elements, each with its axId. Missing fields are null;
+    missing lists are empty. A record that is no JSON gives a snapshot of nulls.
+    """
+    flags = ("open", "expanded", "selected", "checked", "pressed", "busy", "focused")
+    element = "struct<axId:string,visibility:string,zIndex:double," + ",".join(f"{f}:boolean" for f in flags) + ">"
+    wire = f"online boolean, viewport string, dialogs array<string>, popovers array<string>, expanded array<string>, markers map<string,string>, focusedAxId string, elements array<{element}>"
+    rows, none = captured.select("key", F.from_json("snapshot", wire).alias("s")), F.array().cast("array<string>")
+    snapshots = rows.select(
+        "key", "s.online", F.coalesce("s.dialogs", none).alias("open_dialog_ids"), F.coalesce("s.popovers", none).alias("open_popover_ids"), F.coalesce("s.expanded", none).alias("expanded_region_ax_ids"),
+        "s.viewport", F.col("s.markers").alias("conditional_markers"), F.col("s.focusedAxId").alias("focused_ax_id"),
+    )
+    e = rows.select("key", F.explode("s.elements").alias("e"))
+    return snapshots, e.select("key", F.col("e.axId").alias("ax_id"), "e.visibility", F.col("e.zIndex").alias("z_index"), *[F.col(f"e.{f}").alias(f) for f in flags])
+
+
 def snapshot_changes(a: DataFrame, b: DataFrame, a_elements: DataFrame, b_elements: DataFrame, compared: tuple[str, ...] = COMPARED) -> DataFrame:
     """(key, differs): whether two snapshots of a key are different states.
 

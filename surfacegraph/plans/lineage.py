@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, without a trailing slash.
 
-    Every executor can read the result, so losing one loses nothing. Only a
-    local session without the setting gets a temporary folder of its own.
+    Only a local session without the setting gets a temporary folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="surfacegraph-"))
+        root = tempfile.mkdtemp(prefix="surfacegraph-")
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: every executor can read it, so losing one loses nothing."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

@@ -13,8 +13,9 @@ import re
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from ..plans import schema
 from ..plans.catalog import Catalog, last_wins
@@ -46,7 +47,9 @@ def camel(name: str) -> str:
 
 
 #: Maps whose keys are data, not names.
-OPEN_MAPS = ("style", "conditional_markers", "aria_states", "viewport_observations")
+OPEN_MAPS = ("style", "conditional_markers", "aria_states")
+#: Style names that keep their hyphens.
+HYPHENATED = ("grid-template-columns", "grid-template-rows", "column-gap", "row-gap", "flex-direction", "flex-wrap", "anchor-name", "position-anchor")
 
 
 def renamed(value: Any, rule, inside: bool = False) -> Any:
@@ -56,10 +59,16 @@ def renamed(value: Any, rule, inside: bool = False) -> Any:
     return [renamed(v, rule) for v in value] if isinstance(value, list) else value
 
 
-def style_keys(style: dict[str, str]) -> dict[str, str]:
-    """Style names in camel case; the grid and flex names keep their hyphens."""
-    keep = ("grid-template-columns", "grid-template-rows", "column-gap", "row-gap", "flex-direction", "flex-wrap", "anchor-name", "position-anchor")
-    return {(k if k in keep or k.startswith("--") else camel(k.replace("-", "_"))): str(v) for k, v in (style or {}).items()}
+def style_keys(style: str | Column) -> Column:
+    """A style map with names in camel case; some names and custom properties keep their hyphens."""
+
+    def name(k: Column) -> Column:
+        parts = F.split(k, "[-_]")
+        big = lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(F.concat(F.lit("_"), p))
+        joined = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), big), ""))
+        return F.when(k.isin(*HYPHENATED) | F.startswith(k, F.lit("--")), k).otherwise(joined)
+
+    return F.transform_keys(F.col(style) if isinstance(style, str) else style, lambda k, _: name(k))
 
 
 def iterate_tokens(tree: dict, typed: bool = True, path: str = ""):
@@ -94,82 +103,168 @@ def token_tree(rows: list[dict]) -> dict:
     return root
 
 
-def _states(doc_states: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
-    """State rows, their elements and their evidence."""
-    states, elements, evidence = [], [], []
-    for s in doc_states:
-        p, auth, net = s.get("payload", {}), s.get("auth_context", {}), s.get("network_context", {})
-        states.append(
-            {k: p.get(k) for k in ("route", "viewport", "focused_ax_id", "open_dialog_ids", "open_popover_ids", "expanded_region_ax_ids", "conditional_markers")}
-            | {"id": s["id"], "page_id": s.get("page_id"), "auth_kind": auth.get("kind"), "auth_role": auth.get("role"), "principal": auth.get("principal"), "session": auth.get("session"),
-               "network_status": net.get("status"), "network_evidence": net.get("evidence"), "first_observed_at": s.get("first_observed_at"), "seq": s["seq"]}
-        )
-        elements += [e | {"state_id": s["id"], "ax_id": a} for a, e in (p.get("elements") or {}).items()]
-        evidence += [{"state_id": s["id"], "kind": e.get("kind"), "source_ax_id": e.get("source_ax_id"), "transition_id": e.get("transition_id"), "at": e.get("at"), "seq": i} for i, e in enumerate(s.get("evidence") or [])]
-    return states, elements, evidence
+def _in_camel(t: DataType) -> DataType:
+    """A type with the field names that documents use."""
+    if isinstance(t, StructType):
+        return StructType([StructField(camel(f.name), _in_camel(f.dataType)) for f in t.fields])
+    return ArrayType(_in_camel(t.elementType)) if isinstance(t, ArrayType) else t
 
 
-def _frame(spark: SparkSession, rows: list[dict], name: str) -> DataFrame:
-    """Rows of a table by way of JSON, so that missing fields are null and extra ones ignored."""
-    if not rows:
-        return spark.createDataFrame([], schema.TABLES[name])
-    text = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string")
-    return text.select(F.from_json("j", schema.TABLES[name]).alias("r")).select("r.*")
+def _rows_of(name: str) -> StructType:
+    return StructType.fromDDL(schema.TABLES[name])
 
 
-def from_document(spark: SparkSession, doc: dict) -> Catalog:
-    """The catalog of a graph document. Later rows of an id replace earlier ones; missing arrays are empty."""
-    if doc.get("version") != VERSION:
-        raise SubstrateError("SUBSTRATE_INVALID", f"version {doc.get('version')!r} is not {VERSION}")
-    tables: dict[str, DataFrame] = {}
-    for key, name in ARRAYS.items():
-        rows = [renamed(r, snake) | {"seq": i} for i, r in enumerate(doc.get(key) or [])]
-        if name == "visual":
-            flat = []
-            for r in rows:
-                scroll, stack, bounds, box = (r.get(k) or {} for k in ("scroll_clipping_context", "stacking_context", "render_bounds", "box_model"))
-                z = stack.get("z_index")
-                flat.append(
-                    r | {"style": style_keys(r.get("style")), "is_scroll_container": scroll.get("is_scroll_container"), "is_stacking_context": stack.get("is_stacking_context"), "z_index": None if z == "auto" else z,
-                         "has_transform": bounds.get("has_transform"), "box_sizing": box.get("box_sizing"), "padding_box": box.get("padding_box"),
-                         "bindings": [b.get("token_path") for b in r.get("design_token_bindings") or []], "drift_severities": [d.get("severity") for d in r.get("token_drifts") or []]}
-                )
-            by_ax = {r["ax_id"]: r["id"] for r in reversed(flat)}
-            for r in flat:  # tethers name visual nodes, whether they arrive as such or as elements
-                t = r.get("tethers") or {}
-                fix = lambda i: by_ax.get(i, i)
-                r["tethers"] = t | {"parent": fix(t.get("parent"))} | {k: [fix(i) for i in t.get(k) or []] for k in ("children", "siblings_before", "siblings_after")}
-            tables["observations"] = _frame(spark, [o | {"ax_id": r["ax_id"], "vp_key": k, "style": style_keys(o.get("style")), "seq": r["seq"]} for r in flat for k, o in (r.get("viewport_observations") or {}).items()], "observations")
-            rows = flat
-        if name == "ax":
-            for r in rows:
-                s = r.get("states") or {}
-                if isinstance(s.get("current"), bool):
-                    r["states"] = s | {"current": str(s["current"]).lower()}
-        if name == "capabilities":
-            rows = [r | {k: json.dumps(r.get(k)) for k in ("input_schema", "output_schema")} for r in rows]
-        if name == "states":
-            rows, elements, evidence = _states(rows)
-            tables["state_elements"], tables["state_evidence"] = _frame(spark, elements, "state_elements"), _frame(spark, evidence, "state_evidence")
-        if name == "auth":
-            rows = [r | (r.get("context") or {}) for r in rows]
-        tables[name] = last_wins(_frame(spark, rows, name))
-    tables["tokens"] = spark.createDataFrame(token_rows(doc.get("designTokens") or {}), schema.TABLES["tokens"])
-    diag = doc.get("diagnostics") or {}
-    tables["diagnostics"] = _frame(spark, [{"kind": kind, "page_id": d.get("pageId"), "url": d.get("url"), "source": d.get("extractor"), "message": d.get("error") or d.get("message"), "at": d.get("at") or d.get("timestamp"), "seq": i} for kind in ("extractorFailures", "pageErrors", "extractionWarnings") for i, d in enumerate(diag.get(kind) or [])], "diagnostics")
-    crawl = doc.get("crawl") or {}
-    tables["meta"] = _frame(spark, [{"version": VERSION, "root_url": crawl.get("rootUrl"), "started_at": crawl.get("startedAt"), "complete": True}], "meta")
+#: What a document says in other places than our columns, by table: (field, type).
+_NESTED = {
+    "visual": "scrollClippingContext struct<isScrollContainer:boolean>, stackingContext struct<isStackingContext:boolean,zIndex:string>, renderBounds struct<hasTransform:boolean>, "
+    f"boxModel struct<boxSizing:string,paddingBox:{schema.RECT}>, designTokenBindings array<struct<tokenPath:string>>, tokenDrifts array<struct<severity:string>>, "
+    f"viewportObservations map<string,struct<viewport:{schema.VIEWPORT},rect:{schema.RECT},computedStyle:map<string,string>,visibility:string,crawledAt:string>>",
+    "states": "payload struct<route:string,viewport:struct<w:double,h:double,dpr:double,scrollX:double,scrollY:double>,focusedAxId:string,openDialogIds:array<string>,openPopoverIds:array<string>,"
+    f"expandedRegionAxIds:array<string>,conditionalMarkers:map<string,string>,elements:map<string,struct<rect:{schema.RECT},visibility:string,zIndex:double,open:boolean,expanded:boolean,"
+    "selected:boolean,checked:boolean,pressed:boolean,busy:boolean,focused:boolean,ariaStates:map<string,string>,visualNodeId:string>>>, "
+    "authContext struct<kind:string,role:string,principal:string,session:string>, networkContext struct<status:string,evidence:string>, "
+    "evidence array<struct<kind:string,sourceAxId:string,transitionId:string,at:string>>",
+    "auth": "context struct<kind:string,role:string,principal:string,session:string>",
+}
+_PROBLEM = "array<struct<pageId:string,url:string,extractor:string,error:string,message:string,at:string,timestamp:string>>"
+_PROBLEMS = ("extractorFailures", "pageErrors", "extractionWarnings")
+
+
+def _wire(name: str) -> StructType:
+    """The type of a table's rows in a document."""
+    own = [f for f in _in_camel(_rows_of(name)).fields if f.name != "seq"]
+    more = StructType.fromDDL(_NESTED[name]).fields if name in _NESTED else []
+    taken = {f.name for f in more}
+    return StructType([f for f in own if f.name not in taken] + list(more))
+
+
+def _exploded(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """(doc, seq, r): rows of one of the documents' arrays, in the documents' names."""
+    whole = F.from_json("text", StructType([StructField(key, ArrayType(_wire(name)))]))[key]
+    rows = docs.select("doc", F.posexplode(whole).alias("pos", "r"))
+    return rows.select("doc", (F.col("doc") * (1 << 32) + F.col("pos")).alias("seq"), "r")
+
+
+def _table(rows: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """Rows of ``_exploded`` as a table; ``columns`` replaces those that documents say elsewhere."""
+    wire = {f.name for f in rows.schema["r"].dataType.fields}
+    out = []
+    for f in _rows_of(name).fields:
+        if f.name == "seq":
+            out.append(F.col("seq"))
+        elif f.name in columns:
+            out.append(columns[f.name].cast(f.dataType).alias(f.name))
+        elif camel(f.name) in wire:
+            out.append(F.col("r")[camel(f.name)].cast(f.dataType).alias(f.name))
+        else:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return rows.select("doc", *out)
+
+
+def _tethered(visual: DataFrame) -> DataFrame:
+    """Tethers that name visual nodes, whether they arrive as such or as elements."""
+    known = visual.groupBy("doc", F.col("ax_id").alias("ref")).agg(F.min_by("id", "seq").alias("named"))
+    t, parts = F.col("tethers"), ("children", "siblings_before", "siblings_after")
+    none = F.array().cast("array<struct<part:string,pos:int,ref:string>>")
+
+    def refs_of(p: str) -> Column:
+        return F.transform(t[p], lambda ref, i: F.struct(F.lit(p).alias("part"), i.alias("pos"), ref.alias("ref")))
+
+    listed = [refs_of(p) for p in parts]
+    listed += [F.when(t["parent"].isNotNull(), F.array(F.struct(F.lit("parent").alias("part"), F.lit(0).alias("pos"), t["parent"].alias("ref"))))]
+    refs = visual.select("doc", "seq", F.explode(F.flatten(F.array(*[F.coalesce(c, none) for c in listed]))).alias("x")).select("doc", "seq", "x.*")
+    found = refs.join(known, ["doc", "ref"], "left").withColumn("ref", F.coalesce("named", "ref"))
+    of = lambda p: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct("pos", "ref")))), lambda x: x["ref"])
+    fixed = found.groupBy("doc", "seq").agg(F.max(F.when(F.col("part") == "parent", F.col("ref"))).alias("_parent"), *[of(p).alias(f"_{p}") for p in parts])
+    empty = F.array().cast("array<string>")
+    whole = F.struct(F.col("_parent").alias("parent"), *[F.coalesce(f"_{p}", empty).alias(p) for p in parts], t["anchors"].alias("anchors"))
+    return visual.join(fixed, ["doc", "seq"], "left").withColumn("tethers", whole).drop("_parent", *[f"_{p}" for p in parts])
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """Tokens of the documents' trees, which have no fixed depth."""
+    import pyarrow as pa
+
+    wire = pa.schema([("path", pa.string()), ("value", pa.string()), ("value_kind", pa.string()), ("type", pa.string()), ("description", pa.string()), ("seq", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for doc, tree in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = token_rows(json.loads(tree)) if tree else []
+                yield pa.RecordBatch.from_pylist([dict(zip(wire.names, (*r[:-1], doc * (1 << 32) + r[-1]), strict=True)) for r in rows], schema=wire)
+
+    return docs.select("doc", F.get_json_object("text", "$.designTokens").alias("tree")).mapInArrow(run, schema.TABLES["tokens"])
+
+
+def from_documents(docs: DataFrame) -> Catalog:
+    """The catalog of graph documents ``docs(doc long, text string)``, a document a row, in the order of ``doc``.
+
+    Documents are parsed where they lie, an array at a time, with explicit
+    types: missing fields are null, missing arrays empty, extra ones ignored.
+    Later rows of an id replace earlier ones. A document of another version,
+    or one that is no JSON, is refused.
+    """
+    spark = docs.sparkSession
+    bad = docs.select(F.from_json("text", "version string")["version"].alias("v")).where(~F.col("v").eqNullSafe(F.lit(VERSION))).first()
+    if bad is not None:
+        raise SubstrateError("SUBSTRATE_INVALID", f"version {bad['v']!r} is not {VERSION}")
+    raw = {name: _exploded(docs, key, name) for key, name in ARRAYS.items()}
+    tables = {name: _table(raw[name], name) for name in ("pages", "ax", "nav", "edges", "capabilities", "transitions")}
+
+    r = F.col("r")
+    box, stack, seen = r["boxModel"], r["stackingContext"], r["viewportObservations"]
+    visual = _table(
+        raw["visual"], "visual", style=style_keys(r["computedStyle"]), is_scroll_container=r["scrollClippingContext"]["isScrollContainer"], is_stacking_context=stack["isStackingContext"],
+        z_index=stack["zIndex"].try_cast("int"), has_transform=r["renderBounds"]["hasTransform"], box_sizing=box["boxSizing"], padding_box=box["paddingBox"],
+        bindings=F.transform(r["designTokenBindings"], lambda b: b["tokenPath"]), drift_severities=F.transform(r["tokenDrifts"], lambda d: d["severity"]),
+    )
+    tables["visual"] = _tethered(visual)
+    o = F.col("o")
+    views = raw["visual"].select("seq", r["axId"].alias("ax_id"), F.explode(seen).alias("vp_key", "o"))
+    tables["observations"] = views.select("ax_id", "vp_key", o["viewport"].alias("viewport"), o["rect"].alias("rect"), style_keys(o["computedStyle"]).alias("style"), o["visibility"].alias("visibility"), o["crawledAt"].alias("crawled_at"), "seq")
+
+    said = r["payload"]
+    own = {c: said[camel(c)] for c in ("route", "viewport", "focused_ax_id", "open_dialog_ids", "open_popover_ids", "expanded_region_ax_ids", "conditional_markers")}
+    auth, net = r["authContext"], r["networkContext"]
+    own |= {"auth_kind": auth["kind"], "auth_role": auth["role"], "principal": auth["principal"], "session": auth["session"], "network_status": net["status"], "network_evidence": net["evidence"]}
+    tables["states"] = _table(raw["states"], "states", **own)
+    elements = raw["states"].select(r["id"].alias("state_id"), F.explode(said["elements"]).alias("ax_id", "e"))
+    fields = [f for f in _rows_of("state_elements").fields if f.name not in ("state_id", "ax_id")]
+    tables["state_elements"] = elements.select("state_id", "ax_id", *[F.col("e")[camel(f.name)].cast(f.dataType).alias(f.name) for f in fields])
+    pieces = raw["states"].select(r["id"].alias("state_id"), F.posexplode(r["evidence"]).alias("pos", "e"))
+    tables["state_evidence"] = pieces.select("state_id", "e.kind", F.col("e.sourceAxId").alias("source_ax_id"), F.col("e.transitionId").alias("transition_id"), "e.at", F.col("pos").cast("long").alias("seq"))
+    tables["auth"] = _table(raw["auth"], "auth", **{k: F.coalesce(r["context"][k], r[k]) for k in ("kind", "role", "principal", "session")})
+    for name in ARRAYS.values():
+        tables[name] = last_wins(tables[name].drop("doc"))
+
+    tables["tokens"] = _tokens(docs)
+    problems = docs.select("doc", F.from_json("text", f"diagnostics struct<{', '.join(f'{k}:{_PROBLEM}' for k in _PROBLEMS)}>")["diagnostics"].alias("d"))
+    d, found = F.col("d"), None
+    for kind in _PROBLEMS:
+        rows = problems.select("doc", F.posexplode(d[kind]).alias("pos", "e")).select(
+            F.lit(kind).alias("kind"), F.col("e.pageId").alias("page_id"), "e.url", F.col("e.extractor").alias("source"), F.coalesce("e.error", "e.message").alias("message"), F.coalesce("e.at", "e.timestamp").alias("at"),
+            (F.col("doc") * (1 << 32) + F.col("pos")).alias("seq"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    tables["diagnostics"] = found
+    crawl = docs.select(F.from_json("text", "crawl struct<rootUrl:string,startedAt:string>")["crawl"].alias("c"))
+    meta = {"version": F.lit(VERSION), "root_url": F.col("c.rootUrl"), "started_at": F.col("c.startedAt"), "complete": F.lit(True)}
+    tables["meta"] = crawl.select(*[meta.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _rows_of("meta").fields])
     return Catalog(spark, tables)
 
 
+def from_document(spark: SparkSession, doc: dict) -> Catalog:
+    """The catalog of one graph document that the driver holds."""
+    return from_documents(spark.createDataFrame([(0, json.dumps(doc))], "doc long, text string"))
+
+
 def read_document(spark: SparkSession, path: str) -> Catalog:
-    """The catalog of one graph document file."""
-    try:
-        text = spark.read.text(path, wholetext=True).first()
-        doc = json.loads(text[0]) if text else {}
-    except ValueError as e:
-        raise SubstrateError("SUBSTRATE_INVALID", str(e)) from e
-    return from_document(spark, doc)
+    """The catalog of a graph document file, or of all in a folder, which the executors read."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
+    # documents are few and their order is that of the file names
+    names = sorted(x["file"] for x in files.select("file").collect())
+    order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, doc long")
+    return from_documents(files.join(order, "file").select("doc", "text"))
 
 
 def to_document(catalog: Catalog) -> dict:
@@ -207,11 +302,16 @@ def save(catalog: Catalog, path: str, overwrite: bool = False, idempotency_key:
             df = df.sortWithinPartitions(*CLUSTERED[name])
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("kind") if name == "edges" else writer).parquet(f"{staging}/{name}")
-    fs, old = _hadoop(spark, path)
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(_hadoop(spark, staging)[1], old):
+    fs, target = _hadoop(spark, path)
+    old = _hadoop(spark, f"{path}.replaced-{uuid.uuid4().hex}")[1]
+    # the old catalog stays whole until the new one is in place
+    replaced = fs.exists(target) and fs.rename(target, old)
+    if not fs.rename(_hadoop(spark, staging)[1], target):
+        if replaced:
+            fs.rename(old, target)
         raise SubstrateError("SUBSTRATE_IO", f"cannot rename {staging}")
+    if replaced:
+        fs.delete(old, True)
 
 
 def load(spark: SparkSession, path: str, need_complete: bool = True) -> Catalog:
@@ -231,7 +331,10 @@ def job_key(root: str, scope: str, max_pages: int, out: str) -> str:
 
 
 def frontier_hash(urls: DataFrame, column: str = "url") -> DataFrame:
-    """(frontier_hash): sha256 of the sorted URLs, a line each."""
+    """(frontier_hash): sha256 of the sorted URLs, a line each.
+
+    The hash is of one text by definition, so the URLs of one crawl meet in one task.
+    """
     return urls.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "\n"), 256).alias("frontier_hash"))
 
 
