@@ -26,15 +26,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .hot import join_groups
 from .workspace import bound_batches, settle, written
 
 #: Bytes of documents that are hashed together.
 GROUP = 400_000
+#: Bytes of one text that are hashed at a time; a longer one goes in pieces that overlap by a window less one byte.
+PIECE = 4_000_000
 #: Bytes of segments that one Burrows-Wheeler transform takes, about.
 TEXT = 100_000
 #: Different segments of one gram, beyond which its windows are halved instead.
@@ -127,38 +129,39 @@ def anchors(raw: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray
     return owner, at - begin, h[at], starts - begin, stops - begin
 
 
-def _groups(batches, column: int):
-    """Batches' rows in groups of about GROUP bytes of text: (batch, bytes, sizes). Copies no text."""
+def _groups(batches, column: int, length: int, most: int):
+    """Batches' rows in groups of about GROUP bytes of text: (batch, bytes, sizes, shift). Copies no text.
+
+    A text longer than ``most`` is cut into pieces that start at ``shift``;
+    every window is in one piece.
+    """
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = pc.binary_length(b.column(column)).to_numpy().astype(np.int64)
-        ends = np.cumsum(sizes)
-        cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP)) + 1).tolist(), b.num_rows]
-        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            part = b.slice(start, end - start)
-            texts = part.column(column)
-            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + end - start + 1]
-            data = texts.buffers()[2]
-            raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-            yield part, raw, sizes[start:end]
+        texts = b.column(column)
+        wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + b.num_rows + 1].astype(np.int64)
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8) if data is not None and offsets[-1] > 0 else np.zeros(0, np.uint8)
+        sizes = np.diff(offsets)
+        group, long = np.cumsum(sizes) // GROUP, sizes > most
+        cuts = np.flatnonzero((np.diff(group) > 0) | long[1:] | long[:-1]) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            part, lo, hi = b.slice(start, end - start), int(offsets[start]), int(offsets[end])
+            if end - start > 1 or hi - lo <= most:
+                yield part, raw[lo:hi], sizes[start:end], 0
+                continue
+            for shift in range(0, hi - lo - length + 1, most):
+                piece = raw[lo + shift : min(hi, lo + shift + most + length - 1)]
+                yield part, piece, np.array([len(piece)]), shift
     settle()
 
 
-def _gram_counts(length: int):
-    def run(batches):
-        for _, raw, sizes in _groups(batches, 0):
-            g, n = np.unique(anchors(raw, sizes, length)[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
-
-    return run
-
-
-def _occurrences(length: int):
+def _occurrences(length: int, piece: int):
     from xxhash import xxh64_intdigest
 
     def run(batches):
-        for b, raw, sizes in _groups(batches, 2):
+        for b, raw, sizes, shift in _groups(batches, 2, length, piece):
             owner, at, g, lo, hi = anchors(raw, sizes, length)
             begin = (np.cumsum(sizes) - sizes)[owner]
             view = memoryview(np.ascontiguousarray(raw))
@@ -167,7 +170,7 @@ def _occurrences(length: int):
             )
             pick = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), *(pa.array(v.astype(np.int32)) for v in (at, lo, hi)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))],
+                [b.column(0).take(pick), b.column(1).take(pick), *(pa.array((v + shift).astype(np.int32)) for v in (at, lo, hi)), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64))],
                 names=["doc_id", "h", "at", "start", "end", "g", "seg"],
             )
 
@@ -329,7 +332,7 @@ def _halve(rows: DataFrame, length: int) -> DataFrame:
         size = half
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", text_bytes: int = TEXT, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", text_bytes: int = TEXT, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs``.
 
     A byte is removed if a string of ``length`` bytes covers it that also
@@ -345,13 +348,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("t"))
 
-    grams = docs.select(text.alias("t")).mapInArrow(_gram_counts(length), "g long, n long")
-    repeated = written(grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "repeated")
-    places = rows.mapInArrow(_occurrences(length), "doc_id long, h long, at int, start int, end int, g long, seg long")
-    places = written(places.join(repeated, "g"), "repeated-grams")
+    # one pass over the texts; grams that occur once are told apart before anything wide shuffles
+    found_ = written(rows.mapInArrow(_occurrences(length, piece), "doc_id long, h long, at int, start int, end int, g long, seg long"), "gram-occurrences")
+    repeated = written(found_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    maybe, _ = bloom.split(found_, F.col("g"), repeated.select("g"), repeated.count())
+    places = written(join_groups(maybe, repeated, ["g"], "n").drop("n"), "repeated-grams")
 
     segments = written(places.groupBy("g", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "at", "start", "end")).alias("one")), "segments")
-    alike = places.join(segments.where("n > 1").select("g", "seg"), ["g", "seg"]).select("doc_id", "h", "start", "end")
+    alike = join_groups(places, segments.where("n > 1").select("g", "seg", "n"), ["g", "seg"], "n").select("doc_id", "h", "start", "end")
 
     kinds = segments.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
     mixed = segments.join(kinds, "g").select("g", "n", "kinds", "one.doc_id", "one.h", "one.at", "one.start", "one.end")

@@ -55,6 +55,14 @@ def test_equals_brute_force(spark, seed, length, hot):
     assert [rows[i] for i in range(len(texts))] == brute(texts, length)
 
 
+@pytest.mark.parametrize("piece", [1, 37, 200])
+def test_a_long_text_goes_in_pieces(spark, piece):
+    texts = tangled(6, 25)
+    texts += [" ".join(texts[:8]), "y" * 333]
+    rows = got(suffix_dedup.remove_repeats(documents(spark, texts), 30, piece=piece))
+    assert [rows[i] for i in range(len(texts))] == brute(texts, 30)
+
+
 def test_query_equals_brute_force(spark):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     rows = got(queries.op7_suffix_dedup(spark, SF))
