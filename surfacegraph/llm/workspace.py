@@ -85,6 +85,12 @@ def open_in(uri: str):
     return system.open_input_stream(path, compression=None)
 
 
+def open_at(uri: str):
+    """A file of the shared file system that is read at any place."""
+    system, path = _filesystem(uri)
+    return system.open_input_file(path)
+
+
 def local_path(uri: str) -> str | None:
     """The path if this machine can map the file into memory, else None."""
     if uri.startswith("file:"):
