@@ -58,49 +58,70 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
 
 
-def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of items (index: copies) of most worth within ``capacity``; any number of copies."""
+def fill(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(most worth within each capacity, last item taken for it or -1); any number of copies."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        fits = np.searchsorted(sizes, c, "right")
         best[c] = best[c - 1]
-        if fits:
-            got = best[c - sizes[:fits]] + worth[:fits]
+        if fits[c]:
+            got = best[c - sizes[: fits[c]]] + worth[: fits[c]]
             k = int(got.argmax())
             if got[k] > best[c]:
                 best[c], last[c] = got[k], k
+    return best, last
+
+
+def _taken(sizes: np.ndarray, last: np.ndarray, capacity: int) -> dict[int, int]:
+    """The items (index: copies) of the best filling of a capacity."""
     out: dict[int, int] = {}
     c = capacity
     while c > 0:
-        if last[c] < 0:
+        k = int(last[c])
+        if k < 0:
             c -= 1
         else:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(sizes[last[c]])
+            out[k] = out.get(k, 0) + 1
+            c -= int(sizes[k])
     return out
 
 
-def configuration_lp(sizes: np.ndarray, need: np.ndarray, capacity: int, step: float = 0.05, rounds: int = 6000) -> list[tuple[dict[int, int], float]]:
+def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of items (index: copies) of most worth within ``capacity``; any number of copies."""
+    return _taken(sizes, fill(sizes, worth, capacity)[1], capacity)
+
+
+def configuration_lp(sizes: np.ndarray, need: np.ndarray, capacity: int, step: float = 0.05, near: float = 0.99, columns: int = 12) -> list[tuple[dict[int, int], float]]:
     """(combination, how often) pairs that cover ``need`` pieces of each size, fractionally.
 
     Multiplicative weights: a size's weight falls exponentially with the share
-    of its need already covered, and each round raises one combination until
-    one of its sizes gains ``step`` of its need.
+    of its need already covered. Each round fills one knapsack table, which
+    prices for every size the best combination that holds it; those of nearly
+    the most worth, and that of the size least covered, are raised until one of
+    their sizes gains ``step`` of its need. So every round brings the size
+    least covered on, and the rounds end.
     """
     covered = np.zeros(len(sizes))
     used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        if covered.min() >= 1:
-            break
+    while covered.min() < 1:
         worth = np.exp(-10 * (covered - covered.min())) / need
-        combo = knapsack(sizes, worth, capacity)
-        items, copies = np.array(list(combo)), np.array(list(combo.values()))
-        amount = step / (copies / need[items]).max()
-        covered[items] += amount * copies / need[items]
-        key = tuple(sorted(combo.items()))
-        used[key] = used.get(key, 0.0) + amount
-    scale = 1 / max(covered.min(), 1e-9) if covered.min() < 1 else 1.0
-    return [(dict(k), x * min(scale, 2.0)) for k, x in used.items()]
+        best, last = fill(sizes, worth, capacity)
+        held = worth + best[capacity - sizes]
+        order = np.argsort(-held, kind="stable")[:columns]
+        picks = [int(covered.argmin()), *order[held[order] >= near * best[capacity]].tolist()]
+        for combo in {tuple(sorted(_holding(sizes, last, capacity, k).items())) for k in picks}:
+            items, copies = np.array([i for i, _ in combo]), np.array([n for _, n in combo])
+            amount = step / (copies / need[items]).max()
+            covered[items] += amount * copies / need[items]
+            used[combo] = used.get(combo, 0.0) + amount
+    return [(dict(k), x) for k, x in sorted(used.items())]
+
+
+def _holding(sizes: np.ndarray, last: np.ndarray, capacity: int, k: int) -> dict[int, int]:
+    """The best combination that holds item ``k``."""
+    out = _taken(sizes, last, capacity - int(sizes[k]))
+    out[k] = out.get(k, 0) + 1
+    return out
 
 
 @dataclass
@@ -114,6 +135,8 @@ class Plan:
     sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    #: Pieces that the program placed; full ones need no plan, and best fit placed the rest.
+    by_program: int = 0
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset) of pieces."""
@@ -139,10 +162,13 @@ def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, unit:
         left[capacity] = 0
 
     grain = unit if capacity >= 64 * unit else 1
-    groups: dict[int, list[int]] = {}
-    for length in np.flatnonzero(left)[::-1].tolist():
-        groups.setdefault(-(-length // grain), []).append(length)  # longest first
-    if groups:
+    whole, before = int(left.sum()), -1
+    # what rounding leaves is a smaller program of the same kind, while that places a good part of it
+    while (rest := int(left.sum())) and (before < 0 or before - rest >= max(1, before // 20)):
+        before = rest
+        groups: dict[int, list[int]] = {}
+        for length in np.flatnonzero(left)[::-1].tolist():
+            groups.setdefault(-(-length // grain), []).append(length)  # longest first
         sizes = np.array(sorted(groups))
         need = np.array([left[groups[s]].sum() for s in sizes.tolist()], float)
         carried = 0.5
@@ -155,6 +181,7 @@ def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, unit:
             slots = [groups[int(sizes[k])] for k, copies in combo.items() for _ in range(copies)]
             while m > 0:
                 m -= _take(slots, left, m, kinds, capacity)
+    by_program = whole - int(left.sum())
 
     room: dict[int, list[tuple[int, list[int]]]] = {}
     for m, ls in kinds:
@@ -199,7 +226,7 @@ def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, unit:
                 offset += length
             base += m
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
-    return Plan(*(np.ascontiguousarray(table[:, i]) for i in range(5)), base)
+    return Plan(*(np.ascontiguousarray(table[:, i]) for i in range(5)), base, by_program)
 
 
 def _take(slots: list[list[int]], left: np.ndarray, m: int, kinds: list, capacity: int) -> int:
