@@ -29,8 +29,8 @@ def hierarchy_edges(parented: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("edge:"), "src", F.lit("->"), "dst", F.lit(":nav:child-of")).alias("id"), "src", "dst", F.lit("nav:child-of").alias("kind"), F.lit("html:hierarchy").alias("provenance"))
 
 
-def frontier(links: DataFrame, root: str, max_pages: int = 50, scope: str = "same-origin", max_hops: int = 50) -> DataFrame:
-    """(url, hops, rank): the pages that a crawl from ``root`` would visit, first come first served. ``links``: src, dst, seq."""
+def frontier(links: DataFrame, root: str, max_pages: int = 50, scope: str = "same-origin") -> DataFrame:
+    """(url, hops, rank): the pages that a crawl from ``root`` would visit, first come first served, however long the chains. ``links``: src, dst, seq."""
     ok = links.where(in_scope(F.lit(root), "dst", scope)).select("src", "dst", "seq", F.lit("link").alias("kind"), F.lit("replay").alias("provenance"))
-    tree = search(ok, root, None, max_hops)
+    tree = search(ok, root, None, None, most=max_pages)
     return tree.orderBy("hops", "rank").limit(max_pages).select(F.col("id").alias("url"), "hops", "rank")

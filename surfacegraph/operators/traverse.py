@@ -9,6 +9,7 @@ parent, then by the order of its edges.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +28,22 @@ def _arcs(edges: DataFrame, kinds: Iterable[str] | str | None, reverse: bool = F
     return edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("at"), F.col(b).alias("to"), "kind", "provenance", F.col("seq").alias("edge_seq"))
 
 
-def search(edges: DataFrame, start: str, kinds=None, max_hops: int = 5, reverse: bool = False, until: str | None = None) -> DataFrame:
+#: Parents of a level whose counts one task sums up.
+RUN = 1 << 16
+
+
+def search(edges: DataFrame, start: str, kinds=None, max_hops: int | None = 5, reverse: bool = False, until: str | None = None, most: int | None = None) -> DataFrame:
     """(id, hops, rank, parent, kind, provenance): the breadth-first tree from ``start``, which is in it with 0 hops.
 
     ``rank`` is the order in which a queue would reach the nodes. Stops at
-    ``until`` if that is given.
+    ``until`` if that is given, or after the level with which there are
+    ``most`` nodes; without ``max_hops`` it goes on to the end.
     """
     spark = edges.sparkSession
     arcs = _arcs(edges, kinds, reverse)
     tree = spark.createDataFrame([(start, 0, 1, None, None, None)], "id string, hops int, rank long, parent string, kind string, provenance string")
     level = tree
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         steps = level.select(F.col("id").alias("at"), F.col("rank").alias("parent_rank")).join(arcs, "at")
         new = steps.join(tree.select(F.col("id").alias("to")), "to", "left_anti")
         # of several ways to a node the earliest counts: one aggregation, no sort
@@ -52,13 +58,23 @@ def search(edges: DataFrame, start: str, kinds=None, max_hops: int = 5, reverse:
         tree = cut(tree.unionByName(level))
         if until is not None and not level.where(F.col("id") == until).isEmpty():
             break
+        if most is not None and tree.count() >= most:
+            break
     return tree
 
 
 def _ranked(level: DataFrame) -> DataFrame:
-    """Dense ranks of a level in queue order: counts by parent give the bases, so no task holds the whole level."""
-    per = level.groupBy("_pr").agg(F.count(F.lit(1)).alias("n"))
-    base = per.select("_pr", (F.sum("n").over(Window.orderBy("_pr")) - F.col("n")).alias("base"))
+    """Dense ranks of a level in queue order.
+
+    Counts by parent give the bases, summed in two steps: within runs of
+    parents, whose ranks are dense, and over the runs. No task holds the level
+    or all its parents.
+    """
+    per = level.groupBy("_pr").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("_pr") / RUN))
+    runs = per.groupBy("run").agg(F.sum("n").alias("m"))  # a row for so many parents
+    before = runs.select("run", (F.sum("m").over(Window.orderBy("run")) - F.col("m")).alias("before"))
+    inner = F.sum("n").over(Window.partitionBy("run").orderBy("_pr")) - F.col("n")
+    base = per.withColumn("inner", inner).join(before, "run").select("_pr", (F.col("inner") + F.col("before")).alias("base"))
     within = F.row_number().over(Window.partitionBy("_pr").orderBy("_es", "id"))
     out = level.withColumn("_in", within).join(base, "_pr")
     return cut(out.select("id", "hops", (F.col("base") + F.col("_in")).alias("rank"), "parent", "kind", "provenance"))

@@ -14,11 +14,14 @@ def last_wins(df: DataFrame, keys: list[str] | str = "id", order: str = "seq") -
     """Of rows with equal keys the last one, at the place of the first.
 
     An upsert keeps the place where the key was first inserted, so the first
-    ``seq`` stays. One aggregation with partial results, no sort.
+    ``seq`` stays. Of rows with the same place a hash of their columns (maps
+    apart) decides, so reruns agree. One aggregation with partial results, no
+    sort.
     """
     keys = [keys] if isinstance(keys, str) else keys
     rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"), F.min(order).alias("_first"))
+    tie = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*tie))).alias("_last"), F.min(order).alias("_first"))
     cols = [F.col(c) if c in keys else (F.col("_first").alias(order) if c == order else F.col(f"_last.{c}")) for c in df.columns]
     return last.select(*cols)
 

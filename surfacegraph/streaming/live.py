@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,38 +19,74 @@ def records(spark: SparkSession, path: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
+#: Parts of an upserted table; a batch rewrites only those that it touches.
+PARTS = 64
+
+
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def _versions(spark: SparkSession, table: str) -> dict[int, list[int]]:
+    """Finished versions of each part of a table, in order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    names = lambda p: [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(p))]
+    out: dict[int, list[int]] = {}
+    for v in sorted(int(n[2:]) for n in names(table) if n.startswith("v=")):
+        inside = names(f"{table}/v={v}")
+        if "_SUCCESS" in inside:
+            for n in inside:
+                if n.startswith("part="):
+                    out.setdefault(int(n[5:]), []).append(v)
+    return out
+
+
+def _read(spark: SparkSession, table: str, newest: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{table}/v={v}/part={p}" for p, v in sorted(newest.items())]) if newest else None
+
+
 def upsert(stream: DataFrame, table: str, checkpoint: str, key: str = "id", order: str = "seq") -> StreamingQuery:
     """Keeps ``table`` (a folder) at the last row of each key.
 
-    Each batch writes a new version beside the old and then points ``CURRENT``
-    at it; a batch that runs again finds its version written and does no harm.
+    The table lies in parts by a hash of the key. Each batch writes a new
+    version of the parts that it touches and leaves the others; of each part
+    the newest version and the one before the batch stay, so a batch that runs
+    again finds what it started from.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = f"{table}/v={batch_id}"
-        old = current(spark, table, before=batch_id)
-        rows = batch if old is None else old.select(batch.columns).unionByName(batch)
-        last_wins(rows, key, order).write.mode("overwrite").parquet(version)
-        spark.createDataFrame([(batch_id,)], "v long").coalesce(1).write.mode("overwrite").parquet(f"{table}/CURRENT")
+        rows = batch.withColumn("part", _part(key))
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # at most PARTS
+        if not touched:
+            return
+        known = _versions(spark, table)
+        before = {p: max(older) for p in touched if (older := [v for v in known.get(p, []) if v < batch_id])}
+        old = _read(spark, table, before)
+        both = batch if old is None else old.select(batch.columns).unionByName(batch)
+        merged = last_wins(both, key, order).withColumn("part", _part(key))
+        merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/v={batch_id}")
+        jvm = spark.sparkContext._jvm
+        for p in touched:
+            for v in known.get(p, []):
+                if v < batch_id and v != before.get(p):
+                    gone = jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/part={p}")
+                    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The table's newest version, or the newest before a batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))]
-    done = [v for v in done if before is None or v < before]
-    return spark.read.parquet(f"{table}/v={max(done)}") if done else None
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table as of the last finished batch."""
+    return _read(spark, table, {p: max(v) for p, v in _versions(spark, table).items()})
 
 
-def auth_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Running numbers of observations of each authentication context. ``stream``: auth_id, at timestamp."""
+def auth_counts(stream: DataFrame) -> DataFrame:
+    """Running numbers of observations of each authentication context, of all time. ``stream``: auth_id, at timestamp."""
     return stream.groupBy("auth_id").agg(F.count(F.lit(1)).alias("observation_count"), F.min("at").alias("first_observed_at"))
 
 

@@ -44,3 +44,18 @@ def test_windows_and_audit(spark, tmp_path):
     assert spark.table("auth").first()["observation_count"] == 30
     live.audit_sink(live.records(spark, str(src), "principal string, at timestamp"), str(tmp_path / "log"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.json(str(tmp_path / "log")).count() == 30
+
+
+def test_upserts_rewrite_only_touched_parts(spark, tmp_path):
+    src, table = tmp_path / "in", tmp_path / "t"
+    src.mkdir()
+    schema, want = "id string, name string, seq long", {}
+    for step in range(4):
+        rows = [{"id": str(i), "name": f"{step}", "seq": step} for i in (range(300) if step == 0 else [step, 7])]
+        put(src, f"{step}.json", rows)
+        want |= {r["id"]: r["name"] for r in rows}
+        live.upsert(live.records(spark, str(src), schema), str(table), str(tmp_path / "c")).awaitTermination()
+        if step:
+            assert len(list((table / f"v={step}").glob("part=*"))) <= 2
+    assert {r["id"]: r["name"] for r in live.current(spark, str(table)).collect()} == want
+    assert {r["seq"] for r in live.current(spark, str(table)).where("id <> '7'").collect()} <= {0}
