@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _made[path] = False
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -51,6 +55,32 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the working tables that were made inside.
+
+    For a step whose result has been written elsewhere: nothing may read the
+    tables any more. :func:`written` inside is made to outlive the block by
+    ``keep``.
+    """
+    before = set(_made)
+    yield
+    for path in [p for p in _made if p not in before]:
+        if not _made.pop(path):
+            delete(spark, path)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written`, to a table that :func:`transient` leaves."""
+    out = written(df, label)
+    _made[next(reversed(_made))] = True
+    return out
+
+
+#: Paths of working tables and files, in order, and whether they are to stay.
+_made: dict[str, bool] = {}
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all working tables of this application."""
     delete(spark, f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}")

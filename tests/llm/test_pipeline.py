@@ -1,13 +1,17 @@
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
+import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from surfacegraph.llm import language_id, queries
 
-from .helpers import documents, plain_targets, smallest_reachable
-from .test_simple_operators import SF, check_packing, plain_fingerprint
+from .helpers import check_mix, documents, plain_targets, prose, smallest_reachable
+from .test_jaccard import edited, plain_shingles, similar
+from .test_simple_operators import SF, check_packing
 
 
 def small_corpus(spark):
@@ -38,8 +42,8 @@ def test_stages_decide_as_brute_force_does(spark):
     assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == set(want)
 
     ids = sorted(want)
-    fp = [plain_fingerprint(want[i]["text"], 4) for i in ids]
-    low = smallest_reachable(ids, lambda i, j: bin(fp[i] ^ fp[j]).count("1") <= 4)
+    sets = [plain_shingles(want[i]["text"]) for i in ids]
+    low = smallest_reachable(ids, lambda i, j: similar(sets[i], sets[j]))
     want = {i: want[i] for i, c in zip(ids, low, strict=True) if i == c}
     now = stages["simhash"](spark, now, SF)
     assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == set(want)
@@ -64,9 +68,53 @@ def test_stages_decide_as_brute_force_does(spark):
     check_packing(packed, [(r["doc_id"], r["text"]) for r in got], Tokenizer.from_file(queries.vocabulary()))
 
 
-def test_run_chains_the_stages(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+def plain_run(rows):
+    """(rows that reach the mix) by brute force: a letter, then exact copies, then near copies."""
+    rows = [r for r in rows if any(unicodedata.category(c).startswith("L") for c in r["text"] or "")]
+    groups = {}
+    for r in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r["text"]), []).append(r)
+    first = lambda r: (-len(r["text"]), r["doc_id"] is None, r["doc_id"] or 0)
+    rows = [min(g, key=first) for g in groups.values()]
+    sets = [plain_shingles(r["text"]) for r in rows]
+    group = smallest_reachable(list(range(len(rows))), lambda i, j: similar(sets[i], sets[j]))
+    low = {}
+    for r, c in zip(rows, group, strict=True):
+        if r["doc_id"] is not None:
+            low[c] = min(low.get(c, r["doc_id"]), r["doc_id"])
+    return [r for r, c in zip(rows, group, strict=True) if r["doc_id"] is None or r["doc_id"] == low[c]]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet").collect()[:60]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in base]
+    near = [edited(prose(s, 150), s, e) for s in range(4) for e in (0, 1, 2, 3)]
+    rows += [(2000 + i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(near)]
+    a, b = prose(70, 90), prose(71, 90)
+    rows += [(5, a, "en", "src0", 1), (9, a, "en", "src0", 1), (3002, b, "en", "src1", 1), (5, b, "en", "src1", 1)]  # one id, two texts, each a copy of another row's
+    rows += [(None, prose(72 + i, 40), None, None, 1) for i in range(5)] + [(3003, prose(90, 40), "en", "src1", 1)] * 3
+    rows += [(3004, None, "en", "src1", 0), (3005, "", "en", "src1", 0), (3006, "½ ① 12", "en", "src1", 0), (3007, "a", "fr", "src2", 1), (3008, b + " ", "en", "src2", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    want = plain_run(df.collect())
+    assert len(want) < len(rows) - 12
+    tokenizer = Tokenizer.from_file(queries.vocabulary())
+    heads = Counter((r["doc_id"], r["ids_crc32"]) for r in packed if r["piece"] == 0)
+    copies, docs = [], []
+    for r in want:
+        ids = tokenizer.encode(r["text"], add_special_tokens=False).ids + [1]
+        n = heads.pop((r["doc_id"], zlib.crc32(np.array(ids[:4096], "<u4").tobytes())), 0)
+        copies.append((r, n))
+        docs += [(r["doc_id"], r["text"])] * n
+    assert not heads  # nothing else was packed
+    per = Counter()
+    for r, _ in copies:
+        per[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    goal = plain_targets(per)
+    check_mix([(r["source"], r["text"], goal[r["source"]], n * len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r, n in copies])
+    check_packing(packed, docs, tokenizer)
 
 
 def test_stages_take_an_empty_table(spark):
