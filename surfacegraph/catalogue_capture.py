@@ -6,8 +6,8 @@ platform trees as JSON text, pages as HTML.
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from .functions.urls import canonical_url
 from .operators import govern, hierarchy, layout, patterns, report, state
 from .plans import derive
 from .plans.catalog import Catalog
-from .sources import graph_json, html, trees
+from .plans.lineage import cut, shared_root
+from .sources import graph_json, html, sqlite, trees
 
 K = derive.K
 
@@ -71,7 +72,7 @@ def documents(spark, sf) -> DataFrame:
     )
     # struct fields cannot hold a parsed map beside text, so the look is put in as an object
     text = F.regexp_replace(F.regexp_replace(doc, r'"look":"(\{.*?\})"', r'"computedStyle":$1'), r'\\"', '"')
-    return whole.select(F.col("n_nationkey").cast("long").alias("doc"), text.alias("text"))
+    return cut(whole.select(F.col("n_nationkey").cast("long").alias("doc"), text.alias("text")))  # each table is parsed from it
 
 
 @query(
@@ -116,10 +117,6 @@ def _(spark, sf):
 
 def working_folder(spark, label: str) -> str:
     """A new folder beside the checkpoints."""
-    import uuid
-
-    from .plans.lineage import shared_root
-
     return f"{shared_root(spark)}/surfacegraph-{label}-{uuid.uuid4().hex}"
 
 
@@ -141,6 +138,28 @@ def _(spark, sf):
     return graph_json.from_document(spark, graph_json.to_document(small)).pages.select("id", "title")
 
 
+@query(
+    "k_sqlite_round_trip",
+    "SELECT 'element' AS kind, concat('ax:', c_custkey) AS id, c_name AS what FROM customer UNION ALL SELECT 'element', 'ax:stays', 'old' UNION ALL SELECT 'edge', concat('edge:', n_nationkey), concat('page:', n_regionkey) FROM nation "
+    f"UNION ALL SELECT 'visual', concat('vis:', {K}), p_brand FROM part UNION ALL SELECT 'auth', concat('auth:', n_nationkey), n_name FROM nation UNION ALL SELECT 'token', 'c.base', concat('#00000', (SELECT max(n_nationkey) FROM nation) % 10)",
+)
+def _(spark, sf):
+    """A catalog saved into a SQLite file over an older one, and scanned: rows of other ids stay, edges and tokens are replaced."""
+    c, path = graph_json.from_documents(documents(spark, sf)), working_folder(spark, "sqlite") + ".db"
+    old = spark.createDataFrame([("ax:stays", "old", 0), ("ax:1", "gone", 1)], "id string, name string, seq long")
+    edge = spark.createDataFrame([("edge:gone", "a", "b", "k", 0)], "id string, src string, dst string, kind string, seq long")
+    sqlite.save(Catalog(spark, {"ax": old, "edges": edge}), path)
+    sqlite.save(c, path)
+    back = sqlite.load(spark, path)
+    token = F.concat(F.col("value"), F.lit(""))
+    parts = [("element", back.ax, "id", F.col("name")), ("edge", back.edges, "id", F.col("src")), ("visual", back.visual, "id", F.col("style")["backgroundColor"]), ("auth", back.auth, "id", F.col("role")), ("token", back.tokens, "path", token)]
+    out = None
+    for kind, df, key, what in parts:
+        one = df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), what.alias("what"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("k_logs", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     """A log appended to in two steps and read as JSON lines."""

@@ -276,17 +276,47 @@ def to_document(catalog: Catalog) -> dict:
     return doc
 
 
+def wire_rows(catalog: Catalog, name: str) -> DataFrame:
+    """(seq, raw): rows of a table as a document has them, in JSON.
+
+    Nested things that a document keeps elsewhere (states' payloads, contexts)
+    are put back where :func:`from_documents` finds them.
+    """
+    df = getattr(catalog, name)
+    rows, own = df, [f.name for f in _rows_of(name).fields if f.name != "seq" and f.name in df.columns]
+    extra = []
+    if name == "visual":
+        z = F.col("z_index").cast("string") if "z_index" in own else F.lit(None).cast("string")
+        pick = lambda c, kind: (F.col(c) if c in own else F.lit(None)).cast(kind)
+        extra = [
+            F.struct(pick("is_scroll_container", "boolean").alias("isScrollContainer")).alias("scrollClippingContext"), F.struct(pick("is_stacking_context", "boolean").alias("isStackingContext"), z.alias("zIndex")).alias("stackingContext"),
+            F.struct(pick("has_transform", "boolean").alias("hasTransform")).alias("renderBounds"), F.struct(pick("box_sizing", "string").alias("boxSizing"), pick("padding_box", schema.RECT).alias("paddingBox")).alias("boxModel"),
+            F.transform(pick("bindings", "array<string>"), lambda b: F.struct(b.alias("tokenPath"))).alias("designTokenBindings"), F.transform(pick("drift_severities", "array<string>"), lambda d: F.struct(d.alias("severity"))).alias("tokenDrifts"),
+        ]
+    if name == "states":
+        said = ("route", "viewport", "focused_ax_id", "open_dialog_ids", "open_popover_ids", "expanded_region_ax_ids", "conditional_markers")
+        types = {f.name: f.dataType for f in _rows_of(name).fields}
+        extra = [
+            F.struct(*[F.col(c).cast(_in_camel(types[c])).alias(camel(c)) for c in said if c in own]).alias("payload"),
+            F.struct(*[F.col(c).alias(k) for k, c in (("kind", "auth_kind"), ("role", "auth_role"), ("principal", "principal"), ("session", "session")) if c in own]).alias("authContext"),
+            F.struct(*[F.col(c).alias(k) for k, c in (("status", "network_status"), ("evidence", "network_evidence")) if c in own]).alias("networkContext"),
+        ]
+    types = {f.name: f.dataType for f in _rows_of(name).fields}
+    plain = [F.col(c).cast(_in_camel(types[c])).alias(camel(c)) for c in own]
+    return rows.select("seq", F.to_json(F.struct(*plain, *extra)).alias("raw"))
+
+
 #: Columns that tables are clustered by on disk, so that filters skip row groups.
 CLUSTERED = {"ax": ("page_id", "role"), "visual": ("page_id", "ax_id"), "edges": ("kind", "src"), "observations": ("ax_id", "vp_key"), "states": ("page_id", "id"), "capabilities": ("page_id", "name")}
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     return fs.exists(p)
 
 
@@ -302,11 +332,11 @@ def save(catalog: Catalog, path: str, overwrite: bool = False, idempotency_key:
             df = df.sortWithinPartitions(*CLUSTERED[name])
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("kind") if name == "edges" else writer).parquet(f"{staging}/{name}")
-    fs, target = _hadoop(spark, path)
-    old = _hadoop(spark, f"{path}.replaced-{uuid.uuid4().hex}")[1]
+    fs, target = hadoop(spark, path)
+    old = hadoop(spark, f"{path}.replaced-{uuid.uuid4().hex}")[1]
     # the old catalog stays whole until the new one is in place
     replaced = fs.exists(target) and fs.rename(target, old)
-    if not fs.rename(_hadoop(spark, staging)[1], target):
+    if not fs.rename(hadoop(spark, staging)[1], target):
         if replaced:
             fs.rename(old, target)
         raise SubstrateError("SUBSTRATE_IO", f"cannot rename {staging}")
