@@ -1,7 +1,6 @@
 """Registry of the library's queries and their SQL.
 
-Each query runs over whole tables, but ``l_components``: its SQL reads every
-ninth part, ``l_components_all`` reads all. ``@query(name, sql)`` registers a function
+Each query runs over whole tables. ``@query(name, sql)`` registers a function
 (spark, sf_dir) -> DataFrame and the SQL that gives the same rows.
 """
 
@@ -370,13 +369,8 @@ def component_sizes(v: DataFrame) -> DataFrame:
 
 @query(
     "l_components",
-    f"WITH RECURSIVE v AS ({derive.visual_sql(large=True, where='p_partkey % 9 = 0')}), l AS (SELECT a.page_id, a.seq AS a, b.seq AS b FROM v a JOIN v b ON {PAIRS} AND {OX} >= 24 AND {OY} >= 24), r AS (SELECT page_id, a AS seq, a AS root FROM l UNION SELECT l.page_id, l.b, r.root FROM r JOIN l ON l.page_id = r.page_id AND l.a = r.seq), c AS (SELECT page_id, seq, min(root) AS label FROM r GROUP BY page_id, seq) SELECT page_id, concat('v', label) AS group_id, CAST(count(*) AS INT) AS members, CAST(least(95, greatest(40, 30 + count(*) * 8)) AS INT) AS confidence FROM c GROUP BY page_id, label",
+    f"WITH RECURSIVE v AS ({derive.visual_sql(large=True)}), l AS (SELECT a.page_id, a.seq AS a, b.seq AS b FROM v a JOIN v b ON {PAIRS} AND {OX} >= 24 AND {OY} >= 24), r AS (SELECT page_id, a AS seq, a AS root FROM l UNION SELECT l.page_id, l.b, r.root FROM r JOIN l ON l.page_id = r.page_id AND l.a = r.seq), c AS (SELECT page_id, seq, min(root) AS label FROM r GROUP BY page_id, seq) SELECT page_id, concat('v', label) AS group_id, CAST(count(*) AS INT) AS members, CAST(least(95, greatest(40, 30 + count(*) * 8)) AS INT) AS confidence FROM c GROUP BY page_id, label",
 )
-def _(spark, sf):
-    return component_sizes(derive.visual(spark, sf, large=True, where="p_partkey % 9 = 0"))
-
-
-@query("l_components_all")
 def _(spark, sf):
     return component_sizes(derive.visual(spark, sf, large=True))
 

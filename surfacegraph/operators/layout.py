@@ -8,11 +8,13 @@ single nodes are column expressions, so they fuse with the scan.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.css import style, styled
-from ..functions.geometry import overlap, rect, union_all
+from ..functions.geometry import rect, union_all
 from ..functions.js import col, includes, is_, js_round, number_or, one_of, parse_float, parse_int, truthy
 from ..plans.lineage import cut
 from .spatial import cells
@@ -342,11 +344,8 @@ def component_groups(nodes: DataFrame) -> DataFrame:
     taken = first.select("page_id", F.explode("member_ids").alias("id")).distinct()
     free = cut(nodes.select("page_id", "id", "seq", "rect", "style").join(taken, ["page_id", "id"], "left_anti"))
     c = cells(free.select("page_id", "id", "seq", "rect"), reach=0)
-    a = c.select("page_id", "gx", "gy", F.col("seq").alias("a"), F.col("rect").alias("ra"))
-    b = c.select("page_id", "gx", "gy", F.col("seq").alias("b"), F.col("rect").alias("rb"))
-    p, q = F.col("ra"), F.col("rb")
-    close = (overlap(p["x"], p["w"], q["x"], q["w"]) >= PROXIMITY) & (overlap(p["y"], p["h"], q["y"], q["h"]) >= PROXIMITY)
-    links = cut(a.join(b, ["page_id", "gx", "gy"]).where((F.col("a") != F.col("b")) & close).select("page_id", "a", "b").distinct())
+    flat = c.select("page_id", "gx", "gy", "seq", "rect.x", "rect.y", "rect.w", "rect.h")
+    links = cut(flat.groupBy("page_id", "gx", "gy").applyInArrow(_cell_links, "page_id string, a long, b long").distinct())
     labels = spread_least(links)
     named = free.join(labels, ["page_id", "seq"])
     area = r["w"] * r["h"]
@@ -369,6 +368,28 @@ def component_groups(nodes: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def _cell_links(table: pa.Table) -> pa.Table:
+    """Links, both ways, that join what touches within one cell: a tree of each group, not all pairs."""
+    seq, x, y, w, h = (table.column(c).to_numpy() for c in ("seq", "x", "y", "w", "h"))
+    # rectangles share PROXIMITY on an axis if they touch when made so much shorter; those that are shorter share it with none
+    x1, y1 = x + w - PROXIMITY, y + h - PROXIMITY
+    left, a, b = (x1 >= x) & (y1 >= y), [], []
+    for first in range(len(seq)):
+        if not left[first]:
+            continue
+        left[first], todo = False, [first]
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(left & (x <= x1[i]) & (x1 >= x[i]) & (y <= y1[i]) & (y1 >= y[i]))
+            left[near] = False
+            a += [seq[i]] * len(near)
+            b += seq[near].tolist()
+            todo += near.tolist()
+    page = table.column("page_id")[0].as_py()
+    ends = np.array([*a, *b], np.int64), np.array([*b, *a], np.int64)
+    return pa.table({"page_id": pa.array([page] * (2 * len(a)), pa.string()), "a": ends[0], "b": ends[1]})
+
+
 def spread_least(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(page_id, seq, label): the smallest seq each node reaches along ``links(page_id, a, b)``, both ways.
 

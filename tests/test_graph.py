@@ -229,7 +229,7 @@ def test_components_of_the_whole_table_match_a_flood_fill(spark):
                 todo += near
             if len(group) > 1:
                 want.add((page, f"v{min(group)}", len(group), min(95, max(40, 30 + len(group) * 8))))
-    got = [tuple(r) for r in catalogue.queries()["l_components_all"](spark, sf).select("page_id", "group_id", "members", "confidence").collect()]
+    got = [tuple(r) for r in catalogue.queries()["l_components"](spark, sf).select("page_id", "group_id", "members", "confidence").collect()]
     assert len(got) == len(want) and set(got) == want
     assert sum(g[2] for g in got) > sum(map(len, pages.values())) / 2
 
