@@ -26,6 +26,8 @@ EMBED = 8
 BATCH = 512
 #: A letter is a character of Unicode category L: marks, letter-like numbers and symbols are none.
 LETTER = regex.compile(r"\p{L}")
+#: Languages up to which their shares are broadcast.
+LABELS = 100_000
 #: The largest hash of a row.
 TOP = (1 << 63) - 1
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -181,6 +183,8 @@ def train(
     # twice as many and some more pass a first cut by hash, of which the least are taken
     upto = spark.createDataFrame([(r["lang"], min(TOP, TOP * (2 * per + 30) // r["count"])) for r in counts], "k_lang string, upto long")
     hashed = rows.select(key.alias("k"), F.col(lang_col).alias("lang"), text.alias("t"), F.shiftrightunsigned(F.xxhash64(key, text, F.lit(7)), 1).alias("u"))
+    # a row a language: texts must not shuffle to meet it
+    upto = F.broadcast(upto) if len(counts) <= LABELS else upto
     passed = hashed.join(upto, (F.col("lang") == F.col("k_lang")) & (F.col("u") <= F.col("upto")))
     cut = [
         F.substring("t", F.pmod(F.xxhash64("k", F.lit(i)), F.greatest(F.lit(1), F.length("t") - WINDOW)).cast("int") + 1, F.lit(WINDOW))

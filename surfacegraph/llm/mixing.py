@@ -55,7 +55,7 @@ def _numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
         bases.append((r[part], total))
         total += r["count"]
     bases = df.sparkSession.createDataFrame(bases, f"{part} int, {base} long")
-    return placed.withColumn(part, part_of).join(bases, part).withColumn(name, F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, base)
+    return placed.withColumn(part, part_of).join(F.broadcast(bases), part).withColumn(name, F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, base)
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3.0) -> DataFrame:
