@@ -100,8 +100,8 @@ def link_components(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> Da
     )
     named = written(named, "named-members")
     sizes = named.groupBy("t", "key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    open_ = sizes.groupBy("t", "key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
-    todo = named.join(open_.select("t", "key", F.col("top.comp").alias("main"), F.col("top.m").alias("mains")), ["t", "key"])
+    open_ = sizes.groupBy("t", "key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("many")).where("comps > 1")
+    todo = join_groups(named, open_.select("t", "key", F.col("top.comp").alias("main"), F.col("top.m").alias("mains"), "many"), ["t", "key"], "many")
 
     # where a row goes in its bucket: rows of the dominant component to one
     # block, the others to every block of it and to each pair of their own
