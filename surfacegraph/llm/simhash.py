@@ -69,11 +69,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(radius: int, seed: int = 1) -> list[int]:
-    """The 2**(radius+1) - 1 covering masks, as signed 64-bit integers."""
+def masks(radius: int, seed: int = 1, bits: int = BITS) -> list[int]:
+    """The 2**(radius+1) - 1 covering masks of so many bits, as signed 64-bit integers."""
     rng = np.random.default_rng(seed)
     # each nonzero vector is used about equally often, so masks are balanced
-    vectors = [1 + int(i) % (2 ** (radius + 1) - 1) for i in rng.permutation(BITS)]
+    vectors = [1 + int(i) % (2 ** (radius + 1) - 1) for i in rng.permutation(bits)]
     out = []
     for v in range(1, 2 ** (radius + 1)):
         m = sum(1 << i for i, a in enumerate(vectors) if bin(a & v).count("1") % 2)
