@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, simhash, suffix_dedup, token_files, topk, url_filter, warc, workspace
+from . import exact_dedup, language_id, merkle, mixing, packing, simhash, sql, suffix_dedup, token_files, topk, url_filter, warc, workspace
 
 #: Rules of the URL query: (verdict, host/path).
 URL_RULES = (
@@ -75,6 +75,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle.manifest(table(spark, sf_dir, "documents"), columns, group="source", order="doc_id", arity=3, check={"text": text})
+    found = found.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("proof")))
+    proof = merkle.proof_digest(F.col("proof")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -87,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
+        "op12_merkle": op12_merkle,
     }
 
 
@@ -149,4 +160,4 @@ SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN first = pa
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": _TOP_K_ORACLE, "op3_warc": _warc_oracle(), "op5_exact_dedup": _EXACT_ORACLE, "op10_url_filter": _url_oracle()}
+    return {"op1_top_k": _TOP_K_ORACLE, "op3_warc": _warc_oracle(), "op5_exact_dedup": _EXACT_ORACLE, "op10_url_filter": _url_oracle(), "op12_merkle": sql.MERKLE}
