@@ -32,9 +32,6 @@ from pyspark.sql import functions as F
 from .hot import join_groups
 from .workspace import written
 
-#: Levels of a tree; three to the power of this is beyond any table.
-MOST_LEVELS = 64
-
 _NO_STEPS = "array()"
 _STEPS = "array<struct<before:binary,after:binary>>"
 
@@ -88,12 +85,15 @@ class Forest:
     roots: list[DataFrame]
 
 
-def build(nodes: DataFrame, arity: int) -> Forest:
-    """The trees over ``nodes`` (tree long, node long from 0, n long: nodes of the tree, digest binary)."""
+def build(nodes: DataFrame, most: int, arity: int) -> Forest:
+    """The trees over ``nodes`` (tree long, node long from 0, n long: nodes of the tree, digest binary); ``most``: the largest n."""
     forest = Forest([], [])
-    for _ in range(MOST_LEVELS):
+    while True:
         forest.roots.append(nodes.where("n = 1").select("tree", "digest"))
-        wide = nodes.where("n > 1").withColumn("parent", F.floor(F.col("node") / arity).cast("long"))
+        if most <= 1:
+            return forest
+        most = -(-most // arity)
+        wide = nodes.where("n > 1").withColumn("parent", F.expr(f"node div {int(arity)}"))
         run = Window.partitionBy("tree", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         at = (F.col("node") % arity).cast("int")
         empty = F.lit(b"")
@@ -101,13 +101,10 @@ def build(nodes: DataFrame, arity: int) -> Forest:
         joined = joined.withColumn("before", F.aggregate(F.slice("run", F.lit(1), at), empty, lambda a, d: F.concat(a, d)))
         joined = joined.withColumn("after", F.aggregate(F.slice("run", at + 2, F.lit(arity)), empty, lambda a, d: F.concat(a, d)))
         level = written(joined.drop("run"), "merkle-level")
-        if level.limit(1).isEmpty():
-            return forest
         forest.levels.append(level)
         whole = F.concat("before", "digest", "after")
-        nodes = level.select("tree", F.col("parent").alias("node"), F.ceil(F.col("n") / arity).cast("long").alias("n"), _hash(whole).alias("digest"))
+        nodes = level.select("tree", F.col("parent").alias("node"), F.expr(f"(n + {arity - 1}) div {int(arity)}").alias("n"), _hash(whole).alias("digest"))
         nodes = nodes.dropDuplicates(["tree", "node"])
-    raise RuntimeError(f"a tree has more than {MOST_LEVELS} levels")
 
 
 def proofs(forest: Forest, ends: DataFrame) -> DataFrame | None:
@@ -149,7 +146,8 @@ def manifest(rows: DataFrame, columns: list[str], group: str, order: str, arity:
         F.unhex(claimed).alias("claimed"),
     )
     keyed = [F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("digest").asc()]
-    placed = written(places(narrow, keyed, "place"), "merkle-leaves")
+    # the range partition reads its input twice, so texts are hashed before
+    placed = written(places(written(narrow, "merkle-hashed"), keyed, "place"), "merkle-places")
 
     groups = placed.groupBy("group").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
     groups = written(places(groups, [F.col("group").asc_nulls_first()], "tree"), "merkle-groups")
@@ -159,14 +157,17 @@ def manifest(rows: DataFrame, columns: list[str], group: str, order: str, arity:
     leaves = join_groups(owned, facts, ["named"], "n").withColumn("node", F.col("place") - F.col("start"))
     leaves = written(leaves.select("tree", "node", "n", "key", "digest", "claimed"), "merkle-leaves")
 
-    trees = build(leaves.select("tree", "node", "n", "digest"), arity)
+    sizes = groups.agg(F.count(F.lit(1)), F.max("n")).first()
+    many, most = sizes[0], sizes[1] or 0
+    trees = build(leaves.select("tree", "node", "n", "digest"), most, arity)
     subroots = trees.roots[0]
     for more in trees.roots[1:]:
         subroots = subroots.unionByName(more)
     subroots = written(subroots, "merkle-subroots")
-    many = subroots.count()
-    top = build(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.lit(many).cast("long").alias("n"), "digest"), arity)
-    last = next((found for found in (r.first() for r in reversed(top.roots)) if found), None)
+    top = build(
+        subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), F.lit(many).cast("long").alias("n"), "digest"), many, arity
+    )
+    last = top.roots[-1].first()
     root = F.lit(None if last is None else bytes(last["digest"]).hex()).cast("string")
 
     none = F.expr(_NO_STEPS).cast(_STEPS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, merkle, mixing, packing, simhash, sql, suffix_dedup, token_files, topk, url_filter, warc, workspace
+from . import byte_bpe, exact_dedup, language_id, merkle, mixing, packing, simhash, sql, suffix_dedup, token_files, topk, url_filter, warc, workspace
 
 #: Rules of the URL query: (verdict, host/path).
 URL_RULES = (
@@ -85,6 +85,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    back = byte_bpe.decode(coded.drop("text"), path)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -98,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
         "op12_merkle": op12_merkle,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
