@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, merkle, mixing, packing, simhash, sql, suffix_dedup, token_files, topk, url_filter, warc, workspace
+from . import byte_bpe, exact_dedup, language_id, merkle, mixing, packing, simhash, spelling, sql, suffix_dedup, token_files, topk, url_filter, warc, workspace
 
 #: Rules of the URL query: (verdict, host/path).
 URL_RULES = (
@@ -75,6 +75,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def misspelled(run: Column) -> Column:
+        """One run in 199, told by a checksum, lacks a character."""
+        h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run))
+        at = (h % F.char_length(run)).cast("int")
+        return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))).otherwise(run)
+
+    words = spelling.count_words(table(spark, sf_dir, "documents"), least=6, n=5, spelled=misspelled, shrinks=1)
+    return spelling.variants(words, ratio=5)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     text = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -106,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
+        "op11_spelling": op11_spelling,
         "op12_merkle": op12_merkle,
         "op13_byte_bpe": op13_byte_bpe,
     }
@@ -170,4 +182,4 @@ SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN first = pa
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": _TOP_K_ORACLE, "op3_warc": _warc_oracle(), "op5_exact_dedup": _EXACT_ORACLE, "op10_url_filter": _url_oracle(), "op12_merkle": sql.MERKLE}
+    return {"op1_top_k": _TOP_K_ORACLE, "op3_warc": _warc_oracle(), "op5_exact_dedup": _EXACT_ORACLE, "op10_url_filter": _url_oracle(), "op11_spelling": sql.SPELLING, "op12_merkle": sql.MERKLE}

@@ -59,3 +59,29 @@ WITH RECURSIVE t AS ({CRC_TABLE}),
   root AS (SELECT level, digest FROM tops WHERE n = 1)
 SELECT doc_id, leaf, s.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.digest AS verified
 FROM leaves l JOIN subroots s USING (tree) JOIN over o USING (key) JOIN root ON o.level = root.level"""
+
+
+_BYTES = "flatten([CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END FOR c IN string_split(told, '')])"
+
+SPELLING = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+  runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{6,}}')) AS run FROM documents),
+  seen AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS many FROM runs GROUP BY ALL),
+  told AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS told FROM seen),
+  summed AS (SELECT run, many, {crc32(_BYTES)} AS h FROM told, t),
+  spelled AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, many
+          FROM summed),
+  words AS (SELECT word, CAST(sum(many) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(many) >= 5),
+  places AS (SELECT word, n, unnest(range(length(word))) AS p FROM words),
+  cut AS (SELECT word, n, p, left(word, CAST(p AS INT)) || substr(word, CAST(p AS INT) + 2) AS rest FROM places),
+  pairs AS (SELECT a.word AS word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+  ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs),
+  forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+          FROM words w LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (word)),
+  walk(word, reached, form) AS (
+    SELECT word, word, form FROM forms
+    UNION ALL
+    SELECT walk.word, walk.form, f.form FROM walk JOIN forms f ON f.word = walk.form)
+SELECT f.word, f.form, reached AS root, n, n_near, form_n FROM forms f JOIN walk w ON f.word = w.word AND w.form IS NULL"""
