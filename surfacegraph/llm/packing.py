@@ -29,16 +29,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words: int = 300_000
+) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces only where longer than ``capacity``.
 
-    ``nth`` counts the pieces of one length within the task ``part``.
+    ``nth`` counts the pieces of one length within the task ``part``; ``words``
+    bounds a worker's table of known words, not the result.
     """
     bound_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        codec, part = encoder(tokenizer), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer, words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in by_bytes(batches, 1):
             rows: list[list] = [[], [], [], [], [], []]
@@ -263,19 +266,21 @@ def _take(slots: list[list[int]], left: np.ndarray, m: int, kinds: list, capacit
     return m
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", words: int = 300_000
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     A null text counts as empty: its one piece is ``end_id``. Repeated rows
     and null ids are packed as documents of their own. An empty table gives an
-    empty result. Only the two named columns are read.
+    empty result. Only the two named columns are read. ``words``: see :func:`pieces`.
 
     One narrow table is written; texts never shuffle. A rank is a task's base
     for the length (a running sum over tasks) and the piece's number within
     the task, so a length that a third of all pieces share is no hot group.
     """
     spark = docs.sparkSession
-    table = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    table = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, words), "pieces")
     per_task = table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     bases = per_task.select(
         "length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base")

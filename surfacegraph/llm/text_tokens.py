@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .workspace import settle
+
 #: ASCII marks that form a token group of their own after a letter or digit.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -171,8 +173,10 @@ def release() -> None:
     _encoders.clear()
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process, kept between tasks."""
+def encoder(path: str, limit: int = 300_000) -> ChunkEncoder:
+    """One encoder a worker process, kept between tasks. ``limit``: words that it keeps, twice at most."""
     if path not in _encoders:
+        settle()  # what the worker did before has left memory that no one uses
         _encoders[path] = ChunkEncoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]

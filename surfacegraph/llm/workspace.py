@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +30,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders of the blocks of :func:`transient` around the running code, the innermost last; each thread has its own.
+_blocks: ContextVar[tuple[str, ...]] = ContextVar("blocks", default=())
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}"
+
+
+def _in(folder: str, label: str) -> str:
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    path = f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    _made[path] = False
-    return path
+    """A path in the shared folder that nothing has used yet; it goes with the block of :func:`transient` around it."""
+    return _in((_blocks.get() or (_folder(spark),))[-1], label)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,10 +53,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage: what reads the result never recomputes ``df``, and the
     files outlive the executors that wrote them.
     """
-    spark = df.sparkSession
-    path = new_path(spark, label)
+    return _stored(df, new_path(df.sparkSession, label))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -60,30 +73,28 @@ def transient(spark: SparkSession) -> Iterator[None]:
     """Removes, at the end, the working tables that were made inside.
 
     For a step whose result has been written elsewhere: nothing may read the
-    tables any more. :func:`written` inside is made to outlive the block by
-    ``keep``.
+    tables any more. They have a folder of their own, which goes whether the
+    block ends or raises; blocks of other threads, or around this one, keep
+    theirs. ``keep`` makes a table that outlives the block.
     """
-    before = set(_made)
-    yield
-    for path in [p for p in _made if p not in before]:
-        if not _made.pop(path):
-            delete(spark, path)
+    folder = _in((_blocks.get() or (_folder(spark),))[-1], "block")
+    token = _blocks.set((*_blocks.get(), folder))
+    try:
+        yield
+    finally:
+        _blocks.reset(token)
+        delete(spark, folder)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """:func:`written`, to a table that :func:`transient` leaves."""
-    out = written(df, label)
-    _made[next(reversed(_made))] = True
-    return out
-
-
-#: Paths of working tables and files, in order, and whether they are to stay.
-_made: dict[str, bool] = {}
+    """:func:`written`, to a table that the innermost :func:`transient` leaves."""
+    around = _blocks.get()[:-1] or (_folder(df.sparkSession),)
+    return _stored(df, _in(around[-1], label))
 
 
 def clear(spark: SparkSession) -> None:
     """Remove all working tables of this application."""
-    delete(spark, f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}")
+    delete(spark, _folder(spark))
 
 
 def _filesystem(uri: str):
