@@ -13,6 +13,11 @@ def rect(x, y, w, h) -> Column:
     return F.struct(*[col(v).cast("double").alias(n) for n, v in zip(names, (x, y, w, h), strict=True)])
 
 
+def point(r: Column) -> Column:
+    """The corner where a rectangle begins, as one without an extent."""
+    return rect(r["x"], r["y"], F.lit(0), F.lit(0))
+
+
 def right(r: Column) -> Column:
     return r["x"] + r["w"]
 

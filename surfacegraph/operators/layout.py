@@ -17,7 +17,7 @@ from ..functions.css import style, styled
 from ..functions.geometry import rect, union_all
 from ..functions.js import col, includes, is_, js_round, number_or, one_of, parse_float, parse_int, truthy
 from ..plans.lineage import cut
-from .spatial import cells
+from .quadtree import grouped
 
 # Fixed values of the rules.
 ALIGN = 2
@@ -343,9 +343,10 @@ def component_groups(nodes: DataFrame) -> DataFrame:
     )
     taken = first.select("page_id", F.explode("member_ids").alias("id")).distinct()
     free = cut(nodes.select("page_id", "id", "seq", "rect", "style").join(taken, ["page_id", "id"], "left_anti"))
-    c = cells(free.select("page_id", "id", "seq", "rect"), reach=0)
-    flat = c.select("page_id", "gx", "gy", "seq", "rect.x", "rect.y", "rect.w", "rect.h")
-    links = cut(flat.groupBy("page_id", "gx", "gy").applyInArrow(_cell_links, "page_id string, a long, b long").distinct())
+    c = grouped(free.select("page_id", "seq", "rect").where((r["w"] > 0) & (r["h"] > 0)), r, "seq")
+    cell = ["page_id", "q_level", "q_x", "q_y", "q_block"]
+    flat = c.select(*cell, "seq", "rect.x", "rect.y", "rect.w", "rect.h")
+    links = cut(flat.groupBy(*cell).applyInArrow(_cell_links, "page_id string, a long, b long").distinct())
     labels = spread_least(links)
     named = free.join(labels, ["page_id", "seq"])
     area = r["w"] * r["h"]

@@ -17,8 +17,8 @@ from ..functions.css import styled
 from ..functions.geometry import area, intersection, rect
 from ..functions.js import is_, js_round, one_of, parse_float, to_fixed, yes
 from ..plans.lineage import cut
+from .quadtree import meet
 
-GRID = 256
 #: Fixed value: below this visible share a node counts as occluded.
 LEAST_VISIBLE = 0.5
 
@@ -111,24 +111,20 @@ def occluders(nodes: DataFrame) -> DataFrame:
     ``nodes``: page_id, id, rect, clip, rank, occludes. A node's descendants do
     not occlude it; subtract them with :func:`occlusion`.
     """
-    def cells(df: DataFrame, name: str) -> DataFrame:
+    def extended(df: DataFrame, name: str) -> DataFrame:
         r = F.col(name)
-        span = lambda a, s: F.sequence(F.floor(a / GRID), F.floor((a + s) / GRID))
-        return df.where(r.isNotNull() & (r["w"] > 0) & (r["h"] > 0)).withColumn("gx", F.explode(span(r["x"], r["w"]))).withColumn("gy", F.explode(span(r["y"], r["h"])))
+        return df.where(r.isNotNull() & (r["w"] > 0) & (r["h"] > 0))
 
-    low = cells(nodes.select("page_id", "id", "clip", F.col("rank").alias("rank")), "clip")
-    high = cells(nodes.where("occludes").select("page_id", F.col("id").alias("other"), F.col("rect").alias("o_rect"), F.col("rank").alias("o_rank")), "o_rect")
+    low = extended(nodes.select("page_id", "id", "clip", F.col("rank").alias("rank")), "clip")
+    high = extended(nodes.where("occludes").select("page_id", F.col("id").alias("other"), F.col("rect").alias("o_rect"), F.col("rank").alias("o_rank")), "o_rect")
     a, b = F.col("rank"), F.col("o_rank")
     above = (b["z"] > a["z"]) | (
         (b["z"] == a["z"]) & ((b["context"] > a["context"]) | ((b["context"] == a["context"]) & (b["floating"] > a["floating"])))
     )
     cover = intersection(F.col("clip"), F.col("o_rect"))
-    one_cell = (F.floor(F.greatest(F.col("clip.x"), F.col("o_rect.x")) / GRID) == F.col("gx")) & (
-        F.floor(F.greatest(F.col("clip.y"), F.col("o_rect.y")) / GRID) == F.col("gy")
-    )
     return (
-        low.join(high, ["page_id", "gx", "gy"])
-        .where(one_cell & (F.col("id") != F.col("other")) & above)
+        meet(low, high, "clip", "o_rect")
+        .where((F.col("id") != F.col("other")) & above)
         .select("id", "other", cover.alias("cover"))
         .where("cover is not null")
     )

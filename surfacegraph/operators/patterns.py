@@ -2,7 +2,7 @@
 dismiss buttons, form groups and toasts.
 
 Six patterns look at one node; two look at other nodes of the page, and those
-meet through grid cells.
+meet through the cells of a page.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.css import styled, translucent
-from ..functions.geometry import bottom, right
+from ..functions.geometry import bottom, point, rect, right
 from ..functions.js import includes, is_, number_or, one_of, yes
-from .spatial import GRID, cells
+from .quadtree import meet
 
 # Fixed values of the rules.
 INTERACTIVE = ("button", "link", "checkbox", "radio", "switch", "tab", "menuitem", "combobox", "textbox", "spinbutton")
@@ -78,16 +78,15 @@ def _corner_buttons(nodes: DataFrame) -> DataFrame:
     s, r = F.col("style"), F.col("rect")
     small = nodes.where(is_(F.lower("role"), "button") & (r["w"] <= 50) & (r["h"] <= 50))
     # the corner that a holder offers is a box of 60 by 60; a button is in it by its own corner
-    at = small.select("page_id", "id", "rect", F.floor(r["x"] / GRID).alias("gx"), F.floor(r["y"] / GRID).alias("gy"))
     x1 = right(r)
-    span = lambda a, z: F.sequence(F.floor(a / GRID), F.floor(z / GRID))
-    holders = nodes.select("page_id", F.col("id").alias("holder"), r.alias("o")).withColumn("o_right", F.col("o.x") + F.col("o.w"))
-    holders = holders.withColumn("gx", F.explode(span(F.col("o_right") - 60, F.col("o_right") + 10))).withColumn("gy", F.explode(span(F.col("o.y"), F.col("o.y") + 60)))
+    at = small.select("page_id", "id", r.alias("rect"), point(r).alias("corner"))
+    holders = nodes.select("page_id", F.col("id").alias("holder"), r.alias("o"))
     o = F.col("o")
+    holders = holders.withColumn("offered", rect(right(o) - 61, o["y"] - 1, F.lit(72), F.lit(62)))
     inside = (
         (r["x"] >= o["x"]) & (r["y"] >= o["y"]) & (x1 <= right(o) + 10) & (bottom(r) <= bottom(o)) & (r["x"] >= right(o) - 60) & (r["y"] <= o["y"] + 60)
     )
-    return at.join(holders, ["page_id", "gx", "gy"]).where((F.col("id") != F.col("holder")) & inside).select("id").distinct()
+    return meet(at, holders, "corner", "offered", high_key="holder").where((F.col("id") != F.col("holder")) & inside).select("id").distinct()
 
 
 def _form_groups(nodes: DataFrame) -> DataFrame:
@@ -95,16 +94,16 @@ def _form_groups(nodes: DataFrame) -> DataFrame:
     role = F.lower(F.coalesce("role", F.lit("")))
     groups = nodes.where(role.isin("group", "form") | one_of("container_type", ("container", "wrapper")))
     r = F.col("rect")
-    spread = cells(groups.select("page_id", "id", F.struct((r["x"] - 5).alias("x"), (r["y"] - 5).alias("y"), (r["w"] + 10).alias("w"), (r["h"] + 10).alias("h")).alias("rect")), reach=0)
-    holders = spread.select("page_id", "id", F.col("rect").alias("g"), "gx", "gy")
+    # what counts as inside may begin, and end, at the edge
+    around = rect(r["x"] - 5, r["y"] - 5, r["w"] + 10, r["h"] + 10)
+    holders = groups.where((r["w"] > -10) & (r["h"] > -10)).select("page_id", "id", around.alias("g"))
     s = F.col("style")
     like_input = is_(s["cursor"], "text") | is_(s["cursor"], "pointer")
-    others = nodes.select("page_id", F.col("id").alias("other"), r.alias("o"), like_input.alias("input"), F.floor(r["x"] / GRID).alias("gx"), F.floor(r["y"] / GRID).alias("gy"))
+    others = nodes.select("page_id", F.col("id").alias("other"), r.alias("o"), point(r).alias("corner"), like_input.alias("input"))
     g, o = F.col("g"), F.col("o")
     inside = (o["x"] >= g["x"]) & (o["y"] >= g["y"]) & (right(o) <= right(g)) & (bottom(o) <= bottom(g))
-    return (
-        holders.join(others, ["page_id", "gx", "gy"]).where((F.col("id") != F.col("other")) & inside).groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.max("input").alias("has_input"))
-    )
+    met = meet(holders, others, "g", "corner").where((F.col("id") != F.col("other")) & inside)
+    return met.groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.max("input").alias("has_input"))
 
 
 def patterns(nodes: DataFrame, viewport_w: float = 1440, viewport_h: float = 900) -> DataFrame:
