@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.urls import canonical_url, in_scope, origin, prefixes
-from .operators import govern, hierarchy, layout, occlusion, patterns, regression, report, select, spatial, state, tokens, traverse, viewport
+from .operators import govern, hierarchy, labels, layout, occlusion, patterns, regression, report, select, spatial, state, tokens, traverse, viewport
 from .plans import derive
 from .plans.catalog import Catalog, add_observation, last_wins
 from .sources import html
@@ -165,14 +165,30 @@ def _(spark, sf):
     return traverse.reachable(derive.tree_edges(spark, sf), "r1", None, 3)
 
 
+def tree_labels(spark, sf) -> DataFrame:
+    return labels.from_edges(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "a11y:child-of")
+
+
 @query("t_descendants", f"{TREE}, n AS ({derive.tree_nodes_sql()}), {REACH.format(n=2)} SELECT r.id, CAST(hops AS INT) AS hops, name FROM r JOIN n USING (id) WHERE hops > 0")
 def _(spark, sf):
-    return traverse.descendants(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "r1", "a11y:child-of", 2).select("id", "hops", "name")
+    nodes = derive.tree_nodes(spark, sf)
+    return labels.descendants(tree_labels(spark, sf), "r1", 2).join(nodes, "id").select("id", "hops", "name")
 
 
 @query("t_ancestors", f"{TREE}, n AS ({derive.tree_nodes_sql()}), r(id, hops) AS (SELECT 'o1', 0 UNION ALL SELECT e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.id WHERE r.hops < 5) SELECT r.id, CAST(hops AS INT) AS hops, name FROM r JOIN n USING (id) WHERE hops > 0")
 def _(spark, sf):
-    return traverse.ancestors(derive.tree_nodes(spark, sf), derive.tree_edges(spark, sf), "o1", "a11y:child-of", 5).select("id", "hops", "name")
+    nodes = derive.tree_nodes(spark, sf)
+    return labels.ancestors(tree_labels(spark, sf), "o1", 5).join(nodes, "id").select("id", "hops", "name")
+
+
+@query(
+    "t_intervals",
+    f"{TREE}, n AS ({derive.tree_nodes_sql()}), p(id, path) AS (SELECT id, [{{'s': 0, 'i': id}}] FROM n WHERE id NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, list_append(p.path, {{'s': e.seq, 'i': e.dst}}) FROM p JOIN e ON e.src = p.id), "
+    "o AS (SELECT id, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS pre FROM p), a AS (SELECT unnest(path).i AS above FROM p), s AS (SELECT above AS id, count(*) AS size FROM a GROUP BY above) "
+    "SELECT id, pre, pre + size - 1 AS last, depth FROM o JOIN s USING (id)",
+)
+def _(spark, sf):
+    return tree_labels(spark, sf)
 
 
 @query("t_children", f"{TREE}, n AS ({derive.tree_nodes_sql()}) SELECT n.id, name FROM e JOIN n ON n.id = e.dst WHERE src = 'n5'")

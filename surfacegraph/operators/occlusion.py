@@ -1,22 +1,25 @@
 """Occlusion of visual nodes: paint order, clipping and uncovered area.
 
-Candidates come from the same grid cells; the covered area of a node is the
-area of a union of rectangles, found by coordinate compression: the covers'
-edges cut the node into strips, and each strip's covered length is a merge of
-intervals.
+Candidates come from the same cells of a page. The covered area of a node is
+that of a union of rectangles: regions with many covers are quartered until one
+cover hides them or few are left, and those are measured by coordinate
+compression: the covers' edges cut the region into strips, and each strip's
+covered length is a merge of intervals.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.css import styled
-from ..functions.geometry import area, intersection, rect
+from ..functions.geometry import area, bottom, intersection, rect, right
 from ..functions.js import is_, js_round, one_of, parse_float, to_fixed, yes
 from ..plans.lineage import cut
+from .labels import climb, intervals
 from .quadtree import meet
 
 #: Fixed value: below this visible share a node counts as occluded.
@@ -68,21 +71,17 @@ def clipped(nodes: DataFrame, viewport_w: float = 1440, viewport_h: float = 900)
     """``nodes`` with ``clip``: what viewport and clipping ancestors leave (null if nothing).
 
     ``nodes``: page_id, id, parent, rect, padding_box (or null), style, is_scroll.
-    Clipping by several boxes is clipping by their intersection, so one
-    aggregation over the ancestors does it in any order.
+    Clipping by several boxes is clipping by their intersection, so bounds are
+    combined along the parents in any order: see :func:`labels.climb`.
     """
-    clips = nodes.where(yes("is_scroll") | one_of(F.col("style")["overflow"], ("hidden", "scroll", "auto"))).select(
-        F.col("id").alias("ancestor"), F.coalesce("padding_box", "rect").alias("box")
-    )
-    box = F.col("box")
-    bound = (
-        ancestors(nodes.select("id", "parent"))
-        .join(clips, "ancestor")
-        .groupBy("id")
-        .agg(
-            F.max(box["x"]).alias("x0"), F.max(box["y"]).alias("y0"), F.min(box["x"] + box["w"]).alias("x1"), F.min(box["y"] + box["h"]).alias("y1")
-        )
-    )
+    clips = yes("is_scroll") | one_of(F.col("style")["overflow"], ("hidden", "scroll", "auto"))
+    box = F.coalesce("padding_box", "rect")
+    bounds = {"x0": box["x"], "y0": box["y"], "x1": box["x"] + box["w"], "y1": box["y"] + box["h"]}
+    own = nodes.select(F.col("id").alias("up"), *[F.when(clips, v).alias(c) for c, v in bounds.items()])
+    # a node starts with the bounds of its parent: its own box does not clip it
+    first = nodes.where("parent is not null").select("id", F.col("parent").alias("up")).join(own, "up")
+    bound = nodes.select("id").join(first, "id", "left").select("id", "up", *bounds)
+    bound = climb(bound, {"x0": F.greatest, "y0": F.greatest, "x1": F.least, "y1": F.least}).drop("up")
     r = F.col("rect")
     view = intersection(r, rect(F.lit(0), F.lit(0), F.lit(viewport_w), F.lit(viewport_h)))
     limit = rect("x0", "y0", F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -91,8 +90,8 @@ def clipped(nodes: DataFrame, viewport_w: float = 1440, viewport_h: float = 900)
     return joined.withColumn("clip", F.when((r["w"] > 0) & (r["h"] > 0), clip)).drop("x0", "y0", "x1", "y1")
 
 
-def covered_area(clip: np.ndarray, covers: np.ndarray) -> float:
-    """Area of ``clip`` (x, y, w, h) under the union of ``covers``, which lie within it."""
+def covered_area(covers: np.ndarray) -> float:
+    """Area of the union of rectangles (x, y, w, h)."""
     xs = np.unique(np.r_[covers[:, 0], covers[:, 0] + covers[:, 2]])
     total = 0.0
     for x0, x1 in zip(xs[:-1], xs[1:]):
@@ -105,18 +104,67 @@ def covered_area(clip: np.ndarray, covers: np.ndarray) -> float:
     return float(total)
 
 
-def occluders(nodes: DataFrame) -> DataFrame:
+#: Covers of a region that are measured at once; a region with more is quartered.
+MOST_COVERS = 256
+#: Times that a region is quartered; what is left then is measured however many covers it has.
+QUARTERINGS = 12
+
+
+def covered_areas(covers: DataFrame, most: int = MOST_COVERS) -> DataFrame:
+    """(id, covered): the area of ``clip`` under the union of the covers, of ``covers`` (id, clip, cover).
+
+    A region is done as soon as one cover hides all of it, or when it has few
+    covers, which are measured in one sweep. Others are quartered, and covers go
+    to the quarters that they reach, so no list of all covers of a node is made.
+    """
+    key = ["id", "region"]
+    rows = covers.select("id", F.col("clip").alias("region"), intersection(F.col("clip"), F.col("cover")).alias("cover")).where("cover is not null")
+    done = None
+    g, c = F.col("region"), F.col("cover")
+    for turn in range(QUARTERINGS + 1):
+        rows = cut(rows.distinct())
+        whole = (c["x"] <= g["x"]) & (c["y"] <= g["y"]) & (right(c) >= right(g)) & (bottom(c) >= bottom(g))
+        held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(whole).alias("hidden"))
+        hidden = held.where("hidden").select("id", area(g).alias("covered"))
+        few = F.lit(True) if turn == QUARTERINGS else F.col("n") <= most
+        lists = rows.join(held.where(~F.col("hidden") & few).select(key), key).groupBy(key).agg(F.collect_list("cover").alias("covers"))
+        measured = hidden.unionAll(lists.select("id", "covers").mapInArrow(_measure, "id string, covered double"))
+        done = measured if done is None else done.unionAll(measured)
+        crowded = held.where(~F.col("hidden") & ~few).select(key)
+        if turn == QUARTERINGS or crowded.isEmpty():
+            return done.groupBy("id").agg(F.sum("covered").alias("covered"))
+        half_w, half_h = g["w"] / 2, g["h"] / 2
+        quarters = F.array(*[rect(g["x"] + i * half_w, g["y"] + j * half_h, half_w, half_h) for i in (0, 1) for j in (0, 1)])
+        parts = rows.join(crowded, key).select("id", F.explode(quarters).alias("region"), "cover")
+        rows = parts.withColumn("cover", intersection(g, c)).where("cover is not null")
+
+
+def _measure(batches):
+    """Areas under lists of rectangles, read from the columns of the lists."""
+    for b in batches:
+        lists = b.column("covers")
+        flat = lists.flatten()
+        boxes = np.column_stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]) if len(flat) else np.empty((0, 4))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+        found = [covered_area(boxes[a:z]) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.float64())], names=["id", "covered"])
+
+
+def occluders(nodes: DataFrame, exempt: Column | None = None) -> DataFrame:
     """(id, other, cover): nodes painted above another, with the common rectangle.
 
-    ``nodes``: page_id, id, rect, clip, rank, occludes. A node's descendants do
-    not occlude it; subtract them with :func:`occlusion`.
+    ``nodes``: page_id, id, rect, clip, rank, occludes, and perhaps a number
+    ``pre``. Pairs for which ``exempt`` holds, of the columns of the lower node
+    and ``o_pre`` of the upper, are left out.
     """
     def extended(df: DataFrame, name: str) -> DataFrame:
         r = F.col(name)
         return df.where(r.isNotNull() & (r["w"] > 0) & (r["h"] > 0))
 
-    low = extended(nodes.select("page_id", "id", "clip", F.col("rank").alias("rank")), "clip")
-    high = extended(nodes.where("occludes").select("page_id", F.col("id").alias("other"), F.col("rect").alias("o_rect"), F.col("rank").alias("o_rank")), "o_rect")
+    labelled = [c for c in ("pre", "last") if c in nodes.columns]
+    low = extended(nodes.select("page_id", "id", "clip", "rank", *labelled), "clip")
+    upper = [F.col("id").alias("other"), F.col("rect").alias("o_rect"), F.col("rank").alias("o_rank")]
+    high = extended(nodes.where("occludes").select("page_id", *upper, *[F.col(c).alias("o_pre") for c in labelled[:1]]), "o_rect")
     a, b = F.col("rank"), F.col("o_rank")
     above = (b["z"] > a["z"]) | (
         (b["z"] == a["z"]) & ((b["context"] > a["context"]) | ((b["context"] == a["context"]) & (b["floating"] > a["floating"])))
@@ -124,7 +172,7 @@ def occluders(nodes: DataFrame) -> DataFrame:
     cover = intersection(F.col("clip"), F.col("o_rect"))
     return (
         meet(low, high, "clip", "o_rect")
-        .where((F.col("id") != F.col("other")) & above)
+        .where((F.col("id") != F.col("other")) & above & (F.lit(True) if exempt is None else ~exempt))
         .select("id", "other", cover.alias("cover"))
         .where("cover is not null")
     )
@@ -139,21 +187,14 @@ def occlusion(nodes: DataFrame, viewport_w: float = 1440, viewport_h: float = 90
     base = clipped(nodes, viewport_w, viewport_h)
     s = F.col("style")
     base = base.withColumn("rank", paint_rank(s, F.col("is_stacking"), F.col("z"))).withColumn("occludes", can_occlude(s, F.col("has_children")))
-    above = occluders(base)
-    family = ancestors(nodes.select("id", "parent")).select(F.col("ancestor").alias("id"), F.col("id").alias("other"))
-    above = above.join(family, ["id", "other"], "left_anti")
-    covers = above.groupBy("id").agg(F.sort_array(F.collect_list("other")).alias("occluded_by"), F.collect_list("cover").alias("covers"))
-
-    def measure(batches):
-        for b in batches:
-            out = []
-            for clip, covers_ in zip(b.column("clip").to_pylist(), b.column("covers").to_pylist(), strict=True):
-                c = np.array([[r["x"], r["y"], r["w"], r["h"]] for r in covers_ or ()], float).reshape(-1, 4)
-                out.append(covered_area(np.array(list(clip.values())), c) if clip and len(c) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("area"), b.column("clip"), b.column("occluded_by"), pa.array(out, pa.float64())], names=["id", "area", "clip", "occluded_by", "covered"])
-
-    rows = base.join(covers, "id", "left").select("id", area(F.col("rect")).alias("area"), "clip", "occluded_by", "covers")
-    got = rows.mapInArrow(measure, "id string, area double, clip struct<x:double,y:double,w:double,h:double>, occluded_by array<string>, covered double")
+    base = cut(base)
+    # a node's subtree does not occlude it
+    named = intervals(base.select("page_id", "id", "parent", F.lit(0).alias("order"))).select("id", "pre", "last")
+    above = cut(occluders(base.join(named, "id"), F.col("o_pre").between(F.col("pre"), F.col("last"))))
+    by = above.groupBy("id").agg(F.sort_array(F.collect_list("other")).alias("occluded_by"))
+    covered = covered_areas(above.join(base.select("id", "clip"), "id"))
+    got = base.join(by, "id", "left").join(covered, "id", "left")
+    got = got.select("id", area(F.col("rect")).alias("area"), "clip", "occluded_by", F.coalesce("covered", F.lit(0.0)).alias("covered"))
     free = F.when(F.col("clip").isNull(), 0.0).otherwise(area(F.col("clip")) - F.col("covered"))
     ratio = F.when(F.col("area") > 0, to_fixed(F.greatest(F.lit(0.0), F.least(F.lit(1.0), free / F.col("area"))), 4)).otherwise(0.0)
     return got.select(
