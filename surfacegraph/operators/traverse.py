@@ -104,19 +104,58 @@ WITH RECURSIVE r(id, hops) AS (
 SELECT id, min(hops) AS hops FROM r WHERE id <> '{quoted}' GROUP BY id"""
 
 
+def meet_in_the_middle(edges: DataFrame, start: str, end: str, via=None, max_hops: int = 5) -> tuple[list[DataFrame], list[DataFrame]] | None:
+    """Levels (id) of nodes by their distance from ``start``, and to ``end``, up to where they meet; None if they do not within ``max_hops``.
+
+    The frontier with fewer nodes goes on. The last levels of both sides share
+    the nodes in the middle of the shortest paths.
+    """
+    spark = edges.sparkSession
+    one = lambda node: spark.createDataFrame([(node,)], "id string")
+    arcs = [_arcs(edges, via, reverse).select("at", "to").distinct() for reverse in (False, True)]
+    levels, seen, sizes = ([one(start)], [one(end)]), [one(start), one(end)], [1, 1]
+    for _ in range(max_hops):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        steps = levels[side][-1].select(F.col("id").alias("at")).join(arcs[side], "at").select(F.col("to").alias("id")).distinct()
+        level = cut(steps.join(seen[side], "id", "left_anti"))
+        sizes[side] = level.count()
+        if not sizes[side]:
+            return None
+        levels[side].append(level)
+        seen[side] = seen[side].unionByName(level)
+        if not level.join(levels[1 - side][-1], "id", "left_semi").isEmpty():
+            return levels
+    return None
+
+
 def find_path(edges: DataFrame, start: str, end: str, via=None, max_hops: int = 5) -> dict:
-    """The shortest path: found, cost (-1 if none) and hops {from, to, via, provenance}. The path is short, so it is collected."""
+    """The shortest path: found, cost (-1 if none) and hops {from, to, via, provenance}.
+
+    Of several it is the one that a queue finds first: at each node the
+    earliest edge that leads on in the steps that are left. The path is short,
+    so it is followed edge by edge.
+    """
     if start == end:
         return {"found": True, "cost": 0, "hops": []}
-    tree = search(edges, start, via, max_hops, until=end)
-    hops, at = [], end
-    while at != start:
-        row = tree.where(F.col("id") == at).first()
-        if row is None:
-            return {"found": False, "cost": -1, "hops": []}
-        hops.append({"from": row["parent"], "to": at, "via": row["kind"], "provenance": row["provenance"]})
-        at = row["parent"]
-    return {"found": True, "cost": len(hops), "hops": hops[::-1]}
+    met = meet_in_the_middle(edges, start, end, via, max_hops)
+    if met is None:
+        return {"found": False, "cost": -1, "hops": []}
+    forward, backward = met
+    arcs = _arcs(edges, via)
+    # nodes of the forward levels from which the middle is reached in time
+    ahead = [cut(forward[-1].join(backward[-1], "id", "left_semi"))]
+    for level in forward[-2:0:-1]:
+        before = arcs.join(ahead[0].select(F.col("id").alias("to")), "to", "left_semi").select(F.col("at").alias("id"))
+        ahead.insert(0, cut(level.join(before, "id", "left_semi")))
+    # a side that never moved is the middle itself
+    ahead = (ahead if len(forward) > 1 else []) + backward[-2::-1]
+    hops, at = [], start
+    for level in ahead:
+        out = arcs.where(F.col("at") == at).join(level.select(F.col("id").alias("to")), "to", "left_semi")
+        row = out.orderBy("edge_seq", "to").first()
+        hops.append({"from": at, "to": row["to"], "via": row["kind"], "provenance": row["provenance"]})
+        at = row["to"]
+    return {"found": True, "cost": len(hops), "hops": hops}
 
 
 def find_ax_path(catalog: Catalog, start: str, end: str, via=None, max_hops: int = 5) -> dict:

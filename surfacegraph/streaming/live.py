@@ -1,17 +1,18 @@
-"""Streams of captured records: upserts, evidence, counters, rate windows, audit.
+"""Streams of captured records: upserts, counters, rate windows, audit. State by key is in :mod:`keyed`.
 
 Records arrive as JSON lines or as any streaming source with the same columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.catalog import last_wins
+from .keyed import evidence_states
+
+__all__ = ["attempts_by_window", "audit_sink", "auth_counts", "current", "evidence_states", "limited", "records", "upsert"]
 
 
 def records(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -99,39 +100,10 @@ def limited(windows: DataFrame, limit: int = 1000) -> DataFrame:
     return windows.withColumn("limited", F.col("attempts") > limit)
 
 
-def evidence_states(stream: DataFrame) -> DataFrame:
-    """(state_id, provenance, sources, first_observed_at) after each new piece of evidence.
-
-    State is kept by state id: the kinds and sources seen. Evidence that came
-    before changes nothing, so a replayed batch gives the same result.
-    ``stream``: state_id, kind, source_ax_id, at string.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def fold(key, frames, state):
-        seen, first = (set(map(tuple, state.get[0])), state.get[1]) if state.exists else (set(), None)
-        before = len(seen)
-        for f in frames:
-            seen |= set(zip(f["kind"].fillna(""), f["source_ax_id"].fillna(""), strict=True))
-            low = f["at"].dropna().min() if len(f) else None
-            first = low if first is None or (isinstance(low, str) and low < first) else first
-        state.update(([list(s) for s in sorted(seen)], first or ""))
-        if len(seen) > before:
-            kinds = {k.split(":")[0].split("-")[0] for k, _ in seen}
-            both = "declared+observed" if {"declared", "observed"} <= kinds else "observed" if "observed" in kinds else "declared"
-            yield pd.DataFrame({"state_id": [key[0]], "provenance": [both], "sources": [len(seen)], "first_observed_at": [first]})
-
-    return stream.groupBy("state_id").applyInPandasWithState(
-        fold, "state_id string, provenance string, sources int, first_observed_at string", "seen array<array<string>>, first string", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def audit_sink(stream: DataFrame, folder: str, checkpoint: str, chain: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends audit events to a folder of JSON lines, batch by batch."""
+def audit_sink(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Appends events to a folder of JSON lines, batch by batch. For a log whose events are chained see ``keyed.audit_log``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = chain(batch) if chain else batch
-        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").json(f"{folder}/batch={batch_id}")
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").json(f"{folder}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
