@@ -115,6 +115,23 @@ def _(spark, sf):
     return out
 
 
+@query(
+    "m_provenance",
+    "SELECT concat('http://', n_name) AS root_url, CASE WHEN n_nationkey % 3 = 0 THEN '2025' ELSE '2024' END AS started_at, CASE WHEN n_nationkey % 3 = 0 THEN 'b2' END AS build_version "
+    "FROM nation WHERE n_nationkey % 5 <> 1 UNION ALL SELECT concat('new://', r_name), '2025', 'b2' FROM region",
+)
+def _(spark, sf):
+    """Where graphs come from, after it was set for some roots, known and new, twice for some, and taken away from others."""
+    c = graph_json.from_documents(documents(spark, sf))
+    nation, region = derive.table(spark, sf, "nation"), derive.table(spark, sf, "region")
+    known = nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("http://"), "n_name").alias("root_url"))
+    roots = known.unionByName(region.select(F.concat(F.lit("new://"), "r_name").alias("root_url")))
+    one = lambda year, build: roots.withColumns({"started_at": F.lit(year), "build_version": F.lit(build)})
+    gone = nation.where("n_nationkey % 5 = 1").select(F.concat(F.lit("http://"), "n_name").alias("root_url"))
+    c = c.with_provenance(one("2023", "b1").unionByName(one("2025", "b2"))).without_provenance(gone)
+    return c.provenance().select("root_url", "started_at", "build_version")
+
+
 def working_folder(spark, label: str) -> str:
     """A new folder beside the checkpoints."""
     return f"{shared_root(spark)}/surfacegraph-{label}-{uuid.uuid4().hex}"
@@ -134,7 +151,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Pages of a catalog that was written as one document and read again."""
     c = graph_json.from_documents(documents(spark, sf))
-    small = Catalog(spark, {"pages": c.pages, "tokens": c.tokens.limit(1), "edges": c.edges})
+    small = Catalog(spark, {"pages": c.pages, "tokens": c.tokens.dropDuplicates(["path"]), "edges": c.edges})
     return graph_json.from_document(spark, graph_json.to_document(small)).pages.select("id", "title")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
+from .prefix import running_sum
 
 
 def last_wins(df: DataFrame, keys: list[str] | str = "id", order: str = "seq") -> DataFrame:
@@ -51,6 +52,21 @@ class Catalog:
         """Without the edges whose id is in ``ids(id)``."""
         return self.with_tables(edges=self.edges.join(ids, "id", "left_anti"))
 
+    def provenance(self, root_url: str | None = None) -> DataFrame:
+        """Where the catalog's graphs come from, one row a root; none for a graph that does not say."""
+        return self.meta if root_url is None else self.meta.where(F.col("root_url") == root_url)
+
+    def with_provenance(self, rows: DataFrame) -> Catalog:
+        """Sets the provenance of the roots in ``rows``, which replace what was there. Of several rows of one root the last to start counts."""
+        last = F.max_by(F.struct(*rows.columns), F.struct(F.col("started_at"), F.xxhash64(*rows.columns))).alias("m")
+        new = rows.groupBy("root_url").agg(last).select("m.*")
+        kept = self.meta.join(new.select("root_url"), self.meta["root_url"].eqNullSafe(new["root_url"]), "left_anti")
+        return self.with_tables(meta=kept.unionByName(new, allowMissingColumns=True))
+
+    def without_provenance(self, roots: DataFrame) -> Catalog:
+        """Takes away the provenance of the roots in ``roots(root_url)``."""
+        return self.with_tables(meta=self.meta.join(roots, "root_url", "left_anti").select(self.meta.columns))
+
     def views(self, prefix: str = "") -> None:
         """Registers every table as a temporary view."""
         for name in schema.TABLES:
@@ -142,8 +158,10 @@ def add_observation(observations: DataFrame, rows: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with ``seq`` by the order, within each page if it has one.
 
-    A running number over everything would need one task for all rows; the
-    order of rows of different pages is that of the page ids.
+    Rows of different pages have the order of the page ids. Without pages all
+    rows are sorted over the partitions and numbered from sums of these.
     """
-    w = Window.partitionBy("page_id").orderBy(*order) if "page_id" in df.columns else Window.orderBy(*order)
-    return df.withColumn("seq", F.row_number().over(w).cast("long"))
+    if "page_id" in df.columns:
+        return df.withColumn("seq", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)).cast("long"))
+    before = running_sum(df, [], list(order), F.lit(1).cast("long"), "seq")
+    return before.withColumn("seq", F.col("seq") + 1)
