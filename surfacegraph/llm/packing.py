@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from .text_tokens import encoder
 from .workspace import bound_batches, by_bytes, written
 
+#: Bytes of text that a worker turns into ids at a time.
+TEXT_BYTES = 2_000_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -43,7 +46,7 @@ def pieces(
     def run(batches):
         codec, part = encoder(tokenizer, words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for b in by_bytes(batches, 1):
+        for b in by_bytes(batches, 1, TEXT_BYTES):
             rows: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), strict=True):
                 ids += tail
