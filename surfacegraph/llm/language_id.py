@@ -208,6 +208,8 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
 
     ``und`` with score 0 where the text is null or has no letter. Repeated
     rows and null ids keep a row each; no column but the two named is read.
+    Of equal scores the language first in order counts. An empty table gives
+    an empty result.
     """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the network
@@ -227,7 +229,12 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language the network names with a score of at least ``least``, unchanged."""
+    """The rows whose language the network names with a score of at least ``least``, unchanged.
+
+    Null texts and texts without a letter go, whatever ``least``. Rows decide by
+    their text alone, so repeated rows stay or go together, and a score of
+    ``least`` itself stays. An empty table stays empty.
+    """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_col)

@@ -170,6 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty or blank text has fingerprint zero and is linked like any other.
     ``component_id`` is the smallest non-null id of the group (null if it has
     none). Repeated rows each get a row. Only the two named columns are read.
+    An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_rows")), "fingerprint-nodes")
@@ -186,6 +187,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows without an id, and rows that repeat the smallest id, are dropped only
     where another row has the same id and text. Columns are those of ``docs``.
+    Null, empty and blank texts share fingerprint zero, so one of them stays.
+    An empty table stays empty.
     """
     rows = docs.select(row_node(id_col, text_col).alias("node"), F.col(text_col).alias("t"))
     found = near_duplicates(rows, "node", "t", shingle, radius)

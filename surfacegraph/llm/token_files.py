@@ -44,7 +44,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     Null texts are empty. Null ids come first; rows that share an id are
     ordered by a hash of the text. The manifest names only files of successful
-    tasks, so a task that runs twice leaves no trace in it.
+    tasks, so a task that runs twice leaves no trace in it. Repeated rows are
+    documents of their own. An empty table has an empty manifest.
     """
     workspace.make_folder(folder)
     workspace.bound_batches(docs.sparkSession)

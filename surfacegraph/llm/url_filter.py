@@ -119,8 +119,9 @@ def judge_urls(
 
     A null URL, or one without ``://``, has an empty host and path, fits no
     rule, and is judged by its terms (null: none). Rows keep their null or
-    repeated ids; columns other than the two named are not read. Needs no
-    shuffle.
+    repeated ids; columns other than the two named are not read. Of rules that
+    fit, the longest wins, host and path together; of equally long ones that of
+    the longer host, then the first given. An empty table gives an empty result. Needs no shuffle.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("u")).select(

@@ -184,7 +184,8 @@ def write_warc(
     the smallest id is a response and the others revisit it; smaller payloads
     are all responses. A null payload is empty. A row without an id is a
     response; rows that repeat an id and its payload are alike. A file is
-    closed at ``file_bytes``. ``date`` is a parameter so that runs agree.
+    closed at ``file_bytes``. ``date`` is a parameter so that runs agree. An
+    empty table has an empty manifest.
     """
     workspace.make_folder(folder)
     workspace.bound_batches(pages.sparkSession)
