@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import stored
 from ..plans.prefix import running_sum
 
 #: Doublings; a path longer than two to the power of this is a cycle.
@@ -32,7 +32,7 @@ def climb(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column
     """
     ids = nodes.select(F.col("id").alias("up"))
     has = nodes.where("up is not null").join(ids, "up", "left_semi").select("id", F.col("up").alias("known"))
-    state = cut(nodes.join(has, "id", "left").withColumn("up", F.col("known")).drop("known"))
+    state = stored(nodes.join(has, "id", "left").withColumn("up", F.col("known")).drop("known"))
     most = None
     for step in range(MOST_DOUBLINGS):
         moving = state.where("up is not null")
@@ -51,7 +51,7 @@ def climb(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column
         if below:
             sums = moving.groupBy(F.col("up").alias("id")).agg(F.sum(below).alias("u_below"))
             nxt = nxt.join(sums, "id", "left").withColumn(below, F.col(below) + F.coalesce("u_below", F.lit(0))).drop("u_below")
-        state = cut(nxt.select(state.columns))
+        state = stored(nxt.select(state.columns))
     raise ValueError("layout parents form a cycle")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder: every executor can read it, so losing one loses nothing."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    For loops that join a table with itself: a checkpoint keeps what the
+    optimizer derived about its columns, which doubles with every turn; a
+    table that is read starts afresh.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/surfacegraph/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import stored
 
 
 def running_sum(rows: DataFrame, keys: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str | Column], val
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # what the partitions hold must not change between the two readings
-    dealt = cut(rows.withColumn("r_value", value).repartitionByRange(parts, *by).withColumn("r_part", F.spark_partition_id()))
+    dealt = stored(rows.withColumn("r_value", value).repartitionByRange(parts, *by).withColumn("r_part", F.spark_partition_id()))
     earlier = Window.partitionBy("r_part", *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("r_own", F.coalesce(F.sum("r_value").over(earlier), F.lit(0)))
     sums = dealt.groupBy("r_part", *keys).agg(F.sum("r_value").alias("r_sum"))
