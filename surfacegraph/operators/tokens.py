@@ -1,8 +1,10 @@
 """Design tokens: binding styles to tokens, drift, references, export.
 
-The token table is a small dimension. Exact and normalised matches are equi-joins
-on a common key (text, colour, pixels), so they need no pass over all pairs;
-the nearest-token search bins colours and lengths by the largest drift.
+What a style matches depends on its text alone, so texts are matched once each,
+however many nodes have them. Equal texts, colours and lengths are equi-joins.
+The nearest colour is searched in cells of all three channels, small ones
+first, and the nearest length between its neighbours in sorted order, so work
+grows with styles and tokens, not with their product.
 """
 
 from __future__ import annotations
@@ -10,15 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.css import color_distance, guess_type, parse_color, parse_length, rgb_to_hex
+from ..functions.css import guess_type, parse_color, parse_length, rgb_to_hex
 from ..functions.js import round_to
+from ..plans.lineage import stored
 
 # The largest drifts, and where severities change.
 COLOR_DRIFT = 35.0
 LENGTH_DRIFT = 3.0
 DTCG_TYPES = ("color", "dimension", "fontFamily", "fontWeight", "duration", "cubicBezier", "number", "string", "boolean")
-_COLOR_BIN = 36
-_LENGTH_BIN = 4
+# Widths of the colour cells that are searched before those as wide as the largest drift.
+_RINGS = (4, 12)
+# From a cell's number to those around it.
+_STEPS = [x * 1000000 + y * 1000 + z for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
 
 def properties(nodes: DataFrame) -> DataFrame:
@@ -27,16 +32,122 @@ def properties(nodes: DataFrame) -> DataFrame:
     return e.select("page_id", "ax_id", "property", F.trim("raw").alias("value")).where("value <> ''")
 
 
-def _parsed(tokens: DataFrame) -> DataFrame:
-    """(path, token_value, token_seq, text, color, pixels)."""
-    return tokens.select(
-        "path", F.col("value").alias("token_value"), F.col("seq").alias("token_seq"), F.trim("value").alias("text"),
-        parse_color("value").alias("token_color"), parse_length("value").alias("token_px"),
-    )
+def _rgb(c: Column) -> Column:
+    """The channels as one number; a transform, so that the colour is parsed once."""
+    return F.transform(F.array(c), lambda x: x["r"] * 65536 + x["g"] * 256 + x["b"])[0]
 
 
-def _rgb(c: Column) -> Column:
-    return F.when(c.isNotNull(), c["r"] * 65536 + c["g"] * 256 + c["b"])
+def _channels(rgb: str | Column) -> list[Column]:
+    c = F.col(rgb) if isinstance(rgb, str) else rgb
+    return [F.shiftright(c, 16), F.shiftright(c, 8).bitwiseAND(255), c.bitwiseAND(255)]
+
+
+def _first(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, token): the first token of each key."""
+    return tokens.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("token").alias("token"))
+
+
+def _equal_length(lengths: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(px, by_px): the first token within 0.01 pixels. ``tokens``: token_px, token, a row a length."""
+    at = F.floor(F.col("token_px") * 50)
+    cells = tokens.select(F.explode(F.array(at - 1, at, at + 1)).alias("cell"), "token_px", "token")
+    near = lengths.withColumn("cell", F.floor(F.col("px") * 50)).join(cells, "cell").where(F.abs(F.col("px") - F.col("token_px")) < 0.01)
+    return near.groupBy("px").agg(F.min("token").alias("by_px"))
+
+
+def nearest_color(colors: DataFrame, tokens: DataFrame, limit: float = COLOR_DRIFT) -> DataFrame:
+    """(rgb, near): for each different ``rgb`` the nearest token colour within ``limit``, as struct(dist, token); null if there is none.
+
+    ``tokens``: token_rgb, token, a row a colour; of equally near ones the least
+    token counts. Colours meet the tokens of the 27 cells around them, which
+    hold all within a cell's width; only those without a token so near go on to
+    wider cells. A cell of width w holds w^3 different colours at most, so no
+    cell grows with the tables.
+    """
+    found = colors.withColumn("near", F.lit(None).cast(f"struct<dist:double,token:{tokens.schema['token'].dataType.simpleString()}>"))
+    widest = max(int(limit) + 1, 1)
+    for w in [*[w for w in _RINGS if w < widest], widest]:
+
+        def cell(rgb: str) -> Column:
+            r, g, b = (F.floor(c / w) for c in _channels(rgb))
+            return (r * 1000000 + g * 1000 + b).cast("int")
+
+        # settled colours keep a row of their own: negative cells have no token and spread over the tasks
+        apart = (F.lit(-2000000) - F.pmod(F.xxhash64("rgb"), F.lit(1 << 30))).cast("int")
+        stepped = found.withColumn("step", F.explode(F.when(F.col("near").isNull(), F.array(*map(F.lit, _STEPS))).otherwise(F.array(F.lit(0)))))
+        cells = tokens.select(cell("token_rgb").alias("cell"), "token_rgb", "token")
+        met = stepped.withColumn("cell", F.when(F.col("near").isNull(), cell("rgb") + F.col("step")).otherwise(apart)).join(cells, "cell", "left")
+        square = sum(((a - b) * (a - b) for a, b in zip(_channels("rgb"), _channels("token_rgb"))), F.lit(0))
+        hit = F.when((square > 0) & (square <= min(float(w), limit) ** 2), F.struct(F.sqrt(square.cast("double")).alias("dist"), "token"))
+        found = met.groupBy("rgb").agg(F.coalesce(F.max("near"), F.min(hit)).alias("near"))
+    return found
+
+
+def nearest_length(lengths: DataFrame, tokens: DataFrame, limit: float = LENGTH_DRIFT) -> DataFrame:
+    """(px, near): for each different ``px`` the nearest token length within ``limit``, as struct(dist, token); null if there is none.
+
+    ``tokens``: token_px, token, a row a length. Lengths and tokens of a cell
+    are sorted; a length's nearest tokens are the last before and the first after it.
+    """
+    width = int(limit) + 1
+    at = F.floor(F.col("token_px") / width)
+    t = tokens.select(F.explode(F.array(at - 1, at, at + 1)).alias("cell"), F.col("token_px").alias("at"), F.struct("token_px", "token").alias("t"))
+    v = lengths.select(F.floor(F.col("px") / width).alias("cell"), F.col("px").alias("at"), F.lit(None).cast(t.schema["t"].dataType).alias("t"))
+    order = Window.partitionBy("cell")
+    below = F.last("t", ignorenulls=True).over(order.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    above = F.last("t", ignorenulls=True).over(order.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0))
+    both = v.unionByName(t).withColumns({"below": below, "above": above}).where("t is null")
+
+    def hit(c: str) -> Column:
+        d = F.abs(F.col("at") - F.col(c)["token_px"])
+        return F.when((d > 0) & (d <= limit), F.struct(d.alias("dist"), F.col(c)["token"].alias("token")))
+
+    return both.select(F.col("at").alias("px"), F.least(hit("below"), hit("above")).alias("near"))
+
+
+def matches(values: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRIFT, length_drift: float = LENGTH_DRIFT, drifting: bool = True) -> DataFrame:
+    """(value, bound, drift): what each different style text binds to, else what it is near to, in one pass.
+
+    ``bound``: struct(path, token_value, match_type, confidence); ``drift``:
+    struct(path, token_value, delta, severity); one of them at most, neither
+    for a text far from all tokens. ``values``: value, a row a text;
+    ``tokens``: path, value, seq. Null or empty tokens match nothing. Without
+    ``drifting`` the nearest tokens are not searched.
+    """
+    token = F.struct(F.col("seq").alias("token_seq"), "path", F.col("value").alias("token_value"))
+    t = tokens.where("value is not null").select(
+        F.trim("value").alias("text"), _rgb(parse_color("value")).alias("token_rgb"), parse_length("value").alias("token_px"), token.alias("token")
+    )
+    v = stored(values.select("value", _rgb(parse_color("value")).alias("rgb"), parse_length("value").alias("px")))
+    texts, hues, sizes = _first(t, "text"), _first(t, "token_rgb"), _first(t, "token_px")
+    colors, lengths = (v.where(F.col(c).isNotNull()).select(c).distinct() for c in ("rgb", "px"))
+    by_px = _equal_length(lengths, sizes)
+    met = (
+        v.join(texts.select(F.col("text").alias("value"), F.col("token").alias("by_text")), "value", "left")
+        .join(hues.select(F.col("token_rgb").alias("rgb"), F.col("token").alias("by_rgb")), "rgb", "left")
+        .join(by_px, "px", "left")
+    )
+    b = F.coalesce("by_text", "by_rgb", "by_px")
+    kind = F.when(F.col("by_text").isNotNull(), "exact").otherwise("normalized")
+    sure = F.when(F.col("by_text").isNotNull(), 1.0).when(F.col("by_rgb").isNotNull(), 0.98).otherwise(0.95)
+    bound = F.struct(b["path"].alias("path"), b["token_value"].alias("token_value"), kind.alias("match_type"), sure.alias("confidence"))
+    if not drifting:
+        return met.select("value", F.when(b.isNotNull(), bound).alias("bound"))
+    near_rgb = nearest_color(colors.join(hues, F.col("rgb") == F.col("token_rgb"), "left_anti"), hues, color_drift)
+    near_px = nearest_length(lengths.where("px > 0").join(by_px, "px", "left_anti"), sizes.where("token_px > 0"), length_drift)
+    met = met.join(near_rgb.withColumnRenamed("near", "near_rgb"), "rgb", "left").join(near_px.withColumnRenamed("near", "near_px"), "px", "left")
+    # a value that is a colour is never compared as a length
+    n, colored = F.when(F.col("rgb").isNotNull(), F.col("near_rgb")).otherwise(F.col("near_px")), F.col("rgb").isNotNull()
+    low, mid = F.when(colored, 15.0).otherwise(1.0), F.when(colored, 25.0).otherwise(2.0)
+    severity = F.when(n["dist"] <= low, "low").when(n["dist"] <= mid, "medium").otherwise("high")
+    drift = F.struct(n["token"]["path"].alias("path"), n["token"]["token_value"].alias("token_value"), round_to(n["dist"], 2).alias("delta"), severity.alias("severity"))
+    return met.select("value", F.when(b.isNotNull(), bound).alias("bound"), F.when(b.isNull() & n.isNotNull(), drift).alias("drift"))
+
+
+def judged(nodes: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRIFT, length_drift: float = LENGTH_DRIFT) -> DataFrame:
+    """(page_id, ax_id, property, value, bound, drift): every style with what it binds to and what it is near to, as in :func:`matches`."""
+    p = properties(nodes)
+    return p.join(matches(p.select("value").distinct(), tokens, color_drift, length_drift), "value").select("page_id", "ax_id", "property", "value", "bound", "drift")
 
 
 def bindings(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -46,26 +157,8 @@ def bindings(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     colour (0.98), else of equal length to 0.01 pixels (0.95).
     ``tokens``: path, value, seq.
     """
-    p = properties(nodes).withColumns({"rgb": _rgb(parse_color("value")), "px": parse_length("value")})
-    t = _parsed(tokens).withColumn("token_rgb", _rgb(F.col("token_color")))
-
-    def first(key, columns):
-        best = t.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.min_by(F.struct("path", "token_value", "token_seq"), "token_seq").alias("t"))
-        return best.select(F.col("key").alias(columns[0]), F.col("t").alias(columns[1]))
-
-    near = F.explode(F.array(F.floor(F.col("token_px")) - 1, F.floor(F.col("token_px")), F.floor(F.col("token_px")) + 1))
-    lengths = t.where("token_px is not null").select(near.alias("cell"), "token_px", F.struct("path", "token_value", "token_seq").alias("l"))
-    exact = p.join(first(F.col("text"), ("x_key", "x")), F.col("value") == F.col("x_key"), "left")
-    colored = exact.join(first(F.col("token_rgb"), ("c_key", "c")), F.col("rgb") == F.col("c_key"), "left").drop("x_key", "c_key")
-    settled = colored.where(F.coalesce("x", "c").isNotNull()).select(
-        "page_id", "ax_id", "property", "value", F.coalesce("x", "c").alias("t"),
-        F.when(F.col("x").isNotNull(), "exact").otherwise("normalized").alias("match_type"), F.when(F.col("x").isNotNull(), 1.0).otherwise(0.98).alias("confidence"),
-    )
-    open_ = colored.where(F.coalesce("x", "c").isNull() & F.col("px").isNotNull())
-    measured = open_.join(lengths, (F.floor("px") == F.col("cell")) & (F.abs(F.col("px") - F.col("token_px")) < 0.01))
-    by_length = measured.groupBy("page_id", "ax_id", "property", "value").agg(F.min_by("l", "l.token_seq").alias("t"))
-    by_length = by_length.withColumns({"match_type": F.lit("normalized"), "confidence": F.lit(0.95)})
-    return settled.unionByName(by_length).select("page_id", "ax_id", "property", "value", "t.path", "t.token_value", "match_type", "confidence")
+    p = properties(nodes)
+    return p.join(matches(p.select("value").distinct(), tokens, drifting=False), "value").where("bound is not null").select("page_id", "ax_id", "property", "value", "bound.*")
 
 
 def drifts(nodes: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRIFT, length_drift: float = LENGTH_DRIFT) -> DataFrame:
@@ -74,29 +167,7 @@ def drifts(nodes: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRIFT
     The nearest token counts, the first of equally near ones. A value that is a
     colour is never compared as a length.
     """
-    bound = bindings(nodes, tokens).select("page_id", "ax_id", "property")
-    p = properties(nodes).withColumns({"color": parse_color("value"), "px": parse_length("value")}).join(bound, ["page_id", "ax_id", "property"], "left_anti")
-    t = _parsed(tokens)
-    wide, long_ = int(color_drift) + 1, int(length_drift) + 1
-
-    def around(c: Column, width: int) -> Column:
-        at = F.floor(c / width)
-        return F.explode(F.array(at - 1, at, at + 1))
-
-    colors = t.where("token_color is not null").select("path", "token_value", "token_seq", "token_color", around(F.col("token_color.r"), wide).alias("cell"))
-    by_color = p.where("color is not null").join(colors, F.floor(F.col("color.r") / wide) == F.col("cell"))
-    by_color = by_color.withColumn("dist", color_distance(F.col("color"), F.col("token_color"))).where((F.col("dist") > 0) & (F.col("dist") <= color_drift))
-    by_color = by_color.withColumns({"low": F.lit(15.0), "mid": F.lit(25.0)})
-    lengths = t.where("token_px > 0").select("path", "token_value", "token_seq", "token_px", around(F.col("token_px"), long_).alias("cell"))
-    by_length = p.where("color is null and px > 0").join(lengths, F.floor(F.col("px") / long_) == F.col("cell"))
-    by_length = by_length.withColumn("dist", F.abs(F.col("px") - F.col("token_px"))).where((F.col("dist") > 0) & (F.col("dist") <= length_drift))
-    by_length = by_length.withColumns({"low": F.lit(1.0), "mid": F.lit(2.0)})
-    cols = ["page_id", "ax_id", "property", "value", "path", "token_value", "token_seq", "dist", "low", "mid"]
-    near = by_color.select(cols).unionByName(by_length.select(cols))
-    best = near.groupBy("page_id", "ax_id", "property", "value").agg(F.min_by(F.struct("path", "token_value", "dist", "low", "mid"), F.struct("dist", "token_seq")).alias("b"))
-    d = F.col("b.dist")
-    severity = F.when(d <= F.col("b.low"), "low").when(d <= F.col("b.mid"), "medium").otherwise("high")
-    return best.select("page_id", "ax_id", "property", "value", "b.path", "b.token_value", round_to(d, 2).alias("delta"), severity.alias("severity"))
+    return judged(nodes, tokens, color_drift, length_drift).where("drift is not null").select("page_id", "ax_id", "property", "value", "drift.*")
 
 
 def lint(nodes: DataFrame, tokens: DataFrame, page_id: str | None = None) -> DataFrame:
