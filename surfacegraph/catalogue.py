@@ -357,6 +357,22 @@ def _(spark, sf):
     return s.select("id", F.size("siblings_before").alias("before"), F.size("siblings_after").alias("after"), first.alias("first"))
 
 
+@query("l_sibling_places", f"{VIS} SELECT id, row_number() OVER (PARTITION BY page_id, parent ORDER BY y, x, seq, id) - 1 AS place FROM v")
+def _(spark, sf):
+    return layout.sibling_places(derive.visual(spark, sf)).select("id", "place")
+
+
+@query(
+    "l_siblings_asked",
+    f"{VIS}, k AS (SELECT id, page_id, parent, row_number() OVER (PARTITION BY page_id, parent ORDER BY y, x, seq, id) AS place FROM v) "
+    "SELECT a.id, b.id AS sibling, CASE WHEN b.place < a.place THEN 'before' ELSE 'after' END AS side, abs(a.place - b.place) AS distance FROM k a JOIN k b ON a.page_id IS NOT DISTINCT FROM b.page_id AND a.parent IS NOT DISTINCT FROM b.parent AND a.id <> b.id "
+    "WHERE a.id IN (SELECT id FROM v WHERE s_position = 'sticky')",
+)
+def _(spark, sf):
+    v = derive.visual(spark, sf)
+    return layout.siblings_of(layout.sibling_places(v), v.where(F.col("style")["position"] == "sticky"))
+
+
 @query(
     "l_alignment",
     f"{VIS}, g AS (SELECT *, concat('g', seq % 7) AS grp FROM v), k AS (SELECT a.page_id, a.id AS src, b.id AS dst, CASE WHEN abs(a.y - b.y) <= 2 AND abs(a.h - b.h) <= 2 THEN 'aligned-horizontally' WHEN abs(a.x - b.x) <= 2 AND abs(a.w - b.w) <= 2 THEN 'aligned-vertically' WHEN abs(a.x + a.w / 2 - b.x - b.w / 2) <= 4 THEN 'centred-with' END AS alignment FROM g a JOIN g b ON {PAIRS} AND a.grp = b.grp) SELECT * FROM k WHERE alignment IS NOT NULL",

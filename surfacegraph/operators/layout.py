@@ -17,6 +17,7 @@ from ..functions.css import style, styled
 from ..functions.geometry import rect, union_all
 from ..functions.js import col, includes, is_, js_round, number_or, one_of, parse_float, parse_int, truthy
 from ..plans.lineage import cut
+from ..plans.prefix import running_sum
 from .quadtree import grouped
 
 # Fixed values of the rules.
@@ -168,6 +169,29 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("siblings_before", F.collect_list("id").over(before)).withColumn("siblings_after", F.collect_list("id").over(after))
 
 
+def sibling_places(nodes: DataFrame) -> DataFrame:
+    """(page_id, parent, id, y, x, seq, place): how many siblings come before a node in visual order; a row a node.
+
+    Says what :func:`siblings` says without lists, whose sizes add up to the
+    square of a parent's children. Children of one parent are sorted over many
+    tasks. Nodes without a parent are siblings within their page; of nodes in
+    one place with one ``seq`` the id decides.
+    """
+    rows = nodes.select("page_id", "parent", "id", F.col("rect.y").alias("y"), F.col("rect.x").alias("x"), "seq")
+    return running_sum(rows, ["page_id", "parent"], ["y", "x", "seq", "id"], F.lit(1).cast("long"), "place")
+
+
+def siblings_of(places: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, sibling, side, distance): the siblings of the nodes in ``asked(id)``, each with its side, before or after, and how many places away it is.
+
+    ``places``: as from :func:`sibling_places`. Ids asked for twice count once; unknown ones have no rows.
+    """
+    own = places.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("of"), F.col("page_id").alias("p"), F.col("parent").alias("q"), F.col("place").alias("own"))
+    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("parent").eqNullSafe(F.col("q")) & (F.col("place") != F.col("own"))
+    side = F.when(F.col("place") < F.col("own"), "before").otherwise("after")
+    return places.join(own, same).select(F.col("of").alias("id"), F.col("id").alias("sibling"), side.alias("side"), F.abs(F.col("place") - F.col("own")).alias("distance"))
+
+
 def tethers(elements: DataFrame) -> DataFrame:
     """(ax_id, parent, children, siblings_before, siblings_after, anchors) of every element.
 
