@@ -667,23 +667,35 @@ def _(spark, sf):
     return page_table(spark, sf).select("page_id").join(counted, "page_id", "left").fillna(0)
 
 
-@query("n_ax_counts")
+TAGS = (("heading", "<h[1-6][\\s>]"), ("listitem", "<li[\\s>]"), ("list", "<[uo]l[\\s>]"), ("navigation", "<nav[\\s>]"), ("article", "<article[\\s>]"), ("link", "<a\\s[^>]*href="), ("contentinfo", "<footer[\\s>]"))
+BARE = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)\\b.*?</(script|style)>', '', 'gsi')"
+
+
+# Start tags of a page as a person would count them: comments and what scripts and styles hold are no tags.
+STARTS = (
+    "b AS (SELECT concat('page:', page_id) AS page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)\\b.*?</(script|style)>', '<\\1>', 'gsi') AS h FROM pages), "
+    "s AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM b)"
+)
+
+
+@query(
+    "n_ax_counts",
+    f"WITH {STARTS} SELECT page_id, CASE WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN 'heading' WHEN tag = 'li' THEN 'listitem' WHEN tag IN ('ul', 'ol') THEN 'list' WHEN tag = 'nav' THEN 'navigation' WHEN tag = 'article' THEN 'article' "
+    "WHEN tag = 'a' THEN 'link' WHEN tag = 'footer' THEN 'contentinfo' ELSE 'presentation' END AS role, count(*) AS n FROM s GROUP BY ALL",
+)
 def _(spark, sf):
     """Elements by page and role."""
     return html.ax_table(html.nodes(page_table(spark, sf))).groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-TAGS = (("heading", "<h[1-6][\\s>]"), ("listitem", "<li[\\s>]"), ("list", "<[uo]l[\\s>]"), ("navigation", "<nav[\\s>]"), ("article", "<article[\\s>]"), ("link", "<a\\s[^>]*href="), ("contentinfo", "<footer[\\s>]"))
-BARE = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)\\b.*?</(script|style)>', '', 'gsi')"
-
-
 @query("n_roles", f"WITH h AS (SELECT concat('page:', page_id) AS page_id, {BARE} AS h FROM pages), c AS (" + " UNION ALL ".join(f"SELECT page_id, '{role}' AS role, len(regexp_extract_all(h, '{tag}')) AS n FROM h" for role, tag in TAGS) + ") SELECT * FROM c WHERE n > 0")
 def _(spark, sf):
     found = html.nodes(page_table(spark, sf)).where(F.col("role").isin(*[r for r, _ in TAGS]))
     return found.groupBy("page_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("n_structure_edges")
+# every element but a page's first has a parent
+@query("n_structure_edges", f"WITH {STARTS} SELECT 'a11y:child-of' AS kind, CAST(count(*) - count(DISTINCT page_id) AS BIGINT) AS n FROM s")
 def _(spark, sf):
     return html.structure_edges(html.nodes(page_table(spark, sf))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -693,7 +705,7 @@ def _(spark, sf):
     return html.capabilities(html.nodes(page_table(spark, sf))).select("id", "name", "security", "page_id")
 
 
-@query("n_nav_elements")
+@query("n_nav_elements", f"WITH {STARTS} SELECT concat('nav:', page_id, ':nav:0') AS id, 'nav' AS kind, CAST(len(regexp_extract_all(regexp_extract(h, '<nav\\b.*?</nav>', 0, 's'), '<a\\s')) AS INT) AS members FROM b WHERE regexp_matches(h, '<nav\\b')")
 def _(spark, sf):
     return html.nav_elements(html.nodes(page_table(spark, sf))).select("id", "kind", F.size("member_ax_ids").alias("members"))
 
