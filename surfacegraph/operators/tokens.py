@@ -20,6 +20,8 @@ from ..plans.lineage import stored
 COLOR_DRIFT = 35.0
 LENGTH_DRIFT = 3.0
 DTCG_TYPES = ("color", "dimension", "fontFamily", "fontWeight", "duration", "cubicBezier", "number", "string", "boolean")
+#: Rows of a table that is sent to every task; a larger one is joined by a shuffle.
+MOST_SENT = 50_000
 # Widths of the colour cells that are searched before those as wide as the largest drift.
 _RINGS = (4, 12)
 # From a cell's number to those around it.
@@ -32,6 +34,17 @@ def properties(nodes: DataFrame) -> DataFrame:
     return e.select("page_id", "ax_id", "property", F.trim("raw").alias("value")).where("value <> ''")
 
 
+def _meet(styles: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``styles`` with a row a text, or a key.
+
+    Rows of ``few`` are counted, as sizes that the planner estimates mislead
+    here: exploded styles look smaller than tokens made in the driver, and
+    would be collected there to be broadcast.
+    """
+    few = stored(few)
+    return styles.join(F.broadcast(few) if few.count() <= MOST_SENT else few.hint("merge"), key)
+
+
 def _rgb(c: Column) -> Column:
     """The channels as one number; a transform, so that the colour is parsed once."""
     return F.transform(F.array(c), lambda x: x["r"] * 65536 + x["g"] * 256 + x["b"])[0]
@@ -158,7 +171,8 @@ def bindings(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     ``tokens``: path, value, seq.
     """
     p = properties(nodes)
-    return p.join(matches(p.select("value").distinct(), tokens, drifting=False), "value").where("bound is not null").select("page_id", "ax_id", "property", "value", "bound.*")
+    bound = matches(p.select("value").distinct(), tokens, drifting=False).where("bound is not null")
+    return _meet(p, bound, "value").select("page_id", "ax_id", "property", "value", "bound.*")
 
 
 def drifts(nodes: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRIFT, length_drift: float = LENGTH_DRIFT) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surfacegraph.operators import tokens
+from surfacegraph.plans import derive
 
 
 def expected(values, toks):
@@ -121,3 +122,19 @@ def test_lengths_are_compared_with_neighbours_only(spark):
     at = np.clip(np.searchsorted(toks, own), 1, len(toks) - 1)
     want = np.minimum(abs(own - toks[at - 1]), abs(own - toks[at]))
     assert len(got) == len(own) and np.allclose([got[float(x)] for x in own], want)
+
+
+@pytest.mark.parametrize("join", ["bindings"])
+def test_styles_are_not_sent_to_every_task(spark, join):
+    """Tokens made in the driver have no estimated size: the styles were taken for the smaller side, and collected in the driver."""
+    sf = "/root/testdata/sf0.001"
+    df = getattr(tokens, join)(derive.visual(spark, sf), derive.tokens(spark))
+    assert "BuildLeft" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_many_texts_are_joined_by_a_shuffle(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    one = lambda: sorted(map(tuple, tokens.bindings(derive.visual(spark, sf), derive.tokens(spark)).collect()))
+    sent = one()
+    monkeypatch.setattr(tokens, "MOST_SENT", 3)
+    assert sent and one() == sent
