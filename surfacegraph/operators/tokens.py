@@ -160,7 +160,7 @@ def matches(values: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRI
 def judged(nodes: DataFrame, tokens: DataFrame, color_drift: float = COLOR_DRIFT, length_drift: float = LENGTH_DRIFT) -> DataFrame:
     """(page_id, ax_id, property, value, bound, drift): every style with what it binds to and what it is near to, as in :func:`matches`."""
     p = properties(nodes)
-    return p.join(matches(p.select("value").distinct(), tokens, color_drift, length_drift), "value").select("page_id", "ax_id", "property", "value", "bound", "drift")
+    return _meet(p, matches(p.select("value").distinct(), tokens, color_drift, length_drift), "value").select("page_id", "ax_id", "property", "value", "bound", "drift")
 
 
 def bindings(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
