@@ -195,7 +195,7 @@ def references(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     t = tokens.select("path", F.col("seq").alias("token_seq"), F.trim("value").alias("text"), rgb_to_hex("value").alias("hex"))
     keyed = p.select("page_id", "ax_id", F.explode(F.array_distinct(F.array(F.concat(F.lit("="), "value"), F.concat(F.lit("#"), rgb_to_hex("value"))))).alias("key"))
     keys = t.select("path", "token_seq", F.explode(F.array(F.concat(F.lit("="), "text"), F.concat(F.lit("#"), "hex"))).alias("key")).where("key is not null")
-    hits = keyed.where("key is not null").join(keys, "key").select("page_id", "ax_id", "path", "token_seq").distinct()
+    hits = _meet(keyed.where("key is not null"), keys, "key").select("page_id", "ax_id", "path", "token_seq").distinct()
     return hits.groupBy("page_id", "ax_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("token_seq", "path"))), lambda x: x["path"]).alias("refs"))
 
 

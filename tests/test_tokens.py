@@ -124,7 +124,7 @@ def test_lengths_are_compared_with_neighbours_only(spark):
     assert len(got) == len(own) and np.allclose([got[float(x)] for x in own], want)
 
 
-@pytest.mark.parametrize("join", ["bindings", "lint"])
+@pytest.mark.parametrize("join", ["bindings", "lint", "references"])
 def test_styles_are_not_sent_to_every_task(spark, join):
     """Tokens made in the driver have no estimated size: the styles were taken for the smaller side, and collected in the driver."""
     sf = "/root/testdata/sf0.001"
