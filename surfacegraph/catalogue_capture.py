@@ -628,7 +628,7 @@ def calls(spark, sf) -> DataFrame:
     """Attempts: an event each, with one of the tools."""
     tool = F.element_at(F.array(*[F.lit(a) for a, _, _ in CALLS]), (F.col("event_id") % len(CALLS) + 1).cast("int"))
     return derive.table(spark, sf, "events").select(
-        F.col("event_id").alias("seq"), tool.alias("tool"), (F.col("user_id") % 7).cast("string").alias("principal"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.lit("web").alias("substrate"),
+        F.col("event_id").alias("seq"), tool.alias("tool"), (F.col("user_id") % 7).cast("string").alias("principal"), derive.epoch_ms("ts").alias("at_ms"), F.lit("web").alias("substrate"),
         F.when(F.col("user_id") % 4 == 0, "https://other.example.com/x").otherwise("https://app.example.com/a/b").alias("target"), F.when(F.col("event_id") % 3 == 0, "https://app.example.com").alias("cookie_origin"),
         F.when(F.col("event_id") % 2 == 0, "sid").otherwise("other").alias("cookie"), (F.col("event_id") % 5 == 0).alias("confirm"),
     )
@@ -665,8 +665,9 @@ def _(spark, sf):
     grants = spark.createDataFrame([("https://app.example.com", "s*", 10**15, False), ("https://app.example.com", "other", 10**15, True)], "origin string, cookie_pattern string, expires_at long, revoked boolean")
     scope = {"max_substrates": ["web"], "operations": ["*"], "targets": ["app.example.com/a"], "max_impact": "modify"}
     a = calls(spark, sf)
-    one = lambda posture, scope: govern.gateway(a, posture, scope, limit=40, window_ms=60_000_000, grants=grants, now_ms=0).select("seq", F.col("denial").alias(posture))
-    return one("autopilot", scope).join(one("copilot", None), "seq")
+    known = govern.measured(a, limit=40, window_ms=60_000_000, grants=grants, now_ms=0)
+    first = govern.judge(known, "autopilot", scope).withColumnRenamed("denial", "autopilot")
+    return govern.judge(first, "copilot").select("seq", "autopilot", F.col("denial").alias("copilot"))
 
 
 @query("g_gateway_audit", f"SELECT operation, count(*) AS n FROM events JOIN {CALL_ROWS} ON i = event_id % {len(CALLS)} WHERE impact = 'read' GROUP BY operation")

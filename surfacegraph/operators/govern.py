@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.js import col
+from ..plans.prefix import running_sum
 
 # Fixed values.
 TIERS = ("DISCOVER", "READ", "PROPOSE", "EXECUTE", "CONFIRM")
@@ -195,10 +196,20 @@ def rate_limited(attempts: DataFrame, limit: int = RATE, window_ms: int = RATE_W
     """``attempts`` (key, at_ms) with the attempts of the last window, itself included, and whether that is too many.
 
     With ``counted`` only attempts count where that column is not null.
+    Attempts are counted by moment and sums run over sorted partitions, so
+    neither a busy principal nor a long window falls to one task.
     """
-    w = Window.partitionBy(key).orderBy("at_ms").rangeBetween(-window_ms + 1, 0)
-    n = F.count(F.lit(1) if counted is None else F.col(counted)).over(w)
-    return attempts.withColumns({"in_window": n, "limited": n > limit})
+    one = F.lit(1).cast("long") if counted is None else F.col(counted).isNotNull().cast("long")
+    moments = attempts.groupBy(F.col(key).alias("w_key"), F.col("at_ms").alias("w_at")).agg(F.sum(one).alias("n"))
+    # what a window holds is what there is up to its end less what there is up to its start, both read off one running sum
+    ends = F.array(F.struct(F.col("w_at").alias("at"), F.lit(0).alias("asks"), F.col("n").alias("adds")), F.struct((F.col("w_at") - window_ms).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("adds")))
+    marks = moments.select("w_key", "w_at", F.explode(ends).alias("e")).select("w_key", "w_at", "e.*")
+    summed = running_sum(marks, ["w_key"], ["at", "asks"], F.col("adds"), "before")
+    # attempts without a moment are in one window of their own
+    signed = F.when(F.col("w_at").isNull(), F.col("adds")).when(F.col("asks") == 1, -F.col("before")).otherwise(F.col("before") + F.col("adds"))
+    held = summed.groupBy("w_key", "w_at").agg(F.sum(signed).alias("in_window"))
+    met = attempts.join(held.hint("merge"), F.col(key).eqNullSafe(F.col("w_key")) & F.col("at_ms").eqNullSafe(F.col("w_at"))).drop("w_key", "w_at")
+    return met.withColumn("limited", F.col("in_window") > limit)
 
 
 def cookies_granted(requests: DataFrame, grants: DataFrame, now_ms: int) -> DataFrame:
@@ -221,22 +232,30 @@ def gateway(requests: DataFrame, posture: str, scope: dict | None = None, limit:
     confirm where it was confirmed. Adds operation, impact, allowed, reason and
     ``denial``, the kind of the first step that denies (null: none).
     """
+    return judge(measured(requests, limit, window_ms, grants, now_ms), posture, scope).drop("cookie_denied")
+
+
+def measured(requests: DataFrame, limit: int = RATE, window_ms: int = RATE_WINDOW_MS, grants: DataFrame | None = None, now_ms: int = 0) -> DataFrame:
+    """``requests`` of :func:`gateway` with the outcome of the steps that no posture changes: operation, impact, limited, cookie_denied."""
     named = requests.withColumn("operation", operation_of("tool")).withColumn("impact", impact_of("operation"))
     named = rate_limited(named, limit, window_ms, counted="operation")
     if "cookie_origin" in requests.columns:
         asked = named.withColumnRenamed("cookie_origin", "origin")
         none = "origin string, cookie_pattern string, expires_at long, revoked boolean"
         asked = cookies_granted(asked, requests.sparkSession.createDataFrame([], none) if grants is None else grants, now_ms)
-        named = asked.withColumn("_cookie", F.col("origin").isNotNull() & ~F.col("granted")).withColumnRenamed("origin", "cookie_origin").drop("granted")
-    else:
-        named = named.withColumn("_cookie", F.lit(False))
-    checked = check_posture(named, posture, scope)
-    confirmed = F.coalesce(F.col("confirm"), F.lit(False)) if "confirm" in requests.columns else F.lit(False)
+        return asked.withColumn("cookie_denied", F.col("origin").isNotNull() & ~F.col("granted")).withColumnRenamed("origin", "cookie_origin").drop("granted")
+    return named.withColumn("cookie_denied", F.lit(False))
+
+
+def judge(attempts: DataFrame, posture: str, scope: dict | None = None) -> DataFrame:
+    """``attempts`` of :func:`measured` with allowed, reason and denial under a posture; other columns stay, so several postures can be asked in turn."""
+    checked = check_posture(attempts, posture, scope)
+    confirmed = F.coalesce(F.col("confirm"), F.lit(False)) if "confirm" in attempts.columns else F.lit(False)
     denial = (
-        F.when(F.col("operation").isNull(), "unknown_operation").when(F.col("limited"), "rate_limited").when(F.col("_cookie"), "cookie_grant_denied")
+        F.when(F.col("operation").isNull(), "unknown_operation").when(F.col("limited"), "rate_limited").when(F.col("cookie_denied"), "cookie_grant_denied")
         .when(~F.coalesce("allowed", F.lit(False)), "posture_denied").when(F.col("requires_approval") & ~confirmed, "escalation_required")
     )
-    return checked.withColumn("denial", denial).withColumns({"reason": F.coalesce(F.when(F.col("denial").isin("posture_denied", "escalation_required"), F.col("reason")), F.col("denial"), F.col("reason")), "allowed": F.col("denial").isNull()}).drop("_cookie")
+    return checked.withColumn("denial", denial).withColumns({"reason": F.coalesce(F.when(F.col("denial").isin("posture_denied", "escalation_required"), F.col("reason")), F.col("denial"), F.col("reason")), "allowed": F.col("denial").isNull()})
 
 
 def audit_events(attempts: DataFrame, stream: str = "principal") -> DataFrame:
