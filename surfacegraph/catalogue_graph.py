@@ -472,11 +472,11 @@ def _(spark, sf):
 
 @query("r_failed_pages", f"{ROWS} SELECT canonical_url AS url, load_status AS status, CASE WHEN seq % 20 < 10 THEN 'first ' || seq ELSE 'Unknown page failure' END AS error FROM p WHERE load_status IN ('timeout', 'spa-error')")
 def _(spark, sf):
-    """Failed pages with the first error that was recorded for their URL."""
+    """Failed pages with the first error that was recorded for them."""
     c = rich(spark, sf)
     some = c.pages.where("seq % 20 < 10")
-    errors = some.select(F.lit("pageErrors").alias("kind"), "url", F.concat(F.lit("first "), "seq").alias("message"), F.lit(1).alias("seq"))
-    errors = errors.unionByName(some.select(F.lit("pageErrors").alias("kind"), "url", F.lit("later").alias("message"), F.lit(2).alias("seq")))
+    errors = some.select(F.lit("pageErrors").alias("kind"), F.col("id").alias("page_id"), "url", F.concat(F.lit("first "), "seq").alias("message"), F.lit(1).alias("seq"))
+    errors = errors.unionByName(some.select(F.lit("pageErrors").alias("kind"), F.col("id").alias("page_id"), "url", F.lit("later").alias("message"), F.lit(2).alias("seq")))
     return report.failed_pages(c.with_tables(diagnostics=errors))
 
 
