@@ -41,7 +41,8 @@ def own_patterns(r: Column, s: Column, role: Column, name: Column, focusable: Co
     shadow = styled(s, "boxShadow")
     round_ = (number_or(s["borderRadius"], 0) >= 12) | includes(s["borderRadius"], "%")
 
-    corner = (bottom(r) >= vh * 0.6) & ((right(r) >= vw * 0.6) | (r["x"] <= vw * 0.35))
+    # as 1440 * 0.35 is a double just below 504, hundredths come last
+    corner = (bottom(r) >= vh * 0.6) & ((right(r) >= vw * 0.6) | (r["x"] <= vw * 35 / 100))
     compact = r["w"].between(28, 140) & r["h"].between(28, 140)
     points = F.lit(60) + F.when(corner, 15).otherwise(0) + F.when(compact, 10).otherwise(0) + F.when(shadow | round_, 10).otherwise(0)
     # the sums are of doubles in the rules, and 0.6 + 0.15 is just what reaches 0.75

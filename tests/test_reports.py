@@ -1,10 +1,10 @@
-"""Failed pages."""
+"""Failed pages, and a pattern at the edge of its rule."""
 
 import duckdb
 from pyspark.sql import functions as F
 
 from surfacegraph import catalogue
-from surfacegraph.operators import report
+from surfacegraph.operators import patterns, report
 from surfacegraph.plans.catalog import Catalog
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +28,9 @@ def test_failed_pages_with_repeated_urls_equal_their_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = sorted(map(tuple, catalogue.queries()["r_failed_pages"](spark, str(tmp_path)).select("url", "status", "error").collect()))
     assert got == sorted(con.sql(f"SELECT url, status, error FROM ({catalogue.oracle_sql()['r_failed_pages']})").fetchall())
+
+
+def test_a_button_at_just_35_hundredths_of_the_width_floats(spark):
+    row = [("p", x, (float(x), 600.0, 200.0, 20.0), {"position": "fixed"}, "button", "b", False, "none") for x in ("504", "505")]
+    schema = "page_id string, id string, rect struct<x:double,y:double,w:double,h:double>, style map<string,string>, role string, name string, focusable boolean, container_type string"
+    assert [r["id"] for r in patterns.patterns(spark.createDataFrame(row, schema)).collect()] == ["504"]
