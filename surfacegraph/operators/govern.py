@@ -264,6 +264,9 @@ def audit_events(attempts: DataFrame, stream: str = "principal") -> DataFrame:
     return attempts.select(F.col(stream).alias("stream_id"), "seq", "operation", "allowed", "denial", body.alias("body"))
 
 
+CHAIN = pa.schema([("stream_id", pa.string()), ("sequence", pa.int64()), ("body", pa.string()), ("prev_hash", pa.string()), ("hash", pa.string())])
+
+
 def chain_hash(event: dict) -> str:
     return hashlib.sha256(json.dumps(event, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
@@ -271,18 +274,26 @@ def chain_hash(event: dict) -> str:
 def audit_chain(events: DataFrame) -> DataFrame:
     """(stream_id, sequence, body, prev_hash, hash): events of each stream chained in order. ``events``: stream_id, seq, body.
 
-    A chain is a fold by nature, so a stream is one group; streams run in parallel.
+    A chain is a fold by nature, so a stream goes through one task; streams run
+    in parallel. Events come sorted (of equal ``seq`` by body) and a batch at a
+    time, so a task holds a batch and one hash, however long its streams are.
     """
 
-    def fold(table: pa.Table) -> pa.Table:
-        out, prev = [], ""
-        for n, r in enumerate(sorted(table.to_pylist(), key=lambda r: r["seq"]), 1):
-            row = {"stream_id": r["stream_id"], "sequence": n, "body": r["body"], "prev_hash": prev}
-            prev = chain_hash(row)
-            out.append(row | {"hash": prev})
-        return pa.Table.from_pylist(out, schema=pa.schema([("stream_id", pa.string()), ("sequence", pa.int64()), ("body", pa.string()), ("prev_hash", pa.string()), ("hash", pa.string())]))
-
-    return events.select("stream_id", "seq", "body").groupBy("stream_id").applyInArrow(fold, "stream_id string, sequence long, body string, prev_hash string, hash string")
+    def fold(batches):
+        stream, prev, n = None, "", 0
+        for b in batches:
+            rows = []
+            for s, body in zip(b.column("stream_id").to_pylist(), b.column("body").to_pylist(), strict=True):
+                if not n or s != stream:
+                    stream, prev, n = s, "", 0
+                n += 1
+                row = {"stream_id": s, "sequence": n, "body": body, "prev_hash": prev}
+                prev = chain_hash(row)
+                rows.append(row | {"hash": prev})
+            yield pa.RecordBatch.from_pylist(rows, schema=CHAIN)
+
+    dealt = events.select("stream_id", "seq", "body").repartition("stream_id").sortWithinPartitions("stream_id", "seq", "body")
+    return dealt.mapInArrow(fold, "stream_id string, sequence long, body string, prev_hash string, hash string")
 
 
 def broken_links(chain: DataFrame) -> DataFrame:
