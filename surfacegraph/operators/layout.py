@@ -226,6 +226,7 @@ def alignments(nodes: DataFrame) -> DataFrame:
     """
     r = F.col("rect")
     wide = CENTRE + 1
+    nodes = nodes.select("page_id", "parent", "id", "rect").distinct()
 
     def banded(key: Column, name: str) -> DataFrame:
         return nodes.select("page_id", "parent", "id", "rect", F.lit(name).alias("by"), F.floor(key / wide).alias("band"))
@@ -234,14 +235,15 @@ def alignments(nodes: DataFrame) -> DataFrame:
     a = all_.select("page_id", "parent", "by", "band", F.col("id").alias("src"), F.col("rect").alias("a"))
     b = all_.select("page_id", "parent", "by", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("dst"), F.col("rect").alias("b"))
     same = a["parent"].eqNullSafe(b["parent"]) & (a["page_id"] == b["page_id"]) & (a["by"] == b["by"]) & (a["band"] == b["band"])
-    near = a.join(b, same & (F.col("src") != F.col("dst"))).select(a["page_id"], "src", "dst", "a", "b").distinct()
     p, q = F.col("a"), F.col("b")
     kind = (
         F.when((F.abs(p["y"] - q["y"]) <= ALIGN) & (F.abs(p["h"] - q["h"]) <= ALIGN), "aligned-horizontally")
         .when((F.abs(p["x"] - q["x"]) <= ALIGN) & (F.abs(p["w"] - q["w"]) <= ALIGN), "aligned-vertically")
         .when(F.abs(p["x"] + p["w"] / 2 - q["x"] - q["w"] / 2) <= CENTRE, "centred-with")
     )
-    return near.select("page_id", "src", "dst", kind.alias("alignment")).where("alignment is not null")
+    # a pair has one kind and meets once in the bands of that kind, so none is there twice and pairs need no shuffle
+    its = F.when(kind == "aligned-horizontally", "y").when(kind == "aligned-vertically", "x").when(kind == "centred-with", "c")
+    return a.join(b, same & (F.col("src") != F.col("dst")) & (its == a["by"])).select(a["page_id"], "src", "dst", kind.alias("alignment"))
 
 
 def _score(c: Column) -> Column:
