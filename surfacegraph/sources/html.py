@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import SPACE, canonical_url, fnv1a_32, href_kind, resolve_url, slug
 from ..operators.govern import tier
 from ..plans.catalog import last_wins
+from ..plans.lineage import small_batches, stored
 
 # Roles that elements have without saying so.
 ROLES = {
@@ -255,16 +256,21 @@ def page_rows(html: str) -> list[dict]:
 def nodes(pages: DataFrame) -> DataFrame:
     """A row for each element of each page, in document order. ``pages``: page_id, url, html."""
 
+    small_batches(pages.sparkSession)
+
     def run(batches):
         for b in batches:
             held: list[dict] = []
-            for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            columns = [b.column(i) for i in range(3)]
+            for n in range(b.num_rows):  # one page at a time is text and tree
+                page, url, html = (c[n].as_py() for c in columns)
                 held += [r | {"page_id": page, "url": url} for r in page_rows(html)]
-                if len(held) >= 5000:
+                if len(held) >= 1000:
                     yield pa.RecordBatch.from_pylist(held, schema=_NODES)
                     held = []
             if held:
                 yield pa.RecordBatch.from_pylist(held, schema=_NODES)
+            pa.default_memory_pool().release_unused()
 
     return pages.select("page_id", "url", "html").mapInArrow(run, NODES)
 
@@ -286,16 +292,19 @@ def ax_table(found: DataFrame) -> DataFrame:
 
 def structure_edges(found: DataFrame) -> DataFrame:
     """Edges of the tree (parent to child), of aria references, and of attributes that name other elements."""
-    me, page = ax_id(), F.concat(F.lit("ax:"), "page_id", F.lit(":"))
-    parents = found.select("page_id", F.col("node_index").alias("parent_index"), me.alias("p"))
-    tree = found.join(parents, ["page_id", "parent_index"]).select(F.col("p").alias("src"), me.alias("dst"), F.lit("a11y:child-of").alias("kind"), "node_index", F.lit(0).alias("part"))
-    out = tree
-    lists = [("aria-controls", F.col("properties.controls")), ("aria-describedBy", F.col("properties.described_by")), ("aria-labelledBy", F.col("properties.labelled_by"))]
     has_id = F.col("element_id").isNotNull()
     words = lambda k: F.filter(F.split(F.coalesce(F.col("attrs")[k], F.lit("")), r"\s+"), lambda x: x != "")
+    lists = [("aria-controls", F.col("properties.controls")), ("aria-describedBy", F.col("properties.described_by")), ("aria-labelledBy", F.col("properties.labelled_by"))]
     lists += [(kind, F.when(has_id, words(attr))) for kind, attr in (("aria-owns", "aria-owns"), ("aria-flowsto", "aria-flowsto"), ("commandfor", "commandfor"), ("popovertarget", "popovertarget"))]
-    for n, (kind, refs) in enumerate(lists, 1):
-        out = out.unionByName(found.select(me.alias("src"), "page_id", "node_index", F.explode(refs).alias("ref")).select("src", F.concat(page, "ref").alias("dst"), F.lit(kind).alias("kind"), "node_index", F.lit(n).alias("part")))
+    none = F.array().cast("array<string>")
+    said = lambda n, kind, to: F.transform(F.coalesce(to, none), lambda r: F.struct(r.alias("ref"), F.lit(kind).alias("kind"), F.lit(n).alias("part")))
+    refs = F.flatten(F.array(*[said(n, kind, to) for n, (kind, to) in enumerate(lists, 1)]))
+    # read three times; pages are parsed once
+    read = stored(found.select("page_id", "node_index", "parent_index", ax_id().alias("me"), refs.alias("refs")))
+    parents = read.select("page_id", F.col("node_index").alias("parent_index"), F.col("me").alias("p"))
+    tree = read.join(parents, ["page_id", "parent_index"]).select(F.col("p").alias("src"), F.col("me").alias("dst"), F.lit("a11y:child-of").alias("kind"), "node_index", F.lit(0).alias("part"))
+    named = read.select("me", "page_id", "node_index", F.explode("refs").alias("r"))
+    out = tree.unionByName(named.select(F.col("me").alias("src"), F.concat(F.lit("ax:"), "page_id", F.lit(":"), "r.ref").alias("dst"), "r.kind", "node_index", "r.part"))
     return _edges(out)
 
 
@@ -413,6 +422,8 @@ def nav_elements(found: DataFrame) -> DataFrame:
     kind = F.when((F.col("role") == "navigation") & crumb, "breadcrumb").otherwise(F.create_map(*[F.lit(x) for kv in NAV_ROLES.items() for x in kv])[F.col("role")])
     flat = found.select("page_id", "node_index", "parent_index", "role", "name", ax_id().alias("ax_id"), kind.alias("kind"), (F.col("states.selected") | F.coalesce(F.col("states.current").isin("page", "true"), F.lit(False))).alias("active"))
 
+    flat = stored(flat)  # read for members and for holders; pages are parsed once
+
     def assign(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["node_index"])
         owner: dict[int, int | None] = {}
