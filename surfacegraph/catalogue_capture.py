@@ -58,6 +58,8 @@ def documents(spark, sf) -> DataFrame:
             )
         ).alias("visualNodes")
     )
+    # lists of a nation's rows are larger than they are estimated: none is collected in the driver to be broadcast
+    ax, visual = ax.hint("merge"), visual.hint("merge")
     whole = n.join(ax, n["n_nationkey"] == ax["c_nationkey"], "left").join(visual, n["n_nationkey"] == visual["k"], "left")
     doc = F.to_json(
         F.struct(

@@ -2,6 +2,7 @@
 
 import sqlite3
 
+from surfacegraph import catalogue_capture
 from surfacegraph.plans.catalog import Catalog
 from surfacegraph.sources import sqlite
 
@@ -23,3 +24,10 @@ def test_a_file_larger_than_results_may_be_is_saved_and_replaced(spark, tmp_path
     assert con.execute("PRAGMA integrity_check").fetchall() == [("ok",)]
     assert [p.name for p in tmp_path.iterdir() if p.suffix != ".crc"] == ["c.db"]
     assert sqlite.load(spark, path).ax.count() == 400
+
+
+def test_lists_of_documents_are_not_sent_to_every_task(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(catalogue_capture, "cut", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), df)[1])
+    catalogue_capture.documents(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in plans[0] and "SortMergeJoin" in plans[0]
