@@ -274,7 +274,7 @@ IOS_TYPE = derive.cases(K, 6, {0: "'XCUIElementTypeButton'", 1: "'XCUIElementTyp
 
 def dumps(spark, sf, root: str, child: str) -> DataFrame:
     """(page_id, url, tree): a tree with one child for each part."""
-    p = derive.table(spark, sf, "part")
+    p = derive.spread(derive.table(spark, sf, "part"), K)
     return p.select(F.concat(F.lit("w"), K).alias("page_id"), F.lit("app").alias("url"), F.concat(F.lit(f'{{{root}, "children": [{{'), F.expr(child), F.lit("}]}")).alias("tree"))
 
 
@@ -310,7 +310,7 @@ def _(spark, sf):
 def _(spark, sf):
     """UI dumps as XML: roles, names and boxes of their visual nodes."""
     node = f"concat('<hierarchy><node class=\"android.widget.FrameLayout\" bounds=\"[0,0][400,800]\"><node class=\"android.widget.TextView\" text=\"', p_name, '\" clickable=\"', {ENABLED}, '\" bounds=\"[', {K} % 300, ',5][', {K} % 300 + p_size, ',25]\"/></node></hierarchy>')"
-    p = derive.table(spark, sf, "part").select(F.concat(F.lit("w"), K).alias("page_id"), F.lit("app").alias("url"), F.expr(node).alias("tree"))
+    p = derive.spread(derive.table(spark, sf, "part"), K).select(F.concat(F.lit("w"), K).alias("page_id"), F.lit("app").alias("url"), F.expr(node).alias("tree"))
     return trees.visual_nodes(trees.trees(p, "android-xml")).where("name <> ''").select("page_id", "role", "name", "rect.x", "rect.w")
 
 
