@@ -88,10 +88,14 @@ class Catalog:
 
     def primary_visual(self) -> DataFrame:
         """One visual node an element: the first without a viewport, else the first."""
-        order = F.struct(F.col("viewport").isNotNull(), F.col("seq"))
-        rest = [c for c in self.visual.columns if c != "ax_id"]
-        best = self.visual.groupBy("ax_id").agg(F.min_by(F.struct(*rest), order).alias("v"))
-        return best.select("ax_id", "v.*").select(self.visual.columns)
+        # found by numbers alone: rows with their styles are not sorted to be aggregated
+        seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63)))
+        free = F.col("viewport").isNull()
+        first = self.visual.groupBy(F.col("ax_id").alias("p_id")).agg(F.coalesce(F.min(F.when(free, seq)), F.min(seq)).alias("p_seq"), F.max(free).alias("p_free"))
+        on = F.col("ax_id").eqNullSafe(F.col("p_id")) & (seq == F.col("p_seq")) & (free == F.col("p_free"))
+        one = self.visual.join(first, on, "left_semi")
+        # of rows with one place any counts
+        return one.dropDuplicates(["ax_id"])
 
     def visual_by_ax(self, ax_id: str) -> DataFrame:
         return self.visual.where(F.col("ax_id") == ax_id).orderBy(F.col("viewport").isNotNull(), "seq").limit(1)
