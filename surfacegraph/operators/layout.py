@@ -24,6 +24,8 @@ from .quadtree import grouped
 ALIGN = 2
 CENTRE = 4
 PROXIMITY = 24
+#: Boxes of a page, or of a block of one, among which those within another are found at once.
+FOLD = 4096
 SECTION_TAGS = ("section", "article", "main", "aside", "nav", "header", "footer")
 SIDES = ("top", "right", "bottom", "left")
 FLUID = ("%", "fr", "minmax", "clamp", "calc(", "auto", "min-content", "max-content")
@@ -369,11 +371,7 @@ def component_groups(nodes: DataFrame) -> DataFrame:
     )
     taken = first.select("page_id", F.explode("member_ids").alias("id")).distinct()
     free = cut(nodes.select("page_id", "id", "seq", "rect", "style").join(taken, ["page_id", "id"], "left_anti"))
-    c = grouped(free.select("page_id", "seq", "rect").where((r["w"] > 0) & (r["h"] > 0)), r, "seq")
-    cell = ["page_id", "q_level", "q_x", "q_y", "q_block"]
-    flat = c.select(*cell, "seq", "rect.x", "rect.y", "rect.w", "rect.h")
-    links = cut(flat.groupBy(*cell).applyInArrow(_cell_links, "page_id string, a long, b long").distinct())
-    labels = spread_least(links)
+    labels = overlap_groups(free.select("page_id", "seq", "rect"))
     named = free.join(labels, ["page_id", "seq"])
     area = r["w"] * r["h"]
     groups = named.groupBy("page_id", "label").agg(
@@ -381,7 +379,7 @@ def component_groups(nodes: DataFrame) -> DataFrame:
         (F.max(r["y"]) - F.min(r["y"])).alias("y_range"), (F.max(r["h"]) - F.min(r["h"])).alias("h_range"), F.avg(area).alias("mean_area"),
         F.min_by("style", "seq").alias("style"), F.min_by("id", "seq").alias("first_id"),
         F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("member_ids"),
-    )
+    ).where("n > 1")
     back, radius = F.coalesce(s["backgroundColor"], F.lit("")), F.coalesce(s["borderRadius"], F.lit(""))
     kind = (
         F.when((F.col("y_range") <= 8) & (F.col("h_range") <= 16) & (F.col("n") >= 3), "toolbar")
@@ -395,6 +393,63 @@ def component_groups(nodes: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def overlap_groups(boxes: DataFrame, most: int = FOLD) -> DataFrame:
+    """(page_id, seq, label): boxes of one label are linked by overlaps of ``PROXIMITY`` on both axes; a box linked to none has a label of its own.
+
+    ``boxes``: page_id, seq (one a row of its page), rect. What a box within
+    another overlaps, the other overlaps too, so only the outer one looks for
+    more: the boxes of a crowded page are dealt to blocks, those within another
+    of their block are held by it and leave, and what is left is dealt again
+    until a page is one block, or blocks no longer halve. The rest meets in cells.
+    """
+    r = F.col("rect")
+    # rectangles share PROXIMITY on an axis if they touch when made so much shorter; those that are shorter share it with none
+    ends = {"x1": r["x"] + r["w"] - PROXIMITY, "y1": r["y"] + r["h"] - PROXIMITY}
+    flat = boxes.select("page_id", "seq", r["x"].alias("x"), r["y"].alias("y"), *[v.alias(k) for k, v in ends.items()], "rect")
+    left, held = cut(flat.where("x1 >= x and y1 >= y")), []
+    sizes = cut(left.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
+    while True:
+        crowded = sizes.where(F.col("n") > most).select("page_id", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+        if crowded.isEmpty():
+            break
+        dealt = left.join(crowded, "page_id").withColumn("block", F.pmod(F.xxhash64("seq", F.lit(len(held))), F.col("blocks")))
+        found = cut(dealt.select("page_id", "block", "seq", "x", "y", "x1", "y1").groupBy("page_id", "block").applyInArrow(_within, "page_id string, seq long, holder long"))
+        held.append(found)
+        left = cut(left.join(found, ["page_id", "seq"], "left_anti"))
+        now = cut(left.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
+        # pages that do not halve any more are done
+        sizes = cut(now.join(sizes.select("page_id", F.col("n").alias("before")), "page_id").where(F.col("n") * 2 <= F.col("before")).select("page_id", "n"))
+    c = grouped(left.select("page_id", "seq", "rect"), r, "seq")
+    cell = ["page_id", "q_level", "q_x", "q_y", "q_block"]
+    shared = c.select(*cell, "seq", "rect.x", "rect.y", "rect.w", "rect.h")
+    links = cut(shared.groupBy(*cell).applyInArrow(_cell_links, "page_id string, a long, b long").distinct())
+    labels = left.select("page_id", "seq").join(spread_least(links), ["page_id", "seq"], "left").select("page_id", "seq", F.coalesce("label", "seq").alias("label"))
+    for found in reversed(held):
+        # a holder that was held itself has its label by now
+        labels = cut(labels.unionByName(found.join(labels.withColumnRenamed("seq", "holder"), ["page_id", "holder"]).select("page_id", "seq", "label")))
+    return labels
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """(page_id, seq, holder): boxes within another of the block, each with a box that is within no other."""
+    seq, x, y, x1, y1 = (table.column(c).to_numpy() for c in ("seq", "x", "y", "x1", "y1"))
+    # whatever holds a box is no smaller; of equal ones the first holds the others
+    order = np.lexsort((seq, y + 0.0, x + 0.0, -y1, -x1, -((x1 - x) + (y1 - y))))
+    seq, x, y, x1, y1 = (v[order] for v in (seq, x, y, x1, y1))
+    inner, outer = [], []
+    while len(seq):
+        inside = (x >= x[0]) & (y >= y[0]) & (x1 <= x1[0]) & (y1 <= y1[0])
+        inside[0] = False
+        inner.append(seq[inside])
+        outer.append(np.full(len(inner[-1]), seq[0]))
+        stay = ~inside
+        stay[0] = False
+        seq, x, y, x1, y1 = (v[stay] for v in (seq, x, y, x1, y1))
+    inner, outer = np.concatenate(inner), np.concatenate(outer)
+    page = table.column("page_id")[0].as_py()
+    return pa.table({"page_id": pa.array([page] * len(inner), pa.string()), "seq": inner.astype(np.int64), "holder": outer.astype(np.int64)})
+
+
 def _cell_links(table: pa.Table) -> pa.Table:
     """Links, both ways, that join what touches within one cell: a tree of each group, not all pairs."""
     seq, x, y, w, h = (table.column(c).to_numpy() for c in ("seq", "x", "y", "w", "h"))
