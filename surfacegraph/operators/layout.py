@@ -183,6 +183,20 @@ def sibling_places(nodes: DataFrame) -> DataFrame:
     return running_sum(rows, ["page_id", "parent"], ["y", "x", "seq", "id"], F.lit(1).cast("long"), "place")
 
 
+def sibling_ranks(nodes: DataFrame) -> DataFrame:
+    """(id, before, after, first): how many siblings come before and after a node in visual order, and which is the first of all.
+
+    The sizes and the heads of the lists of :func:`siblings`, in a row a node
+    of fixed size. ``nodes``: as there.
+    """
+    key = ["page_id", "parent"]
+    places = sibling_places(nodes)
+    # a row a parent
+    groups = places.groupBy(*[F.col(k).alias(f"g_{k}") for k in key]).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("place") == 0, F.col("id"))).alias("first"))
+    same = F.col("page_id").eqNullSafe(F.col("g_page_id")) & F.col("parent").eqNullSafe(F.col("g_parent"))
+    return places.join(groups, same).select("id", F.col("place").cast("int").alias("before"), (F.col("n") - 1 - F.col("place")).cast("int").alias("after"), "first")
+
+
 def siblings_of(places: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, sibling, side, distance): the siblings of the nodes in ``asked(id)``, each with its side, before or after, and how many places away it is.
 
