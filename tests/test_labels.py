@@ -94,3 +94,15 @@ def test_areas_of_crowded_regions(spark):
     df = spark.createDataFrame([(k, clip, c) for k, cs in covers.items() for c in cs], f"id string, clip {box}, cover {box}")
     got = {r["id"]: r["covered"] for r in occlusion.covered_areas(df, most=10).collect()}
     assert got == pytest.approx({k: plain_area([(x, y, min(w, 64 - x), min(h, 64 - y)) for x, y, w, h in cs if x < 64]) for k, cs in covers.items() if k != "outside"})
+
+
+def test_nodes_without_children_take_no_part_in_the_doublings(spark, monkeypatch):
+    rows = [("t", "r", None, 0), ("t", "s", "lost", 1)] + [("t", f"c{i}", "r", i) for i in range(5)] + [("t", f"o{i}", f"c{i % 5}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id string, id string, parent string, order int")
+    climbed, climb = [], labels.climb
+    monkeypatch.setattr(labels, "climb", lambda nodes, *a, **k: climbed.append(nodes.count()) or climb(nodes, *a, **k))
+    got = {r["id"]: (r["pre"], r["last"], r["depth"]) for r in labels.intervals(df).collect()}
+    assert climbed == [6, 6]
+    assert got["r"] == (0, 205, 0) and got["s"] == (206, 206, 0) and got["c1"] == (42, 82, 1)
+    assert sorted(pre for pre, _, _ in got.values()) == list(range(207))
+    assert all(got[f"o{i}"][2] == 2 and got[f"c{i % 5}"][0] < got[f"o{i}"][0] <= got[f"c{i % 5}"][1] for i in range(200))
