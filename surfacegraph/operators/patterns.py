@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.css import styled, translucent
 from ..functions.geometry import bottom, point, rect, right
 from ..functions.js import includes, is_, number_or, one_of, yes
+from ..plans.lineage import stored
 from .quadtree import meet
 
 # Fixed values of the rules.
@@ -74,6 +75,11 @@ def own_patterns(r: Column, s: Column, role: Column, name: Column, focusable: Co
     ]
 
 
+def _beside(nodes: DataFrame, few: DataFrame) -> DataFrame:
+    """The nodes of pages that have any of ``few``: on others there is none to meet."""
+    return nodes.join(few.select("page_id").distinct(), "page_id", "left_semi")
+
+
 def _corner_buttons(nodes: DataFrame) -> DataFrame:
     """(id): small buttons in the upper right corner of some other node."""
     s, r = F.col("style"), F.col("rect")
@@ -81,7 +87,7 @@ def _corner_buttons(nodes: DataFrame) -> DataFrame:
     # the corner that a holder offers is a box of 60 by 60; a button is in it by its own corner
     x1 = right(r)
     at = small.select("page_id", "id", r.alias("rect"), point(r).alias("corner"))
-    holders = nodes.select("page_id", F.col("id").alias("holder"), r.alias("o"))
+    holders = _beside(nodes, at).select("page_id", F.col("id").alias("holder"), r.alias("o"))
     o = F.col("o")
     holders = holders.withColumn("offered", rect(right(o) - 61, o["y"] - 1, F.lit(72), F.lit(62)))
     inside = (
@@ -100,7 +106,7 @@ def _form_groups(nodes: DataFrame) -> DataFrame:
     holders = groups.where((r["w"] > -10) & (r["h"] > -10)).select("page_id", "id", around.alias("g"))
     s = F.col("style")
     like_input = is_(s["cursor"], "text") | is_(s["cursor"], "pointer")
-    others = nodes.select("page_id", F.col("id").alias("other"), r.alias("o"), point(r).alias("corner"), like_input.alias("input"))
+    others = _beside(nodes, holders).select("page_id", F.col("id").alias("other"), r.alias("o"), point(r).alias("corner"), like_input.alias("input"))
     g, o = F.col("g"), F.col("o")
     inside = (o["x"] >= g["x"]) & (o["y"] >= g["y"]) & (right(o) <= right(g)) & (bottom(o) <= bottom(g))
     met = meet(holders, others, "g", "corner").where((F.col("id") != F.col("other")) & inside)
@@ -113,6 +119,8 @@ def patterns(nodes: DataFrame, viewport_w: float = 1440, viewport_h: float = 900
     ``nodes``: page_id, id, rect, style, role, name, focusable, container_type.
     """
     s, r = F.col("style"), F.col("rect")
+    # read once for the node's own patterns, and twice for each pattern of the page: what nodes are made of is not done anew
+    nodes = stored(nodes.select("page_id", "id", "rect", "style", "role", "name", "focusable", "container_type"))
     corner = _corner_buttons(nodes).withColumn("in_corner", F.lit(True))
     forms = _form_groups(nodes)
     df = nodes.join(corner, "id", "left").join(forms, "id", "left")
