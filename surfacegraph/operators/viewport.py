@@ -42,10 +42,24 @@ def at_viewport(elements: DataFrame, observed: DataFrame, visual: DataFrame, nam
     return elements.join(best, "ax_id", "left").select("ax_id", "view.viewport", "view.rect", "view.style", "view.visibility")
 
 
-def pair_up(base: DataFrame, other: DataFrame) -> DataFrame:
-    """(page_id, ax_id, a, b): the two views of each element. Both: page_id, ax_id, rect, style, visibility."""
-    pack = lambda df, n: df.select("page_id", "ax_id", F.struct("rect", "style", "visibility").alias(n))
-    return pack(base, "a").join(pack(other, "b"), ["page_id", "ax_id"])
+#: Views of a side that one task pairs up.
+MOST_VIEWS = 20_000
+
+
+def pair_up(base: DataFrame, other: DataFrame, most: int = MOST_VIEWS) -> DataFrame:
+    """(page_id, ax_id, a, b): the two views of each element. Both: page_id, ax_id, rect, style, visibility.
+
+    Styles are wide, but alike, and shuffle as a hundredth of what they are: by
+    shuffled bytes a few tasks would be given all of them. So tasks go by rows.
+    """
+    keys = ["page_id", "ax_id"]
+    parts = -(-max(base.count(), other.count()) // most)
+
+    def pack(df: DataFrame, name: str) -> DataFrame:
+        packed = df.select(*keys, F.struct("rect", "style", "visibility").alias(name))
+        return packed if parts <= 1 else packed.repartition(parts, *keys)
+
+    return pack(base, "a").join(pack(other, "b"), keys)
 
 
 def differences(pairs: DataFrame) -> DataFrame:
