@@ -66,3 +66,15 @@ def test_nodes_of_one_id_are_met_as_often_as_they_are(spark):
     df = df.withColumns({"parent": F.lit(None).cast("string"), "padding_box": F.lit(None).cast(none), "is_scroll": F.lit(False), "is_stacking": F.lit(False), "has_children": F.lit(False), "z": F.lit(None).cast("int")})
     assert occlusion.occluders(occlusion.clipped(occlusion.ranked(df))).count() == 2
     assert occlusion.occluders(occlusion.clipped(df.withColumns({"rank": occlusion.paint_rank(F.col("style"), F.lit(False), F.lit(None)), "occludes": F.lit(True)}))).count() == 2
+
+
+def test_occluders_are_counted_without_lists(spark):
+    none = "struct<x:double,y:double,w:double,h:double>"
+    df = spark.createDataFrame(some_boxes(60), SCHEMA)
+    style = F.create_map(F.lit("zIndex"), F.pmod(F.hash("id"), F.lit(5)).cast("string"))
+    df = df.withColumns({"style": style, "parent": F.lit(None).cast("string"), "padding_box": F.lit(None).cast(none), "is_scroll": F.lit(False), "is_stacking": F.lit(False), "has_children": F.lit(False), "z": F.lit(None).cast("int")})
+    lists, counts = occlusion.occlusion(df), occlusion.occlusion(df, listed=False)
+    assert "collect_list(other" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda found, n: {(r["id"], r["visible_ratio"], r["visible_area"], n(r)) for r in found.collect()}
+    want = rows(lists, lambda r: len(r["occluded_by"]))
+    assert rows(counts, lambda r: r["occluders"]) == want and len({w[3] for w in want}) > 2
