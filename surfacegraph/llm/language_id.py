@@ -28,6 +28,8 @@ BATCH = 512
 LETTER = regex.compile(r"\p{L}")
 #: Languages up to which their shares are broadcast.
 LABELS = 100_000
+#: Score from which the network's language counts for more than a label.
+SURE = 0.9
 #: The largest hash of a row.
 TOP = (1 << 63) - 1
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -228,22 +230,45 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language the network names with a score of at least ``least``, unchanged.
+def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.5, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows whose language the network names with a score of at least ``least``, unchanged but for ``lang_col``.
 
     Null texts and texts without a letter go, whatever ``least``. Rows decide by
     their text alone, so repeated rows stay or go together, and a score of
     ``least`` itself stays. An empty table stays empty.
+
+    ``lang_col`` is a column of labels: the network's name replaces null ones,
+    and those that it contradicts (:func:`named`). Without it labels stay.
     """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_col)
+    label = None if lang_col is None else docs.columns.index(lang_col)
 
     def run(batches):
         text_tokens.release()
         model = shipped.value
         for b in by_bytes(batches, at):
-            got = model.predict(b.column(at).to_pylist())
+            texts = b.column(at).to_pylist()
+            got = model.predict(texts)
+            if label is not None:
+                langs = [named(model, *row) for row in zip(texts, b.column(label).to_pylist(), got, strict=True)]
+                b = b.set_column(label, b.schema.field(label), pa.array(langs, b.schema.field(label).type))
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def named(net: ByteNet, text: str | None, label: str | None, got: tuple[str, float]) -> str | None:
+    """The language of a text with a label, of which the network says ``got``.
+
+    A label stays, unless the network knows that language and yet names another
+    with a score of at least ``SURE``, of a text that fills a window.
+    """
+    lang, score = got
+    if lang == "und":
+        return label
+    if label is None:
+        return lang
+    sure = lang != label and score >= SURE and label in net.langs and len(text.encode("utf-8", "surrogatepass")) >= WINDOW
+    return lang if sure else label

@@ -8,6 +8,11 @@ they are from being covered, and a knapsack by dynamic programming finds the
 combination of most worth. The fractional solution is rounded to whole
 sequences, and what is left goes by best fit into remaining room. The plan
 maps (length, rank) ranges to (sequence, offset); pieces look themselves up.
+
+Documents may belong to groups, such as languages. Each large group is planned
+by itself; of its sequences those that are nearly full stand, and what is left
+of all groups is planned together, so a sequence holds one group as far as that
+costs no sequence.
 """
 
 from __future__ import annotations
@@ -28,40 +33,47 @@ from .workspace import bound_batches, by_bytes, written
 #: Bytes of text that a worker turns into ids at a time.
 TEXT_BYTES = 2_000_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long, group string"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: A group with at least this share of all tokens may have sequences of its own; so there are few, however many groups.
+LARGE = 0.05
+#: Tokens that a group's own sequences may leave empty, of 4096; tried in turn until no more sequences are needed than without groups.
+SPARE = (128, 32, 8, 0)
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words: int = 300_000
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words: int = 300_000, group_col: str | None = None
 ) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces only where longer than ``capacity``.
 
-    ``nth`` counts the pieces of one length within the task ``part``; ``words``
-    bounds a worker's table of known words, not the result.
+    ``nth`` counts the pieces of one group and length within the task ``part``;
+    ``words`` bounds a worker's table of known words, not the result. The
+    documents' group follows as the column ``group``, null without ``group_col``.
     """
     bound_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         codec, part = encoder(tokenizer, words), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        seen: dict[tuple[str | None, int], int] = {}
         for b in by_bytes(batches, 1, TEXT_BYTES):
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), strict=True):
+            rows: list[list] = [[], [], [], [], [], [], []]
+            for doc, ids, group in zip(b.column("doc_id").to_pylist(), codec.encode(b.column("t")), b.column("group").to_pylist(), strict=True):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4
-                    for col, v in zip(rows, (doc, k, at // 4, n, zlib.crc32(cut), int(seen[n])), strict=True):
+                    nth = seen.get((group, n), 0)
+                    for col, v in zip(rows, (doc, k, at // 4, n, zlib.crc32(cut), nth, group), strict=True):
                         col.append(v)
-                    seen[n] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                    seen[group, n] = nth + 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             cols = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
             cols.insert(5, pa.array(np.full(len(rows[0]), part)))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "group"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)
+    group = F.lit(None) if group_col is None else F.col(group_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), group.cast("string").alias("group")).mapInArrow(run, PIECES)
 
 
 def fill(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +172,15 @@ class Plan:
 
 def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, unit: int = 16) -> Plan:
     """A plan for ``counts`` pieces of each length. Work and size depend on the histogram only."""
+    kinds, by_program = _sequences(lengths, counts, capacity, unit)
+    return _plan([(m, ls, ls) for m, ls in kinds], by_program)
+
+
+def _sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, unit: int = 16) -> tuple[list[tuple[int, list[int]]], int]:
+    """((how many sequences, their lengths), the fullest first; pieces that the program placed)."""
     left = np.zeros(capacity + 1, np.int64)
     left[lengths] = counts
-    kinds: list[tuple[int, list[int]]] = []  # (how many sequences, their lengths)
+    kinds: list[tuple[int, list[int]]] = []
     if left[capacity]:
         kinds.append((int(left[capacity]), [capacity]))
         left[capacity] = 0
@@ -220,21 +238,79 @@ def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, unit:
                 bisect.insort(spaces, space)
             room.setdefault(space, []).append(new)
 
+    return [kind for space in sorted(room) for kind in room[space]], by_program
+
+
+def _plan(kinds: list[tuple[int, list[int], list[int]]], by_program: int = 0) -> Plan:
+    """The plan that makes of each kind so many sequences: (how many, lengths, keys by which the pieces are looked up)."""
     slots: list[tuple[int, int, int, int, int]] = []
-    ranks = np.zeros(capacity + 1, np.int64)
+    ranks: dict[int, int] = {}
     base = 0
-    for space in sorted(room):
-        for m, ls in room[space]:
-            offset = 0
-            for length in ls:
-                slots.append((length, int(ranks[length]), m, base, offset))
-                ranks[length] += m
-                offset += length
-            base += m
+    for m, ls, keys in kinds:
+        offset = 0
+        for length, key in zip(ls, keys, strict=True):
+            slots.append((key, ranks.get(key, 0), m, base, offset))
+            ranks[key] = ranks.get(key, 0) + m
+            offset += length
+        base += m
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
     return Plan(*(np.ascontiguousarray(table[:, i]) for i in range(5)), base, by_program)
 
 
+@dataclass
+class GroupPlan:
+    """The first ``taken`` pieces of a group and length are in sequences of that group alone, ``own``;
+    the others follow in ``shared``, those of a group and length after the ``before`` of earlier groups."""
+
+    own: Plan
+    shared: Plan
+    taken: np.ndarray
+    before: np.ndarray
+    capacity: int
+
+    @property
+    def sequences(self) -> int:
+        return self.own.sequences + self.shared.sequences
+
+    def place(self, group: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces."""
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        own = rank < self.taken[group, length]
+        g, n, r = group[own], length[own], rank[own]
+        sequence[own], offset[own] = self.own.place(g * (self.capacity + 1) + n, r)
+        g, n, r = group[~own], length[~own], rank[~own]
+        at, offset[~own] = self.shared.place(n, r - self.taken[g, n] + self.before[g, n])
+        sequence[~own] = at + self.own.sequences
+        return sequence, offset
+
+
+def plan_groups(groups: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int, rest: int = -1) -> GroupPlan:
+    """A plan for ``counts`` pieces of each group (numbers from 0) and length, with as many sequences as without groups at most.
+
+    Pieces of the group ``rest`` are of small groups and have no sequences of their own.
+    """
+    many = int(groups.max(initial=0)) + 1
+    need = np.zeros((many, capacity + 1), np.int64)
+    need[groups, lengths] = counts
+
+    def planned(left: np.ndarray) -> Plan:
+        some = np.flatnonzero(left)
+        return plan_sequences(some, left[some], capacity)
+
+    whole = planned(need.sum(0))
+    kinds = {g: _sequences(np.flatnonzero(need[g]), need[g][need[g] > 0], capacity)[0] for g in range(many) if g != rest and many > 1}
+    for spare in (x * capacity // 4096 for x in SPARE if kinds):
+        full = [(m, ls, [g * (capacity + 1) + n for n in ls]) for g, of in kinds.items() for m, ls in of if capacity - sum(ls) <= spare]
+        taken = np.zeros_like(need)
+        for m, _, keys in full:
+            np.add.at(taken.reshape(-1), keys, m)
+        left = need - taken
+        plan = GroupPlan(_plan(full), planned(left.sum(0)), taken, left.cumsum(0) - left, capacity)
+        if plan.sequences <= whole.sequences:
+            return plan
+    return GroupPlan(_plan([]), whole, np.zeros_like(need), need.cumsum(0) - need, capacity)
+
+
 def _take(slots: list[list[int]], left: np.ndarray, m: int, kinds: list, capacity: int) -> int:
     """Fills at most ``m`` sequences alike.
 
@@ -270,34 +346,51 @@ def _take(slots: list[list[int]], left: np.ndarray, m: int, kinds: list, capacit
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", words: int = 300_000
+    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", words: int = 300_000, group_col: str | None = None
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     A null text counts as empty: its one piece is ``end_id``. Repeated rows
     and null ids are packed as documents of their own. An empty table gives an
-    empty result. Only the two named columns are read. ``words``: see :func:`pieces`.
+    empty result. Only the named columns are read. ``words``: see :func:`pieces`.
+
+    With ``group_col`` that column of the documents (as a string, null a group
+    too) follows, and sequences hold one group as far as that costs no sequence.
 
     One narrow table is written; texts never shuffle. A rank is a task's base
     for the length (a running sum over tasks) and the piece's number within
     the task, so a length that a third of all pieces share is no hot group.
     """
     spark = docs.sparkSession
-    table = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, words), "pieces")
-    per_task = table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    table = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, words, group_col), "pieces")
+    per_task = table.groupBy("group", "length", "part").agg(F.count(F.lit(1)).alias("n"))
+    large: list[str | None] = [None]
+    if group_col is not None:
+        per_task = written(per_task, "lengths")
+        sizes = per_task.groupBy("group").agg(F.sum(F.col("n") * F.col("length")).alias("size"))
+        whole = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        large = [r["group"] for r in sizes.where(F.col("size") >= LARGE * whole).orderBy("group").collect()]  # a row a large group: 20 at most
+    of = F.lit(len(large))  # small groups
+    for i, g in enumerate(large):
+        of = F.when(F.col("group").eqNullSafe(F.lit(g)), i).otherwise(of)
+    per_task = per_task.withColumn("class", of.cast("long"))
     bases = per_task.select(
-        "length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base")
+        F.col("group").alias("b_group"), F.col("length").alias("b_length"), F.col("part").alias("b_part"), "class", (F.sum("n").over(Window.partitionBy("class", "length").orderBy("group", "part")) - F.col("n")).alias("base")
     )
-    hist = per_task.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()  # at most ``capacity`` rows
-    plan = plan_sequences(np.array([r["length"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64), capacity)
+    hist = per_task.groupBy("class", "length").agg(F.sum("n").alias("n")).orderBy("class", "length").collect()  # at most ``capacity`` rows a large group
+    plan = plan_groups(*(np.array([r[c] for r in hist], np.int64) for c in ("class", "length", "n")), capacity, rest=len(large))
     shipped = spark.sparkContext.broadcast(plan)
+    schema = PLACED if group_col is None else f"{PLACED}, `{group_col}` string"
 
     def run(batches):
         for b in batches:
-            length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
-            sequence, offset = shipped.value.place(length, rank)
-            cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = table.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, PLACED)
+            sequence, offset = shipped.value.place(*(b.column(c).to_numpy() for c in ("class", "length", "rank")))
+            cols = [*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            if group_col is not None:
+                cols, names = [*cols, b.column("group")], [*names, group_col]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    same = F.col("group").eqNullSafe(F.col("b_group")) & (F.col("length") == F.col("b_length")) & (F.col("part") == F.col("b_part"))
+    ranked = table.join(bases, same).select("doc_id", "piece", "start", "length", "ids_crc32", "class", (F.col("base") + F.col("nth")).alias("rank"), "group")
+    return ranked.mapInArrow(run, schema)
