@@ -138,11 +138,16 @@ def _wire(name: str) -> StructType:
     return StructType([f for f in own if f.name not in taken] + list(more))
 
 
+def _seq(pos: str) -> Column:
+    """The place of a piece's entry among those of all documents."""
+    return F.col("doc") * (1 << 32) + F.col("start") + F.col(pos)
+
+
 def _exploded(docs: DataFrame, key: str, name: str) -> DataFrame:
     """(doc, seq, r): rows of one of the documents' arrays, in the documents' names."""
     whole = F.from_json("text", StructType([StructField(key, ArrayType(_wire(name)))]))[key]
-    rows = docs.select("doc", F.posexplode(whole).alias("pos", "r"))
-    return rows.select("doc", (F.col("doc") * (1 << 32) + F.col("pos")).alias("seq"), "r")
+    rows = docs.select("doc", "start", F.posexplode(whole).alias("pos", "r"))
+    return rows.select("doc", _seq("pos").alias("seq"), "r")
 
 
 def _table(rows: DataFrame, name: str, **columns: Column) -> DataFrame:
@@ -189,11 +194,11 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for doc, tree in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for first, tree in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = token_rows(json.loads(tree)) if tree else []
-                yield pa.RecordBatch.from_pylist([dict(zip(wire.names, (*r[:-1], doc * (1 << 32) + r[-1]), strict=True)) for r in rows], schema=wire)
+                yield pa.RecordBatch.from_pylist([dict(zip(wire.names, (*r[:-1], first + r[-1]), strict=True)) for r in rows], schema=wire)
 
-    return docs.select("doc", F.get_json_object("text", "$.designTokens").alias("tree")).mapInArrow(run, schema.TABLES["tokens"])
+    return docs.withColumn("pos", F.lit(0)).select(_seq("pos").alias("first"), F.get_json_object("text", "$.designTokens").alias("tree")).mapInArrow(run, schema.TABLES["tokens"])
 
 
 def from_documents(docs: DataFrame) -> Catalog:
@@ -203,8 +208,13 @@ def from_documents(docs: DataFrame) -> Catalog:
     types: missing fields are null, missing arrays empty, extra ones ignored.
     Later rows of an id replace earlier ones. A document of another version,
     or one that is no JSON, is refused.
+
+    A document too large for a row comes in pieces, each a document with some of
+    the entries of its arrays: ``docs(doc, start, text)``, where ``start`` is the
+    place of a piece's first entries. What is no array is in the piece at 0.
     """
     spark = docs.sparkSession
+    docs = docs if "start" in docs.columns else docs.withColumn("start", F.lit(0).cast("long"))
     bad = docs.select(F.from_json("text", "version string")["version"].alias("v")).where(~F.col("v").eqNullSafe(F.lit(VERSION))).first()
     if bad is not None:
         raise SubstrateError("SUBSTRATE_INVALID", f"version {bad['v']!r} is not {VERSION}")
@@ -238,16 +248,16 @@ def from_documents(docs: DataFrame) -> Catalog:
         tables[name] = last_wins(tables[name].drop("doc"))
 
     tables["tokens"] = _tokens(docs)
-    problems = docs.select("doc", F.from_json("text", f"diagnostics struct<{', '.join(f'{k}:{_PROBLEM}' for k in _PROBLEMS)}>")["diagnostics"].alias("d"))
+    problems = docs.select("doc", "start", F.from_json("text", f"diagnostics struct<{', '.join(f'{k}:{_PROBLEM}' for k in _PROBLEMS)}>")["diagnostics"].alias("d"))
     d, found = F.col("d"), None
     for kind in _PROBLEMS:
-        rows = problems.select("doc", F.posexplode(d[kind]).alias("pos", "e")).select(
+        rows = problems.select("doc", "start", F.posexplode(d[kind]).alias("pos", "e")).select(
             F.lit(kind).alias("kind"), F.col("e.pageId").alias("page_id"), "e.url", F.col("e.extractor").alias("source"), F.coalesce("e.error", "e.message").alias("message"), F.coalesce("e.at", "e.timestamp").alias("at"),
-            (F.col("doc") * (1 << 32) + F.col("pos")).alias("seq"),
+            _seq("pos").alias("seq"),
         )
         found = rows if found is None else found.unionByName(rows)
     tables["diagnostics"] = found
-    crawl = docs.select(F.from_json("text", "crawl struct<rootUrl:string,startedAt:string>")["crawl"].alias("c"))
+    crawl = docs.where("start = 0").select(F.from_json("text", "crawl struct<rootUrl:string,startedAt:string>")["crawl"].alias("c"))
     meta = {"version": F.lit(VERSION), "root_url": F.col("c.rootUrl"), "started_at": F.col("c.startedAt"), "complete": F.lit(True)}
     tables["meta"] = crawl.select(*[meta.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _rows_of("meta").fields])
     return Catalog(spark, tables)
