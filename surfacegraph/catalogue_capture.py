@@ -31,11 +31,19 @@ def none(kind: str = "string"):
 # graph documents
 
 
+#: Keys of the customers or parts that one row of a document has.
+PIECE = 25_000
+
+
 def documents(spark, sf) -> DataFrame:
-    """(doc, text): one graph document a nation, with its customers as elements and parts as visual nodes."""
+    """(doc, start, text): one graph document a nation, with its customers as elements and parts as visual nodes.
+
+    A nation's rows grow with the tables, so its document comes in pieces, by ranges of keys.
+    """
+    piece = lambda k: F.coalesce(F.col(k) - F.pmod(F.col(k), F.lit(PIECE)), F.lit(0)).cast("long")
     n = derive.table(spark, sf, "nation")
-    c = derive.table(spark, sf, "customer")
-    ax = c.groupBy("c_nationkey").agg(
+    c = derive.table(spark, sf, "customer").withColumn("c_start", piece("c_custkey"))
+    ax = c.groupBy("c_nationkey", "c_start").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
@@ -45,8 +53,8 @@ def documents(spark, sf) -> DataFrame:
             )
         ).alias("axNodes")
     )
-    p = derive.table(spark, sf, "part").withColumn("k", F.col("p_partkey") % 25)
-    visual = p.groupBy("k").agg(
+    p = derive.table(spark, sf, "part").withColumn("k", F.col("p_partkey") % 25).withColumn("v_start", piece("p_partkey"))
+    visual = p.groupBy("k", "v_start").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
@@ -60,21 +68,27 @@ def documents(spark, sf) -> DataFrame:
     )
     # lists of a nation's rows are larger than they are estimated: none is collected in the driver to be broadcast
     ax, visual = ax.hint("merge"), visual.hint("merge")
-    whole = n.join(ax, n["n_nationkey"] == ax["c_nationkey"], "left").join(visual, n["n_nationkey"] == visual["k"], "left")
+    starts = spark.range(1).select(F.col("id").alias("start")).union(c.select("c_start")).union(p.select("v_start")).distinct()
+    pieces = n.crossJoin(starts)
+    whole = pieces.join(ax, (F.col("n_nationkey") == F.col("c_nationkey")) & (F.col("start") == F.col("c_start")), "left")
+    whole = whole.join(visual, (F.col("n_nationkey") == F.col("k")) & (F.col("start") == F.col("v_start")), "left")
+    first = F.col("start") == 0
+    whole = whole.where(first | F.col("axNodes").isNotNull() | F.col("visualNodes").isNotNull())
+    of_all = lambda value, name: F.when(first, value).alias(name)
     doc = F.to_json(
         F.struct(
-            F.lit("1.0.0").alias("version"), F.struct(F.concat(F.lit("http://"), "n_name").alias("rootUrl"), F.lit("2024").alias("startedAt")).alias("crawl"),
-            F.array(F.struct(F.concat(F.lit("page:"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit("complete").alias("loadStatus"))).alias("pages"),
+            F.lit("1.0.0").alias("version"), of_all(F.struct(F.concat(F.lit("http://"), "n_name").alias("rootUrl"), F.lit("2024").alias("startedAt")), "crawl"),
+            of_all(F.array(F.struct(F.concat(F.lit("page:"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit("complete").alias("loadStatus"))), "pages"),
             "axNodes", "visualNodes",
-            F.array(F.struct(F.concat(F.lit("page:"), "n_regionkey").alias("from"), F.concat(F.lit("page:"), "n_nationkey").alias("to"), F.lit("nav:child-of").alias("kind"), F.concat(F.lit("edge:"), "n_nationkey").alias("id"))).alias("edges"),
-            F.struct(F.struct(F.struct(F.lit("color").alias("$type"), F.concat(F.lit("#00000"), F.col("n_nationkey") % 10).alias("$value")).alias("base"), F.struct(F.col("n_nationkey").alias("$value")).alias("untyped")).alias("c")).alias("designTokens"),
-            F.struct(F.array(F.struct(F.concat(F.lit("u"), "n_nationkey").alias("url"), F.lit("broken").alias("error"))).alias("pageErrors")).alias("diagnostics"),
-            F.array(F.struct(F.concat(F.lit("auth:"), "n_nationkey").alias("id"), F.struct(F.lit("custom-role").alias("kind"), F.col("n_name").alias("role")).alias("context"), F.lit(3).alias("observationCount"))).alias("authContexts"),
+            of_all(F.array(F.struct(F.concat(F.lit("page:"), "n_regionkey").alias("from"), F.concat(F.lit("page:"), "n_nationkey").alias("to"), F.lit("nav:child-of").alias("kind"), F.concat(F.lit("edge:"), "n_nationkey").alias("id"))), "edges"),
+            of_all(F.struct(F.struct(F.struct(F.lit("color").alias("$type"), F.concat(F.lit("#00000"), F.col("n_nationkey") % 10).alias("$value")).alias("base"), F.struct(F.col("n_nationkey").alias("$value")).alias("untyped")).alias("c")), "designTokens"),
+            of_all(F.struct(F.array(F.struct(F.concat(F.lit("u"), "n_nationkey").alias("url"), F.lit("broken").alias("error"))).alias("pageErrors")), "diagnostics"),
+            of_all(F.array(F.struct(F.concat(F.lit("auth:"), "n_nationkey").alias("id"), F.struct(F.lit("custom-role").alias("kind"), F.col("n_name").alias("role")).alias("context"), F.lit(3).alias("observationCount"))), "authContexts"),
         )
     )
     # struct fields cannot hold a parsed map beside text, so the look is put in as an object
     text = F.regexp_replace(F.regexp_replace(doc, r'"look":"(\{.*?\})"', r'"computedStyle":$1'), r'\\"', '"')
-    return cut(whole.select(F.col("n_nationkey").cast("long").alias("doc"), text.alias("text")))  # each table is parsed from it
+    return cut(whole.select(F.col("n_nationkey").cast("long").alias("doc"), "start", text.alias("text")))  # each table is parsed from it
 
 
 @query(
